@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pactlens.llm.decontaminate import op8_decontaminate
+from pactlens.llm.mixing import OP2_SQL, op2_mix_sources
 from pactlens.llm.neardup import op3_near_dedup
+from pactlens.llm.warc import op4_warc
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_near_dedup": op3_near_dedup,
+    "op4_warc": op4_warc,
+    "op8_decontaminate": op8_decontaminate,
+}
+ORACLES = {
+    "op2_mix_sources": OP2_SQL,
 }
-ORACLES: dict[str, str] = {}
