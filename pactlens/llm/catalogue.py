@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pactlens.llm.decontaminate import op8_decontaminate
+from pactlens.llm.licenses import op1_licenses
 from pactlens.llm.mixing import OP2_SQL, op2_mix_sources
 from pactlens.llm.neardup import op3_near_dedup
+from pactlens.llm.secrets import op6_secrets
 from pactlens.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_mix_sources": op2_mix_sources,
     "op3_near_dedup": op3_near_dedup,
     "op4_warc": op4_warc,
+    "op6_secrets": op6_secrets,
     "op8_decontaminate": op8_decontaminate,
 }
 ORACLES = {
