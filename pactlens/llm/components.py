@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = large.filter("u > v").distinct()
+        large = large.filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         work = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())

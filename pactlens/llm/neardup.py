@@ -22,7 +22,7 @@ from pactlens.llm.sparkside import cut, read
 #: probability 1 - (1 - (1 - 0.8**2)**8) * (1 - (1 - 0.8**3)**12), about 0.0005.
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 8, 2, 12, 3
 #: Rounds that compare each member of a table to one member only, before the rest is compared in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _sets(texts, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,7 +98,7 @@ def _sketch(k: int):
 
 
 def _bodies(k: int):
-    """Shingle sets as bytes, for the rows whose set is the one asked for."""
+    """Shingle sets, for the rows whose set is the one asked for."""
 
     def run(batches):
         for batch in batches:
@@ -108,13 +108,11 @@ def _bodies(k: int):
                 want_low = batch.column(2).slice(i, m).to_numpy(zero_copy_only=False)
                 want_high = batch.column(3).slice(i, m).to_numpy(zero_copy_only=False)
                 good = np.flatnonzero((low == want_low) & (high == want_high))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, m).take(pa.array(good)),
-                        pa.array([grams[first[g] : first[g + 1]].tobytes() for g in good], type=pa.binary()),
-                    ],
-                    names=["id", "body"],
-                )
+                lengths = np.diff(first)[good]
+                inside = np.repeat((low == want_low) & (high == want_high), np.diff(first))
+                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                body = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[inside].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m).take(pa.array(good)), body], names=["id", "body"])
 
     return run
 
@@ -123,10 +121,11 @@ def _confirm(batches):
     """Keep the pairs whose sets share at least 80 of 100 of their union."""
     for batch in batches:
         keep = []
-        a_side, b_side = batch.column(2), batch.column(3)
+        (a_all, a_at), (b_all, b_at) = (
+            (batch.column(c).values.to_numpy().view(U64), batch.column(c).offsets.to_numpy()) for c in (2, 3)
+        )
         for r in range(batch.num_rows):
-            a = np.frombuffer(a_side[r].as_buffer(), dtype=U64)
-            b = np.frombuffer(b_side[r].as_buffer(), dtype=U64)
+            a, b = a_all[a_at[r] : a_at[r + 1]], b_all[b_at[r] : b_at[r + 1]]
             short, long = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(long, short)
             at[at == len(long)] = 0
@@ -186,49 +185,52 @@ def _links(source: DataFrame, nodes: DataFrame, live: DataFrame, words: int) ->
 
     A table's members are first compared with one member each, over a few rounds with other picks;
     members known to be in one component need no further comparison.  What is then still apart
-    within a table is compared in full, so no link that would join two components is lost.
+    within a table is compared in full, each pair in the first table that it shares, so no link that
+    would join two components is lost.
     """
-    spark = source.sparkSession
     wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "low", "high")
     bodies = cut(
         source.join(wanted, F.col("id") == F.col("node"))
         .select("id", "text", "low", "high")
-        .mapInArrow(_bodies(words), "id bigint, body binary")
+        .mapInArrow(_bodies(words), "id bigint, body array<bigint>")
     )
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    links = None
     state = live.withColumn("comp", F.col("node"))
-    for step in range(STAR_ROUNDS + 1):
+    for step in range(STAR_ROUNDS):
         rank = F.xxhash64(F.lit(step), "comp")
-        pick = cut(
+        pick = (
             state.groupBy("key")
             .agg(F.min(F.struct(rank.alias("h"), "comp", "node", "n")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             .filter("lo < hi")
             .select("key", F.col("hub.comp").alias("hub_comp"), F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"))
         )
-        if pick.isEmpty():
-            break
-        joined = state.join(pick, "key").filter("comp <> hub_comp")
-        if step < STAR_ROUNDS:
-            pairs = joined.select(F.col("node").alias("x"), "n", F.col("hub_node").alias("y"), F.col("hub_n").alias("m"))
-        else:
-            rest = joined.select("key", F.col("node").alias("x"), "n", F.col("comp").alias("x_comp"))
-            other = state.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("y_comp"))
-            pairs = rest.join(other, "key").filter("x_comp <> y_comp").select("x", "n", "y", "m")
-        pairs = (
-            pairs.filter("100 * least(n, m) >= 80 * greatest(n, m)")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
-        new = cut(_confirmed(pairs, bodies))
-        links = links.unionByName(new)
-        if step < STAR_ROUNDS:
-            found = connected_components(links)
-            state = live.join(found, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("comp"))
-            state = cut(state)
-    return links
+        pairs = state.join(pick, "key").filter("comp <> hub_comp AND 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
+        new = cut(_confirmed(pairs.select(F.col("node").alias("x"), F.col("hub_node").alias("y")), bodies))
+        links = new if links is None else links.unionByName(new)
+        found = connected_components(links)
+        state = live.join(found, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("comp"))
+    apart = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "lo")
+    rest = cut(state.join(apart, "key").join(nodes.select("node", "halves"), "node"))
+    x, y = rest.filter("comp <> lo").alias("x"), rest.alias("y")
+    # The pair's tables are all combinations of its equal left and right halves: (i, j) is the first if none before is equal.
+    first_equal = lambda at, wide: F.array_position(
+        F.zip_with(F.slice("x.halves", at, wide), F.slice("y.halves", at, wide), lambda a, b: a == b), F.lit(True)
+    )
+    first_key = F.xxhash64(
+        (first_equal(1, LEFT) - 1).cast("int"),
+        F.get("x.halves", (first_equal(1, LEFT) - 1).cast("int")),
+        (first_equal(LEFT + 1, RIGHT) - 1).cast("int"),
+        F.get("x.halves", (LEFT + first_equal(LEFT + 1, RIGHT) - 1).cast("int")),
+    )
+    close = F.col("x.n").between(F.col("y.n") * 0.8 - 1, F.col("y.n") / 0.8 + 1)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close & (F.col("x.key") == first_key))
+    last = _confirmed(pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")), bodies)
+    return links.unionByName(cut(last))
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The linked ones of pairs(x, y), each once, as (a, b) with a below b."""
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = bodies.select(F.col("id").alias("a"), F.col("body").alias("a_body"))
     second = bodies.select(F.col("id").alias("b"), F.col("body").alias("b_body"))
     return (
