@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pactlens.llm.decontaminate import op8_decontaminate
+from pactlens.llm.fingerprints import op5_fingerprints
+from pactlens.llm.langid import op9_language
 from pactlens.llm.licenses import op1_licenses
 from pactlens.llm.mixing import OP2_SQL, op2_mix_sources
 from pactlens.llm.neardup import op3_near_dedup
+from pactlens.llm.quality import op10_quality
 from pactlens.llm.secrets import op6_secrets
+from pactlens.llm.toxicity import op7_toxicity
 from pactlens.llm.warc import op4_warc
 
 QUERIES = {
@@ -14,8 +18,12 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_near_dedup": op3_near_dedup,
     "op4_warc": op4_warc,
+    "op5_fingerprints": op5_fingerprints,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,
