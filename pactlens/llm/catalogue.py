@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pactlens.llm.decontaminate import op8_decontaminate
 from pactlens.llm.fingerprints import op5_fingerprints
 from pactlens.llm.langid import op9_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,

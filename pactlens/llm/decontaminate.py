@@ -169,6 +169,14 @@ def find_overlaps(
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that overlap with a benchmark item; rows without an id stay; columns are as in docs."""
+    found = cut(find_overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id")).distinct())
+    if found.count() <= BROADCAST_NUMBERS:
+        found = F.broadcast(found)
+    return docs.join(found, F.col(id_col) == F.col("__id"), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated documents and the benchmark items found in them."""
     return find_overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))

@@ -32,6 +32,8 @@ OWN_RULES = (
 )
 RULES = (*BASE_RULES, *OWN_RULES)
 BASE_KINDS = tuple(r[0] for r in BASE_RULES)
+#: Findings of up to so many blobs and spans (under 100 bytes each) are broadcast to the documents; beyond, both are shuffled.
+BROADCAST_FINDINGS = 50_000
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 #: What a text must hold for a rule's pattern to match at all; a plain search is far cheaper than the pattern.
 _NEEDED = {"assign": ("=", ":"), "access": ("AKIA",), "private_key": ("-----BEGIN ",), "slack": ("xox",), "google": ("AIza",), "jwt": ("eyJ",), "github": ("gh",)}
@@ -137,6 +139,8 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger, text_col: str = "text", ru
     """
     ledger.update(docs.select(F.col(text_col).cast("string").alias("text")), rules)
     found = ledger.findings(rules).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
+    if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_FINDINGS:
+        found = F.broadcast(found)
     joined = docs.drop("secret_spans").join(found, blob_of(F.col(text_col)) == F.col("__blob"), "left")
     return joined.withColumn("secret_spans", F.coalesce("__spans", F.array().cast(SPANS))).drop("__blob", "__spans")
 
