@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.llm.components import connected_components
@@ -238,6 +238,24 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     )
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of every component: the one with the smallest id.
+
+    Of rows that share the id of a kept document, the one with the smallest text stays.  Rows
+    without an id stay.  Columns are as in docs.
+    """
+    verdict = cut(near_duplicates(docs, words, id_col, text_col).select(F.col(id_col).alias("__id"), "kept"))
+    removed = verdict.filter("NOT kept").select("__id").distinct()
+    out = docs.join(removed, F.col(id_col) == F.col("__id"), "left_anti")
+    repeated = cut(verdict.filter("kept AND __id IS NOT NULL").groupBy("__id").count().filter("count > 1").select("__id"))
+    if not repeated.isEmpty():
+        some = out.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
+        one = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+        some = some.withColumn("__rank", F.row_number().over(one)).filter("__rank = 1").drop("__rank")
+        out = out.join(repeated, F.col(id_col) == F.col("__id"), "left_anti").unionByName(some)
+    return out
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles over all documents."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
