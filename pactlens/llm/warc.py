@@ -115,9 +115,12 @@ def _encode(segment_bytes: int, chunk_bytes: int):
                 if len(block) <= segment_bytes:
                     out.append(_record([*kind, http], block))
                     continue
-                starts = range(0, len(block), segment_bytes)
-                for number, at in enumerate(starts, 1):
-                    piece = block[at : at + segment_bytes]
+                starts = [0]
+                while (at := starts[-1] + segment_bytes) < len(block):
+                    # A segment that began with the version line would complete a record mark with its own header.
+                    starts.append(at + 1 if block.startswith(VERSION, at) else at)
+                for number, (at, end) in enumerate(zip(starts, [*starts[1:], len(block)]), 1):
+                    piece = block[at:end]
                     if number == 1:
                         out.append(_record([*kind, http, ("WARC-Segment-Number", 1)], piece))
                         continue
@@ -191,15 +194,17 @@ def _parse(with_payload: bool):
         for batch in batches:
             out = []
             for piece in batch.column(0).to_pylist():
-                piece = piece.removeprefix(VERSION).removesuffix(END.encode())
-                raw, _, block = piece.partition(b"\r\n\r\n")
+                raw, _, block = piece.removeprefix(VERSION).partition(b"\r\n\r\n")
                 head = raw.decode("utf-8", "replace")
                 kind, record_id = _field(head, "WARC-Type"), _field(head, "WARC-Record-ID")
                 if kind in (None, "warcinfo", "metadata", "request"):
                     continue
                 origin, number = _field(head, "WARC-Segment-Origin-ID"), whole(_field(head, "WARC-Segment-Number"))
                 size, digest = whole(_field(head, "X-Payload-Length")), (_field(head, "WARC-Payload-Digest") or "").removeprefix("sha1:") or None
-                problem = None if whole(_field(head, "Content-Length")) == len(block) else "length"
+                stated = whole(_field(head, "Content-Length"))
+                if stated == len(block) - len(END) and block.endswith(END.encode()):  # the last record of an archive
+                    block = block[:stated]
+                problem = None if stated == len(block) else "length"
                 if kind == "response" and number is None and not problem:
                     problem, size, digest, block = _checked(block, digest)
                 keep = block if number is not None or with_payload and kind == "response" else None
