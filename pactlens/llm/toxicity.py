@@ -1,7 +1,8 @@
 """Toxicity: a sparse classifier regularised by counterfactuals.
 
-Labelled texts in which identity terms are swapped should score as before: the squared change of
-the score is part of the loss, so that neutral mentions of a group do not count as toxic.
+Labelled texts in which identity terms are swapped, for each other or for nothing, should score as
+before: the squared change of the score is part of the loss, so that neutral mentions of a group do
+not count as toxic.
 """
 
 from __future__ import annotations
@@ -48,6 +49,11 @@ def swap_identities(text: str) -> str:
     return _TERM.sub(lambda m: _SWAPS[m[0].lower()], text)
 
 
+def without_identities(text: str) -> str:
+    """The text with every identity term left out."""
+    return _TERM.sub(" ", text)
+
+
 def presence_features(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature buckets of every text of a slab, and where each text's begin."""
     words = Words(data, base, ALNUM_SPLIT)
@@ -75,35 +81,38 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], swapped: list[np.ndarray | None], toxic: np.ndarray) -> ToxicityModel:
+def fit(rows: list[np.ndarray], swapped: list[tuple[int, np.ndarray]], toxic: np.ndarray) -> ToxicityModel:
     """Accelerated proximal gradient on logistic loss, counterfactual penalty and an l1 term.
 
-    rows are sorted distinct features of each text, swapped those of its counterfactual or None if no
-    identity term occurs.  Features of fewer than LEAST_ROWS texts get no weight.  Without rows of
+    rows are sorted distinct features of each text, swapped pairs of a text's place in rows and the
+    features of one of its counterfactuals.  Features of fewer than LEAST_ROWS texts get no weight.  Without rows of
     both kinds the score is a constant on the side of the only kind (0.25 without any rows).
     """
     if not len(rows) or toxic.all() or not toxic.any():
         return ToxicityModel(np.zeros(1 << BITS, np.float32), 1.0 if len(rows) and toxic.all() else -1.1)
     support = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    both = [i for i, s in enumerate(swapped) if s is not None]
-    for i in both:  # a swapped-in term is held to its counterpart even if no text has it
-        support[swapped[i]] = np.maximum(support[swapped[i]], LEAST_ROWS * np.isin(swapped[i], rows[i], invert=True))
+    for i, other in swapped:  # a swapped-in term is held to its counterpart even if no text has it
+        support[other] = np.maximum(support[other], LEAST_ROWS * np.isin(other, rows[i], invert=True))
     used = np.flatnonzero(support >= LEAST_ROWS)
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
     x = _Sparse(rows, place, len(used))
-    same, other = _Sparse([rows[i] for i in both], place, len(used)), _Sparse([swapped[i] for i in both], place, len(used))
+    same, other = _Sparse([rows[i] for i, _ in swapped], place, len(used)), _Sparse([o for _, o in swapped], place, len(used))
     y = toxic.astype(np.float64)
     importance = np.where(toxic, TOXIC_WEIGHT, 1.0)
     importance = importance / importance.sum()
-    step = 4.0 / np.sqrt(np.diff(x.first).mean() + 1)
+    # The penalty's curvature is at most twice its weight times the mean number of features that a swap changes.
+    curvature = np.sqrt(np.diff(x.first).mean() + 1) / 4
+    if swapped:
+        curvature += 2 * COUNTERFACTUAL * np.mean([len(np.setxor1d(rows[i], o)) for i, o in swapped])
+    step = 1.0 / curvature
     w, v, bias, bias_v = np.zeros(len(used)), np.zeros(len(used)), -1.0, -1.0
     for t in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x.dot(v) + bias_v, -30, 30)))
         pull = importance * (p - y)
         grad, grad_bias = x.back(pull), pull.sum()
-        if both:
-            change = (other.dot(v) - same.dot(v)) * (2 * COUNTERFACTUAL / len(both))
+        if swapped:
+            change = (other.dot(v) - same.dot(v)) * (2 * COUNTERFACTUAL / len(swapped))
             grad = grad + other.back(change) - same.back(change)
         new = v - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * SPARSITY, 0)
@@ -139,21 +148,21 @@ class _Sparse:
 
 
 def _train_rows(batches):
-    """(label, text) to (label, features, features of the counterfactual or null)."""
-    kind = pa.list_(pa.int32())
+    """(label, text) to (label, features, features of each counterfactual, none without identity terms)."""
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        swapped = [swap_identities(t) for t in texts]
-        changed = [a != b for a, b in zip(texts, swapped)]
-        out = []
-        for strings in (texts, swapped):
+        versions = [texts, [swap_identities(t) for t in texts], [without_identities(t) for t in texts]]
+        found = []
+        for strings in versions:
             lists = []
             for _, _, data, base in slabs(pa.array(strings, type=pa.large_string())):
                 features, first = presence_features(data, base)
                 lists += [features[a:b] for a, b in zip(first[:-1], first[1:])]
-            out.append(lists)
-        other = [f if c else None for f, c in zip(out[1], changed)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], type=kind), pa.array(other, type=kind)], names=["label", "x", "other"])
+            found.append(lists)
+        other = [[found[1][i], found[2][i]] if versions[2][i] != t else [] for i, t in enumerate(texts)]
+        kind = pa.list_(pa.int32())
+        columns = [batch.column(0), pa.array(found[0], type=kind), pa.array(other, type=pa.list_(kind))]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "x", "other"])
 
 
 def train_toxicity_model(
@@ -165,16 +174,16 @@ def train_toxicity_model(
     )
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(MOST_ROWS)  # bounded, so it can be broadcast
     rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
-    found = rows.select("label", text_col).mapInArrow(_train_rows, "label bigint, x array<int>, other array<int>").toArrow()
-    lists = lambda c: [None if x is None else np.array(x, dtype=np.int32) for x in _each(found.column(c))]
-    return fit(lists("x"), lists("other"), np.array(found.column("label").to_pylist(), dtype=np.int64) > 0)
+    found = rows.select("label", text_col).mapInArrow(_train_rows, "label bigint, x array<int>, other array<array<int>>").toArrow()
+    features = [np.array(x, dtype=np.int32) for x in _each(found.column("x"))]
+    swapped = [(i, np.array(o, dtype=np.int32)) for i, others in enumerate(found.column("other").to_pylist()) for o in others]
+    return fit(features, swapped, np.array(found.column("label").to_pylist(), dtype=np.int64) > 0)
 
 
 def _each(column: pa.ChunkedArray):
     for chunk in column.chunks:
         values, offsets = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-        for i, valid in enumerate(chunk.is_valid().to_pylist()):
-            yield values[offsets[i] : offsets[i + 1]] if valid else None
+        yield from (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
