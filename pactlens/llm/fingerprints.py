@@ -24,7 +24,7 @@ MOST_PIECES = 64
 #: Signatures that are not equal must share a run of so many characters to be alike at all.
 COMMON = 4
 #: Bytes of text that a range of ids should hold.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 #: Bytes hashed at a time; longer texts go through in steps that overlap by a window.
@@ -138,9 +138,10 @@ def id_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RA
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows in id order within ranges, each range followed by a copy of the row that comes next.
 
-    Returns range, tail, id, text, partitioned by range and sorted; `tail` marks the copy, which for
-    the last range is the first row of all.  Order is by id (null first), then text.  One shuffle of
-    the texts; the only rows that move twice are the first ones of each range.
+    Returns range, tail, id, size, packed, partitioned by range and sorted; `tail` marks the copy,
+    which for the last range is the first row of all; packed is the UTF-8 text, compressed, and size
+    its length.  Order is by id (null first), then a hash of the text.  One shuffle of the compressed
+    texts; the only rows that move twice are the first ones of each range.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = id_ranges(rows, "id", "text", range_bytes)
@@ -162,8 +163,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     else:
         tails = rows.orderBy(F.col("id").asc_nulls_first(), F.sha2("text", 256)).limit(1).select("id", "text", "range")
     both = rows.select("range", F.lit(False).alias("tail"), "id", "text").unionByName(tails.withColumn("tail", F.lit(True)))
-    order = ["range", "tail", F.col("id").asc_nulls_first(), F.sha2("text", 256)]
-    return both.repartition(len(marks) + 1, "range").sortWithinPartitions(*order)
+    small = both.select("range", "tail", "id", F.sha2("text", 256).alias("place"), "text").mapInArrow(
+        _pack, "range int, tail boolean, id bigint, place string, size bigint, packed binary"
+    )
+    order = ["range", "tail", F.col("id").asc_nulls_first(), "place"]
+    return small.repartition(len(marks) + 1, "range").sortWithinPartitions(*order).drop("place")
+
+
+def _pack(batches):
+    for batch in batches:
+        raw = [t.as_buffer() for t in batch.column(4)]
+        packed = [pa.compress(r, codec="zstd", asbytes=True) if len(r) else b"" for r in raw]
+        sizes = pa.array([len(r) for r in raw], type=pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sizes, pa.array(packed, type=pa.binary())], names=["range", "tail", "id", "place", "size", "packed"])
 
 
 def _bisect(value: Column, marks: list[int], low: int, high: int) -> Column:
@@ -193,9 +205,9 @@ def _compare(batches):
     held = None
     for batch in batches:
         out = []
-        for span, tail, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            text = text.as_py()
-            own = fingerprint(text.encode())
+        for span, tail, doc, size, packed in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            raw = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+            text, own = raw.decode(), fingerprint(raw)
             if held is not None and held[0] == span:
                 _, before, before_text, before_print = held
                 changed = edited(before_text, text).encode()
