@@ -7,9 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(documents: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no blanks and ASCII escapes; null stays null, invalid JSON gives null."""
 

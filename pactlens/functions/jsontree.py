@@ -6,7 +6,9 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_NODE = T.StructType([T.StructField(name, T.StringType()) for name in ("path", "type", "text")])
 _TYPES = ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array"), (dict, "object"))
 
 
@@ -26,7 +28,7 @@ def walk(value, path: str = "$"):
             stack += [(v, f"{at}[*]") for v in reversed(node)]
 
 
-@F.pandas_udf("array<struct<path:string,type:string,text:string>>")
+@F.pandas_udf(T.ArrayType(_NODE))
 def field_paths(bodies: pd.Series) -> pd.Series:
     """Nodes of a JSON text; null, blank and invalid texts have none."""
 

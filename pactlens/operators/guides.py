@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.functions.identity import guide_key
 
@@ -59,6 +60,9 @@ def fences(markdown: Column) -> Column:
     return F.zip_with(tags, code, lambda t, c: F.struct(tag(t).alias("language"), c.alias("code")))
 
 
+_CHECK = T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("total", "validated", "skipped")], T.StructField("problem", T.StringType())])
+
+
 def _balanced(code: str) -> bool:
     pairs, stack = {")": "(", "]": "[", "}": "{"}, []
     for c in code:
@@ -69,7 +73,7 @@ def _balanced(code: str) -> bool:
     return not stack
 
 
-@F.pandas_udf("struct<total:int,validated:int,skipped:int,problem:string>")
+@F.pandas_udf(_CHECK)
 def check_fences(blocks: pd.Series) -> pd.DataFrame:
     """Python must parse, JavaScript and TypeScript must have balanced brackets, other languages are skipped."""
 

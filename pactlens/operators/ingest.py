@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.functions.jsontree import field_paths
 
@@ -78,7 +79,7 @@ def infer_schemas(calls: DataFrame, keys: tuple[str, ...], bodies: dict[str, str
     return per.select(*keys, "role", _assemble(F.col("paths")).alias("schema"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _assemble(paths: pd.Series) -> pd.Series:
     def one(rows) -> str:
         known = {r["path"]: r for r in rows}
@@ -123,7 +124,7 @@ def merge_documents(old: dict, new: dict) -> dict:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def merge_schemas(old: pd.Series, new: pd.Series) -> pd.Series:
     """JSON texts of two schemas to that of their union; null counts as empty.  Not commutative: fold in batch order."""
     load = lambda t: json.loads(t) if t else {}
@@ -149,7 +150,7 @@ def defacto_contract(specs: DataFrame, observed: DataFrame, key: str) -> DataFra
     return specs.join(grouped, key, "full_outer").select(key, _overlay(F.col("spec"), F.col("seen")).alias("contract"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _overlay(specs: pd.Series, seen: pd.Series) -> pd.Series:
     def put(holder: dict, schema: str | None) -> None:
         slot = holder.setdefault("content", {}).setdefault("application/json", {})

@@ -12,13 +12,20 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlens.functions.identity import call_site_hash
 from pactlens.functions.paths import SLOT, abstract_static_segments, normalize_template
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 HTTP_MODULES, CLIENT_CLASSES = ("requests", "httpx"), ("Client", "AsyncClient", "Session")
-_SITES = "array<struct<line:int,client_library:string,method:string,raw:string,names:array<string>,fields:array<string>>>"
+_SITE = T.StructType(
+    [
+        T.StructField("line", T.IntegerType()),
+        *[T.StructField(c, T.StringType()) for c in ("client_library", "method", "raw")],
+        *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("names", "fields")],
+    ]
+)
 
 
 class _PythonFile:
@@ -251,7 +258,7 @@ def mine_javascript(text: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(_SITES)
+@F.pandas_udf(T.ArrayType(_SITE))
 def _mine(texts: pd.Series, languages: pd.Series) -> pd.Series:
     names = ("line", "client_library", "method", "raw", "names", "fields")
     run = lambda text, language: mine_python(text) if language == "python" else mine_javascript(text)

@@ -11,11 +11,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_FLAT = "array<struct<scope:string,name:string,member:string,number:int,type:string,label:string,input:string,output:string>>"
+_COLUMNS = ("scope", "name", "member", "number", "type", "label", "input", "output")
+_FLAT = T.StructType([T.StructField(c, T.IntegerType() if c == "number" else T.StringType()) for c in _COLUMNS])
 
 
-@F.pandas_udf(_FLAT)
+@F.pandas_udf(T.ArrayType(_FLAT))
 def _flatten(blobs: pd.Series) -> pd.Series:
     """Messages, fields, services and methods of a descriptor set as flat rows; names carry the package."""
     from google.protobuf import descriptor_pb2 as pb

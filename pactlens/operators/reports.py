@@ -53,6 +53,10 @@ def _joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _of_verdict(verdict: str) -> Column:
+    return F.transform(F.filter("lines", lambda x: x["verdict"] == verdict), lambda x: x["line"])
+
+
 def report_text(changes: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, report: one plain-text report per group, sections by verdict in the changes' own order."""
     clients = F.when(F.size("affected_clients") > 0, F.concat(F.lit(" (affects: "), F.array_join("affected_clients", ", "), F.lit(")"))).otherwise("")
@@ -65,7 +69,7 @@ def report_text(changes: DataFrame, by: list[str], order: str) -> DataFrame:
     head = F.format_string("breaking=%d behavioral=%d additive=%d total=%d", "breaking", "behavioral", "additive", "total")
     parts = [F.array(head)]
     for v in VERDICTS:
-        own = F.transform(F.filter("lines", lambda x, v=v: x["verdict"] == v), lambda x: x["line"])
+        own = _of_verdict(v)
         parts.append(F.when(F.size(own) > 0, F.concat(F.array(F.concat(F.lit(f"  {v} ("), F.size(own).cast("string"), F.lit("):"))), own)).otherwise(F.array().cast("array<string>")))
     return per.select(*by, _joined(F.concat(*parts)).alias("report"))
 
@@ -89,7 +93,7 @@ def report_markdown(changes: DataFrame, by: list[str], order: str, accepted: boo
     banner = "> Breaking changes are accepted." if accepted else "> This change breaks clients."
     parts = [F.array(*table), F.when(F.col("breaking") > 0, F.array(F.lit(""), F.lit(banner))).otherwise(F.array().cast("array<string>"))]
     for v in VERDICTS:
-        own = F.transform(F.filter("lines", lambda x, v=v: x["verdict"] == v), lambda x: x["line"])
+        own = _of_verdict(v)
         title = F.concat(F.lit(f"### {_BADGES[v]} ("), F.size(own).cast("string"), F.lit(")"))
         parts.append(F.when(F.size(own) > 0, F.concat(F.array(F.lit(""), title, F.lit("")), own)).otherwise(F.array().cast("array<string>")))
     listed = F.concat(F.array(F.lit("| Client | Changes | Breaking |"), F.lit("|---|---:|:---:|")), F.transform("impact", lambda x: x["line"]))
