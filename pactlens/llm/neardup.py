@@ -8,6 +8,7 @@ key are candidates; every link is confirmed on the full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from pactlens.llm.sparkside import cut, read
 #: Half keys of each collection and minhashes in each.  At a similarity of 0.8 a pair is missed with
 #: probability 1 - (1 - (1 - 0.8**2)**8) * (1 - (1 - 0.8**3)**12), about 0.0005.
 LEFT, LEFT_ROWS, RIGHT, RIGHT_ROWS = 8, 2, 12, 3
-#: Rounds that compare each member of a table to one member only, before the rest is compared in full.
-STAR_ROUNDS = 2
+#: Shingles are also counted in so many bins, and in a few coarser ones; equal shingles fall into
+#: equal bins, so the bins bound what two sets share.
+BINS, COARSE, FULL = 256, 64, 32767
 
 
 def _sets(texts, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,7 +100,7 @@ def _sketch(k: int):
 
 
 def _bodies(k: int):
-    """Shingle sets, for the rows whose set is the one asked for."""
+    """Shingle sets and their bin counts, for the rows whose set is the one asked for."""
 
     def run(batches):
         for batch in batches:
@@ -112,7 +114,13 @@ def _bodies(k: int):
                 inside = np.repeat((low == want_low) & (high == want_high), np.diff(first))
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 body = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m).take(pa.array(good)), body], names=["id", "body"])
+                place = np.repeat(np.arange(m), np.diff(first)) * BINS + (grams & U64(BINS - 1)).astype(np.int64)
+                counts = np.bincount(place, minlength=m * BINS).reshape(m, BINS)[good]
+                bins = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(good) + 1) * BINS, BINS, dtype=np.int32)), pa.array(np.minimum(counts, FULL).ravel().astype(np.int16)))
+                folded = counts.reshape(-1, BINS // COARSE, COARSE).sum(axis=1)
+                coarse = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(good) + 1) * COARSE, COARSE, dtype=np.int32)), pa.array(np.minimum(folded, FULL).ravel().astype(np.int16)))
+                ids = batch.column(0).slice(i, m).take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([ids, body, bins, coarse], names=["id", "body", "bins", "coarse"])
 
     return run
 
@@ -183,47 +191,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
 def _links(source: DataFrame, nodes: DataFrame, live: DataFrame, words: int) -> DataFrame:
     """Confirmed links that join whatever the shared tables can join.
 
-    A table's members are first compared with one member each, over a few rounds with other picks;
-    members known to be in one component need no further comparison.  What is then still apart
-    within a table is compared in full, each pair in the first table that it shares, so no link that
-    would join two components is lost.
+    Each member of a table is first compared with one of them; members that turn out to be in one
+    component need no further comparison.  What is then still apart within a table is compared pair
+    by pair, each pair once and only if the bin counts leave room for a link.  That bound holds for
+    every pair, so no link that would join two components is lost.
     """
     wanted = nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "low", "high")
     bodies = cut(
         source.join(wanted, F.col("id") == F.col("node"))
         .select("id", "text", "low", "high")
-        .mapInArrow(_bodies(words), "id bigint, body array<bigint>")
+        .mapInArrow(_bodies(words), "id bigint, body array<bigint>, bins array<smallint>, coarse array<smallint>")
     )
-    links = None
-    state = live.withColumn("comp", F.col("node"))
-    for step in range(STAR_ROUNDS):
-        rank = F.xxhash64(F.lit(step), "comp")
-        pick = (
-            state.groupBy("key")
-            .agg(F.min(F.struct(rank.alias("h"), "comp", "node", "n")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .filter("lo < hi")
-            .select("key", F.col("hub.comp").alias("hub_comp"), F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"))
-        )
-        pairs = state.join(pick, "key").filter("comp <> hub_comp AND 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
-        new = cut(_confirmed(pairs.select(F.col("node").alias("x"), F.col("hub_node").alias("y")), bodies))
-        links = new if links is None else links.unionByName(new)
-        found = connected_components(links)
-        state = live.join(found, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("comp"))
-    apart = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "lo")
-    rest = cut(state.join(apart, "key").join(nodes.select("node", "halves"), "node"))
-    x, y = rest.filter("comp <> lo").alias("x"), rest.alias("y")
-    # The pair's tables are all combinations of its equal left and right halves: (i, j) is the first if none before is equal.
-    first_equal = lambda at, wide: F.array_position(
-        F.zip_with(F.slice("x.halves", at, wide), F.slice("y.halves", at, wide), lambda a, b: a == b), F.lit(True)
-    )
-    first_key = F.xxhash64(
-        (first_equal(1, LEFT) - 1).cast("int"),
-        F.get("x.halves", (first_equal(1, LEFT) - 1).cast("int")),
-        (first_equal(LEFT + 1, RIGHT) - 1).cast("int"),
-        F.get("x.halves", (LEFT + first_equal(LEFT + 1, RIGHT) - 1).cast("int")),
-    )
-    close = F.col("x.n").between(F.col("y.n") * 0.8 - 1, F.col("y.n") / 0.8 + 1)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close & (F.col("x.key") == first_key))
+    hub = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("hub"))
+    hub = hub.select("key", F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"))
+    pairs = live.join(hub, "key").filter("node <> hub_node AND 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
+    links = cut(_confirmed(pairs.select(F.col("node").alias("x"), F.col("hub_node").alias("y")), bodies))
+    found = connected_components(links)
+    state = live.join(found, "node", "left").select("node", "n", "key", F.coalesce("component", "node").alias("comp"))
+    apart = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    loose = state.join(apart, "key", "left_semi").select("node", "n", "comp").distinct()
+    loose = loose.join(nodes.select("node", "halves"), "node").join(bodies.select(F.col("id").alias("node"), "bins", "coarse"), "node")
+    # Whoever shares a table shares a left half: these are joined, and the right halves are compared there.
+    lanes = cut(loose).select("*", F.posexplode(F.slice("halves", 1, LEFT)).alias("lane", "half"))
+    low = lanes.groupBy("lane", "half").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("lane", "half", "lo")
+    x, y = lanes.join(low, ["lane", "half"]).filter("comp <> lo").alias("x"), lanes.alias("y")
+    equal = lambda at, wide: F.zip_with(F.slice("x.halves", at, wide), F.slice("y.halves", at, wide), lambda a, b: a == b)
+    most = lambda c: F.aggregate(F.zip_with(f"x.{c}", f"y.{c}", lambda a, b: F.least(a, b)), F.lit(0), lambda total, v: total + v.cast("int"))
+    # 100 * shared >= 80 * union, where the union is n + n - shared; without a bound where a bin may be full.
+    full = F.least("x.n", "y.n") > FULL
+    room = lambda c: full | (180 * most(c) >= 80 * (F.col("x.n") + F.col("y.n")))
+    tests = [
+        (F.col("x.lane") == F.col("y.lane")) & (F.col("x.half") == F.col("y.half")) & (F.col("x.comp") != F.col("y.comp")),
+        F.col("x.n").between(F.col("y.n") * 0.8 - 1, F.col("y.n") / 0.8 + 1),
+        F.array_position(equal(1, LEFT), F.lit(True)) == F.col("x.lane") + 1,
+        F.array_contains(equal(LEFT + 1, RIGHT), F.lit(True)),
+        room("coarse"),
+        room("bins"),
+    ]
+    pairs = x.join(y, reduce(lambda a, b: a & b, tests))
     last = _confirmed(pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")), bodies)
     return links.unionByName(cut(last))
 
