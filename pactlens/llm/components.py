@@ -25,8 +25,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .filter("u IS NOT NULL AND v IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND u > v")
         .distinct()
     )
-    before = _mark(work)
-    for _ in range(max_rounds if before[0] else 0):
+    for _ in range(max_rounds):
+        if _is_settled(work):
+            break
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
@@ -34,20 +35,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         work = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
-        after = _mark(work)
-        if after == before:
-            break
-        before = after
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")
-    ).first()
-    return row["n"], row["s"]
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smallest node that itself hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("root"))
+    )
+    seen = ends.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if(F.col("root").isNull()).alias("hung_on"))
+    return seen.filter("lo < hi OR (lo IS NOT NULL AND hung_on > 0)").isEmpty()
