@@ -17,10 +17,12 @@ from pactlens.llm.hashing import slabs
 from pactlens.llm.sparkside import crc_mod, read
 
 #: At most about so many labelled rows of each language are fitted, chosen by a hash of id and text.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 1000
 #: Languages with fewer labelled rows are not learned, nor ones beyond the most frequent so many.
 LEAST_ROWS, MOST_LANGUAGES = 5, 100
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 15, 16, 6
+#: Bytes of text that are predicted at a time; the scratch arrays take some eighty times as much.
+PREDICT_BYTES = 1 << 19
 #: Lengths of the subwords, in bytes of lower-cased text.
 SUBWORDS = (3, 4)
 #: Texts are rejected below this share of the least confidence of any calibration row that is right,
@@ -122,9 +124,10 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
             pieces.append(" ".join(words[at : at + size]))
             target.append(label[i])
     rows = []
-    for _, _, data, base in slabs(pa.array(pieces, type=pa.large_string())):
+    for _, _, data, base in slabs(pa.array(pieces, type=pa.large_string()), PREDICT_BYTES):
         buckets, first = subword_buckets(data, base)
-        rows += [np.unique(buckets[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
+        each = (np.unique(buckets[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:]))
+        rows += [(at.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)) for at, counts in each]
     embedding = (rng.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
     steps, step = EPOCHS * len(rows), 0
@@ -132,10 +135,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
         for i in rng.permutation(len(rows)):
             rate = 0.5 * (1 - step / steps)
             step += 1
-            at, counts = rows[i]
+            at, share = rows[i]
             if not len(at):
                 continue
-            share = counts / counts.sum()
             mean = share @ embedding[at]
             z = mean @ weights + bias
             p = np.exp(z - z.max())
@@ -147,7 +149,7 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
             embedding[at] -= (rate * min(len(at), 50)) * share[:, None] * back
     model = LanguageModel(names, np.ascontiguousarray((embedding @ weights).T.astype(np.float32)), bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    logits = np.concatenate([model.logits(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()))])
+    logits = np.concatenate([model.logits(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()), PREDICT_BYTES)])
     model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, label[check]))
     p = model.probabilities(logits)
     right = p.argmax(axis=1) == label[check]
@@ -188,19 +190,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     model_ref = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, a bounded size
     docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
 
-    @F.pandas_udf("lang string, score double, accepted boolean")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("struct<lang:string,score:double,accepted:boolean>")
+    def predict(texts: pa.Array) -> pa.Array:
         model = model_ref.value
-        parts = []
-        for _, _, data, base in slabs(pa.Array.from_pandas(texts, type=pa.large_string())):
-            p = model.probabilities(model.logits(data, base))
-            parts.append(p)
+        parts = [model.probabilities(model.logits(d, b)) for _, _, d, b in slabs(texts, PREDICT_BYTES)]
         p = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
         score = p.max(axis=1) if len(p) else np.zeros(0)
-        lang = np.array(model.languages, dtype=object)[p.argmax(axis=1)] if len(p) else np.zeros(0, object)
-        return pd.DataFrame({"lang": lang, "score": score, "accepted": score >= model.threshold})
+        lang = pa.array(model.languages, type=pa.string()).take(pa.array(p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([lang, pa.array(score), pa.array(score >= model.threshold)], names=["lang", "score", "accepted"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn("__found", predict(F.col(text_col)))

@@ -193,12 +193,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """
     model_ref = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        parts = [model_ref.value.scores(*presence_features(d, b)) for _, _, d, b in slabs(pa.Array.from_pandas(texts, type=pa.large_string()))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model_ref.value.scores(*presence_features(d, b)) for _, _, d, b in slabs(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.drop("toxicity").withColumn("toxicity", score(F.col(text_col)))
 
