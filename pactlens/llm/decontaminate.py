@@ -20,7 +20,7 @@ MASKS = ("11110111", "1101101011", "1110010111")
 #: An overlap has at least so many equal words, of which at least this share of its length ...
 MIN_WORDS = 10
 MIN_IDENTITY = 0.75
-#: ... where a differing word costs as much as so many equal ones earn.
+#: ... which it has just when its equal words are at least so many times its differing ones.
 MISMATCH = 3
 #: Up to so many benchmark seeds (16 bytes each) are broadcast as a filter; beyond, all windows are joined.
 BROADCAST_SEEDS = 2_000_000
@@ -83,16 +83,27 @@ def _word_lists(batches):
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(start in the document, end, equal words) of the best-scoring stretch on a diagonal."""
+    """(start in the document, end, equal words) of the stretch of a diagonal with the most equal words.
+
+    Only stretches with MIN_IDENTITY count; of those with as many equal words the shortest is taken.
+    """
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
     if high <= low:
         return 0, 0, 0
     same = doc[low + diagonal : high + diagonal] == item[low:high]
+    if not same.any():
+        return 0, 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: end + 1] == lowest[end])[-1])
-    return low + diagonal + start, low + diagonal + end, int(np.count_nonzero(same[start:end]))
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # For each end the first start whose sum is no higher, then past the differing words that it begins with.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    places = np.flatnonzero(same)
+    start = places[np.minimum(np.searchsorted(places, start), len(places) - 1)]
+    ends = places + 1
+    start = start[ends]
+    count = equal[ends] - equal[start]
+    best = np.lexsort((ends - start, -count))[0]
+    return low + diagonal + int(start[best]), low + diagonal + int(ends[best]), int(count[best])
 
 
 def _verify(batches):

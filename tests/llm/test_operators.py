@@ -382,6 +382,24 @@ def test_overlaps_tolerate_substitutions(spark):
     assert decontaminate.find_overlaps(empty(spark), bench).count() == 0 and decontaminate.find_overlaps(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_overlaps_need_no_unbroken_best_run(spark):
+    words = prose(903, 21).split()
+    block = " ".join([*words[:9], "zz", "zz", "zz", *words[12:]])
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    got = decontaminate.find_overlaps(frame(spark, [(1, f"{prose(5, 30)} {block} {prose(6, 30)}")]), bench).collect()
+    assert [(g.start_word, g.end_word, g.equal_words) for g in got] == [(30, 51, 18)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.booleans(), max_size=30))
+def test_best_overlap_has_the_most_equal_words(same):
+    item = np.arange(len(same), dtype=np.uint64)
+    doc = np.where(same, item, item + np.uint64(1000))
+    start, end, equal = decontaminate.best_overlap(doc, item, 0)
+    spans = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if sum(same[a:b]) >= 0.75 * (b - a)]
+    assert (equal, start - end) == max(spans, default=(0, 0)) and equal == sum(same[start:end])
+
+
 # op9 ----------------------------------------------------------------------------------------------
 
 _TONGUES = {"aa": ("the", "ing", "tion", "er", "and", "st"), "bb": ("sch", "ung", "ein", "ver", "ß", "ich"), "cc": ("ción", "que", "os", "ñ", "ar", "el")}
