@@ -3,10 +3,13 @@
 Each mask looks at some of the word positions of a window and ignores the others, so a window
 still hits when an ignored word was substituted.  Hits of documents and benchmark items on the
 same hash give diagonals; around them the aligned words are compared and overlaps confirmed.
+Short items have masks as long as they are, one of which hits whichever words were substituted.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,25 +20,54 @@ from pactlens.llm.sparkside import cut, read
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("11110111", "1101101011", "1110010111")
-#: An overlap has at least so many equal words, of which at least this share of its length ...
+#: An overlap has at least so many equal words (this share of the item's, if that is less) and at least
+#: this share of its length ...
 MIN_WORDS = 10
 MIN_IDENTITY = 0.75
 #: ... which it has just when its equal words are at least so many times its differing ones.
 MISMATCH = 3
+#: Items with fewer words have fitted masks: with so many, MIN_WORDS are less than MIN_IDENTITY of them.
+LONG_ITEM = 14
 #: Up to so many benchmark seeds (16 bytes each) are broadcast as a filter; beyond, all windows are joined.
 BROADCAST_SEEDS = 2_000_000
 #: Candidates of up to so many numbers (8 bytes each) are broadcast to the documents; beyond, texts are shuffled.
 BROADCAST_NUMBERS = 1_000_000
 
 
-def _windows(words: Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def needed(length: int) -> int:
+    """Equal words that an overlap with an item of so many words has at least."""
+    return min(MIN_WORDS, -(-length * MISMATCH // (MISMATCH + 1)))
+
+
+def fitted_masks(length: int) -> list[tuple[str, int]]:
+    """Masks for an item of so many words, each with the item's word that it begins at.
+
+    The words are cut into three blocks more than may differ; each mask ignores as many blocks as
+    words may differ, so that some mask ignores all that do.
+    """
+    differ = length - needed(length)
+    blocks = np.array_split(np.arange(length), min(length, differ + 3) if differ else 1)
+    out = []
+    for ignored in combinations(blocks, differ):
+        looked_at = sorted(set(range(length)).difference(*(b.tolist() for b in ignored)))
+        mask = "".join("1" if p in looked_at else "0" for p in range(looked_at[0], looked_at[-1] + 1))
+        out.append((mask, looked_at[0]))
+    return out
+
+
+def _item_masks() -> list[tuple[str, int | None, int]]:
+    """(mask, number of words of the items that it is for, the word it begins at) for all items; MASKS, for long ones, anywhere."""
+    return [(m, None, 0) for m in MASKS] + [(m, n, at) for n in range(1, LONG_ITEM) for m, at in fitted_masks(n)]
+
+
+def _windows(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first word within the text) of every window of one mask."""
     span = len(mask)
     counts = np.maximum(np.diff(words.first) - span + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = place + words.first[:-1][owner]
-    h = np.full(len(at), U64(number + 1), dtype=U64)
+    h = np.full(len(at), U64(int(mask, 2)), dtype=U64)
     with np.errstate(over="ignore"):
         for j, bit in enumerate(mask):
             if bit == "1":
@@ -44,6 +76,31 @@ def _windows(words: Words, mask: str, number: int) -> tuple[np.ndarray, np.ndarr
     return h, owner, place
 
 
+def _item_seeds(batches):
+    """(id, text) of items to (id, mask, hash, pos): windows of MASKS in long items, of fitted masks in short ones."""
+    for batch in batches:
+        for i, j, data, base in slabs(batch.column(1)):
+            words = Words(data, base, ALNUM_SPLIT)
+            lengths = np.diff(words.first)
+            present = set(lengths.tolist())
+            for mask, length, begin in _item_masks():
+                if length is not None and length not in present:
+                    continue
+                h, owner, place = _windows(words, mask)
+                fits = lengths[owner] >= LONG_ITEM if length is None else (lengths[owner] == length) & (place == begin)
+                h, owner, place = h[fits], owner[fits], place[fits]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, j - i).take(pa.array(owner)),
+                            pa.array([mask] * len(h), type=pa.string()),
+                            pa.array(h.view(np.int64)),
+                            pa.array(place),
+                        ],
+                        names=["id", "mask", "hash", "pos"],
+                    )
+
+
 def _seeds(masks, wanted=None):
     """Arrow function: (id, text) to (id, hash, pos); with `wanted`, only hashes in that sorted array."""
 
@@ -56,8 +113,8 @@ def _seeds(masks, wanted=None):
         for batch in batches:
             for i, j, data, base in slabs(batch.column(1)):
                 words = Words(data, base, ALNUM_SPLIT)
-                for number, mask in enumerate(masks):
-                    h, owner, place = _windows(words, mask, number)
+                for mask in masks:
+                    h, owner, place = _windows(words, mask)
                     if keep is not None:
                         some = np.flatnonzero(present[(h >> U64(64 - bits)).astype(np.int64)])
                         at = np.searchsorted(keep, h[some])
@@ -120,7 +177,7 @@ def _verify(batches):
                     for diagonal in found["diagonals"]:
                         best = max(best, best_overlap(doc, item, diagonal), key=lambda x: x[2])
                     start, end, equal = best
-                    if end > start and equal >= min(MIN_WORDS, len(item)) and equal >= MIN_IDENTITY * (end - start):
+                    if end > start and equal >= needed(len(item)):
                         out.append((ids[r].as_py(), found["item"], start, end, equal, len(item)))
         columns = list(zip(*out)) if out else [[]] * 6
         yield pa.RecordBatch.from_arrays(
@@ -140,25 +197,31 @@ def find_overlaps(
 
     Returns id_col, item_id, start_word, end_word, equal_words, item_words: for each document and
     item the best overlap, where the document's words from start_word up to end_word (not included)
-    stand against the item's, at least MIN_WORDS of them equal (all, for shorter items) and at least
-    MIN_IDENTITY of the stretch.  Words are runs of ASCII letters and digits and of anything beyond
-    ASCII, lower-cased.  Items shorter than the shortest mask cannot be found.  Rows with a null id
-    or text, and empty tables, give nothing; rows that share an id are versions of one document
-    (its best overlap counts); repeated rows give one result.
+    stand against the item's, at least MIN_WORDS of them equal (MIN_IDENTITY of the item's words, if
+    that is less) and at least MIN_IDENTITY of the stretch.  Words are runs of ASCII letters and
+    digits and of anything beyond ASCII, lower-cased.  Overlaps with items of fewer than LONG_ITEM
+    words are all found; an item of one word is found wherever that word stands.  Rows with a null id
+    or text, items without a word, and empty tables, give nothing; rows that share an id are versions
+    of one document (its best overlap counts); repeated rows give one result.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     shape = "id bigint, hash bigint, pos bigint"
-    seeds = cut(items.mapInArrow(_seeds(MASKS), shape).select(F.col("id").alias("item"), "hash", F.col("pos").alias("item_pos")))
+    seeds = cut(
+        items.mapInArrow(_item_seeds, "id bigint, mask string, hash bigint, pos bigint").select(
+            F.col("id").alias("item"), "mask", "hash", F.col("pos").alias("item_pos")
+        )
+    )
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
     hashes = seeds.select("hash").distinct()
     if hashes.count() <= BROADCAST_SEEDS:
         wanted = np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(U64)
-        hits = source.mapInArrow(_seeds(MASKS, spark.sparkContext.broadcast(np.sort(wanted))), shape)
+        hits = source.mapInArrow(_seeds(masks, spark.sparkContext.broadcast(np.sort(wanted))), shape)
     else:
-        hits = source.mapInArrow(_seeds(MASKS), shape)
+        hits = source.mapInArrow(_seeds(masks), shape)
     diagonals = (
-        hits.join(seeds, "hash")
+        hits.join(seeds.drop("mask"), "hash")
         .groupBy("id", "item")
         .agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("diagonals"))
     )

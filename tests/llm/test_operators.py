@@ -400,6 +400,25 @@ def test_best_overlap_has_the_most_equal_words(same):
     assert (equal, start - end) == max(spans, default=(0, 0)) and equal == sum(same[start:end])
 
 
+def test_overlaps_with_short_items(spark):
+    items = [(n, prose(910 + n, n)) for n in range(1, 14)]
+    rows = []
+    for n, item in items:
+        places = random.Random(n).sample(range(n), n // 4 + 1)
+        for key, gone in ((n, []), (100 + n, places[1:]), (200 + n, places)):
+            rows.append((key, "zz " + " ".join("zz" if i in gone else w for i, w in enumerate(item.split())) + " zz"))
+        rows.append((300 + n, item))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.find_overlaps(frame(spark, rows), bench).collect()
+    assert {g.doc_id for g in got if g.doc_id % 100 == g.item_id} == {k + n for k in (0, 100, 300) for n, _ in items}
+
+
+@given(st.integers(1, 13), st.data())
+def test_some_fitted_mask_ignores_all_words_that_may_differ(n, data):
+    differ = data.draw(st.sets(st.integers(0, n - 1), max_size=n - decontaminate.needed(n)))
+    assert any(all(mask[p - at] == "0" for p in differ if at <= p < at + len(mask)) for mask, at in decontaminate.fitted_masks(n))
+
+
 # op9 ----------------------------------------------------------------------------------------------
 
 _TONGUES = {"aa": ("the", "ing", "tion", "er", "and", "st"), "bb": ("sch", "ung", "ein", "ver", "ß", "ich"), "cc": ("ción", "que", "os", "ñ", "ar", "el")}
