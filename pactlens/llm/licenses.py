@@ -2,8 +2,9 @@
 
 All rolling three-word hashes of the documents are joined to their positions in license templates.
 A hit votes for the diagonal (document position minus template position); votes are gathered by
-document, template and diagonal, diagonals close to each other are merged, and the words that the
-votes cover decide whether the span holds.
+document, template and diagonal, and diagonals close to each other are merged.  A span is then held
+against the document: words left out and words put in count against it, the words that tell its
+license from others must be as they should, and of competing spans the best is kept.
 """
 
 from __future__ import annotations
@@ -71,6 +72,21 @@ TEMPLATES = (
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
 )
 
+_COMMERCIAL, _ALIKE = ("noncommercial", "commercial"), ("sharealike", "alike")
+_DERIVATIVES = ("noderivatives", "noderivs", "derivatives", "derivs")
+_OTHER_GPL = ("lesser", "library", "affero")
+#: What tells a license from others: words of which a span has one at least, words of which it has
+#: none, and the first number in it ("" for any).
+MARKS = {
+    "apache-2": (("apache",), (), "2"),
+    "gpl": (("gnu",), _OTHER_GPL, ""),
+    "gpl-3": (("gnu",), _OTHER_GPL, "3"),
+    "mpl-2": (("mozilla",), (), "2"),
+    "cc-by-nc": (_COMMERCIAL, _ALIKE + _DERIVATIVES, ""),
+    "cc-by-sa": (_ALIKE, _COMMERCIAL + _DERIVATIVES, ""),
+    "cc-by": ((), _COMMERCIAL + _ALIKE + _DERIVATIVES, ""),
+}
+
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +118,36 @@ def _template_grams(spark: SparkSession, base, templates) -> DataFrame:
     ).select("template", "label", "base", "length", "t_pos", F.slice("words", F.col("t_pos") + 1, K).alias("t_words"), "hash")
 
 
+def _marked(label: Column, words: Column) -> Column:
+    """Whether the words of a span have what MARKS asks of its label."""
+    number = F.get(F.filter(words, lambda w: w.rlike("^v?[0-9]+$")), F.lit(0))
+    good = F.lit(True)
+    for name, (some, none, version) in MARKS.items():
+        holds = F.lit(True)
+        if some:
+            holds &= F.arrays_overlap(words, F.array(*map(F.lit, some)))
+        if none:
+            holds &= ~F.arrays_overlap(words, F.array(*map(F.lit, none)))
+        if version:
+            holds &= F.coalesce(F.ltrim(number, F.lit("v")) == version, F.lit(False))
+        good = F.when(label == name, holds).otherwise(good)
+    return good
+
+
+def _uncontested(spans: DataFrame, reach: int) -> DataFrame:
+    """spans without the tolerant ones that share half the words of either with a better one; no span is wider than `reach`."""
+    near = Window.partitionBy("id", "text_hash").orderBy("start_word").rangeBetween(-reach, reach)
+    rank = F.struct("coverage", "matched")
+    rivals = F.collect_list(F.when(~F.col("base") & (F.col("coverage") >= MIN_COVERAGE), F.struct("start_word", "end_word", rank.alias("rank")))).over(near)
+
+    def beaten(o: Column) -> Column:
+        shared = F.least("end_word", o["end_word"]) - F.greatest("start_word", o["start_word"])
+        shorter = F.least(F.col("end_word") - F.col("start_word"), o["end_word"] - o["start_word"])
+        return (o["rank"] > rank) & (shared * 2 >= shorter)
+
+    return spans.withColumn("rivals", rivals).filter(F.col("base") | ~F.exists("rivals", beaten)).drop("rivals")
+
+
 def license_spans(
     docs: DataFrame,
     base=BASE_PHRASES,
@@ -113,9 +159,11 @@ def license_spans(
 
     Returns id, text_hash, label, base, start_word, end_word, coverage: one row per span, word
     positions from 0, the end not included.  For base phrases only exact spans are returned.
-    coverage is the share of the template's words that verified runs cover.  The row key is the id with the
-    text's hash, so rows that share an id but not a text stay apart, and repeated rows give their
-    spans once.  Null and empty texts and empty tables give none.
+    coverage is the share of the template's words that verified runs cover, where words put in count as
+    further words of the template.  Tolerant spans that lack what MARKS asks for are not returned, nor
+    those that compete with a better one.  The row key is the id with the text's hash, so rows that
+    share an id but not a text stay apart, and repeated rows give their spans once.  Null and empty
+    texts and empty tables give none.
     """
     spark = docs.sparkSession
     grams = _template_grams(spark, base, templates)
@@ -125,10 +173,13 @@ def license_spans(
     rolled = worded.select("id", "text_hash", "words", F.posexplode(_gram_hashes(F.col("words"))).alias("pos", "hash"))
     # The templates are the constants above (or the caller's), a few hundred rows.
     hits = rolled.join(F.broadcast(grams), "hash").filter(F.slice("words", F.col("pos") + 1, K) == F.col("t_words"))
+    # A span that holds is no wider than this; some words more show what stands in place of a missing end.
+    widest = F.ceil(F.col("length") / MIN_COVERAGE).cast("int")
     votes = (
         hits.withColumn("diagonal", F.col("pos") - F.col("t_pos"))
+        .withColumn("ahead", F.slice("words", F.col("pos") + 1, widest + F.col("length") + DRIFT))
         .groupBy("id", "text_hash", "template", "label", "base", "length", "diagonal")
-        .agg(F.collect_set("t_pos").alias("t_at"))
+        .agg(F.collect_set("t_pos").alias("t_at"), F.min_by("ahead", "pos").alias("ahead"))
     )
     lane = Window.partitionBy("id", "text_hash", "template").orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(lane) > DRIFT
@@ -136,12 +187,24 @@ def license_spans(
     merged = merged.withColumn("span", F.sum("new").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
     spans = merged.groupBy("id", "text_hash", "template", "label", "base", "length", "span").agg(
         F.array_distinct(F.flatten(F.collect_list("t_at"))).alias("t_at"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform("t_at", lambda p: p + F.col("diagonal"))))).alias("d_at"),
         F.min(F.col("diagonal") + F.array_min("t_at")).alias("start_word"),
         F.max(F.col("diagonal") + F.array_max("t_at") + K).alias("end_word"),
+        F.min_by("ahead", F.col("diagonal") + F.array_min("t_at")).alias("ahead"),
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("t_at", lambda p: F.sequence(p, p + (K - 1))))))
-    spans = spans.withColumn("coverage", covered / F.col("length"))
-    return spans.filter("NOT base OR coverage = 1.0").select("id", "text_hash", "label", "base", "start_word", "end_word", "coverage")
+    covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + (K - 1))))))
+    spans = spans.withColumn("t_covered", covered("t_at")).withColumn("d_covered", covered("d_at"))
+    width, t_end = F.col("end_word") - F.col("start_word"), F.array_max("t_at") + K
+    left_out = t_end - F.array_min("t_at") - F.col("t_covered")
+    put_in = F.greatest(F.lit(0), width - F.col("d_covered") - left_out)
+    spans = spans.withColumn("matched", F.least("t_covered", "d_covered"))
+    spans = spans.withColumn("coverage", F.col("matched") / (F.col("length") + put_in))
+    missing = F.col("length") - t_end
+    aligned = F.slice("ahead", F.lit(1), (width + F.when(missing > 0, missing + DRIFT).otherwise(0)).cast("int"))
+    spans = spans.filter(F.when(F.col("base"), F.col("coverage") == 1.0).otherwise(_marked(F.col("label"), aligned)))
+    spans = spans.select("id", "text_hash", "label", "base", "start_word", "end_word", "coverage", "matched")
+    longest = max((len(text.split()) for _, text in (*base, *templates)), default=0)
+    return _uncontested(spans, int(2 * longest / MIN_COVERAGE) + 1).drop("matched")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

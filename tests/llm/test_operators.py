@@ -88,6 +88,37 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_that_differ_in_a_word(spark):
+    cc, gnu = "licensed under a Creative Commons Attribution{} 4.0 International License.", "Licensed under the GNU {}General Public License, version {}."
+    notice = dict(licenses.TEMPLATES)["gpl"]
+    texts = [
+        (cc.format(""), "cc-by", 1.0),
+        (cc.format("-NonCommercial"), "cc-by-nc", 1.0),
+        (cc.format("-ShareAlike"), "cc-by-sa", 1.0),
+        (cc.format(" Non-Commercial"), "cc-by-nc", 10 / 12),
+        (cc.format("-NonCommercial-ShareAlike"), "", 0.0),
+        (cc.format("-NoDerivatives"), "", 0.0),
+        (gnu.format("", 3), "gpl-3", 1.0),
+        (gnu.format("", 2), "", 0.0),
+        (gnu.format("Lesser ", 3), "", 0.0),
+        (gnu.format("Affero ", 3), "", 0.0),
+        ("Licensed under the GNU General Public License v3 here", "gpl-3", 7 / 9),
+        ("Licensed under the GNU General Public License (GPL) version 3", "gpl-3", 7 / 9),
+        (notice, "gpl", 1.0),
+        (notice.replace("GNU", "GNU Lesser"), "", 0.0),
+        (dict(licenses.TEMPLATES)["apache-2"].replace("2.0", "1.1"), "", 0.0),
+        (" ".join(cc.format("").split() * 3), "cc-by", 1.0),
+        (cc.format("") + " " + cc.format("-ShareAlike"), "cc-by,cc-by-sa", 1.0),
+    ]
+    rows = [(n, f"{prose(n, 20)} {text} {prose(50 + n, 20)}") for n, (text, _, _) in enumerate(texts)]
+    got = by_id(licenses.scan_licenses(frame(spark, rows)))
+    assert [got[n].labels for n in range(len(texts))] == [label for _, label, _ in texts]
+    assert all(abs(got[n].score - score) < 1e-6 if label else got[n].score < 0.6 for n, (_, label, score) in enumerate(texts))
+    halves = dict(licenses.TEMPLATES)["mpl-2"].split()
+    put_in = " ".join(f"{w} {prose(n, 2)}" if n in (5, 10) else w for n, w in enumerate(halves))
+    assert by_id(licenses.scan_licenses(frame(spark, [(1, put_in)])))[1].score < 0.85
+
+
 # op2 ----------------------------------------------------------------------------------------------
 
 
