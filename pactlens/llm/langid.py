@@ -1,7 +1,8 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
 Trained in numpy by stochastic gradient descent on a bounded sample of labelled texts, calibrated
-on rows held back from it, with a rejection threshold from the same rows.
+on rows held back from it, with rejection thresholds from the same rows: one for the confidence and
+one for the share of subwords that no fitted text has.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ BUCKETS, DIMENSIONS, EPOCHS = 1 << 15, 16, 6
 PREDICT_BYTES = 1 << 19
 #: Lengths of the subwords, in bytes of lower-cased text.
 SUBWORDS = (3, 4)
-#: Texts are rejected below this share of the least confidence of any calibration row that is right,
-#: but never when the calibrated confidence says that the answer is likelier right than wrong.
-REJECT_SHARE, REJECT_MOST = 0.9, 0.5
+#: Share of rightly classified calibration rows of each language that each of the two rejections may cost.
+REJECT_RIGHT = 0.005
+#: So many known subwords are added to every text, so that a few strange ones in a short text do not reject it.
+KNOWN_PRIOR = 20
 
 #: ASCII letters to lower case, bytes beyond ASCII unchanged, all else blank.
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
@@ -72,27 +74,40 @@ def subword_buckets(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass
 class LanguageModel:
-    """languages, the class weights that each bucket's embedding stands for, temperature and rejection threshold.
+    """languages, the class weights that each bucket's embedding stands for, temperature and rejection thresholds.
 
     Embedding and softmax are both linear, so bucket by bucket their product is kept: the average of
-    the rows of `table` over a text's subwords is the text's average embedding times the weights.
+    the rows of `table` over a text's subwords is the text's average embedding times the weights.  `seen` are the buckets
+    of the fitted texts; texts are rejected below the confidence in `thresholds` of their language, or
+    above the share of unseen subwords in `strangest`.
     """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray
+    seen: np.ndarray
+    strangest: np.ndarray
 
     def logits(self, data: np.ndarray, base: np.ndarray) -> np.ndarray:
+        return self.look(data, base)[0]
+
+    def look(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and shares of unseen subwords."""
         buckets, first = subword_buckets(data, base)
         counts = np.diff(first)
-        out = np.zeros((len(counts), len(self.languages)))
+        out, strange = np.zeros((len(counts), len(self.languages))), np.zeros(len(counts))
         has = np.flatnonzero(counts)
         if len(has):
             for c in range(len(self.languages)):
                 out[has, c] = np.add.reduceat(self.table[c][buckets], first[:-1][has], dtype=np.float64) / counts[has]
-        return out + self.bias
+            strange[has] = np.add.reduceat(~self.seen[buckets], first[:-1][has], dtype=np.int64) / (counts[has] + KNOWN_PRIOR)
+        return out + self.bias, strange
+
+    def accepted(self, p: np.ndarray, strange: np.ndarray) -> np.ndarray:
+        best = p.argmax(axis=1)
+        return (p.max(axis=1) >= self.thresholds[best]) & (strange <= self.strangest[best])
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -101,14 +116,15 @@ class LanguageModel:
 
 
 def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
-    """Fit on texts and their languages; with one language or none the model is a constant.
+    """Fit on texts and their languages; with one language the answer, with none the model is a constant.
 
     Each text is seen whole and as a short piece of it, so that short texts are as familiar as long
-    ones.  A fifth of the rows is held back for temperature and threshold.
+    ones.  A fifth of the rows is held back for temperature and thresholds, which reject REJECT_RIGHT of
+    each language's rows by confidence and as many by unseen subwords.
     """
     names = sorted(set(languages))
-    if len(names) < 2:
-        return LanguageModel(names or ["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, 0.0)
+    if not names:
+        return LanguageModel(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, np.zeros(1), np.ones(BUCKETS, bool), np.ones(1))
     rng = np.random.default_rng(seed)
     label = np.array([names.index(x) for x in languages])
     held = rng.random(len(texts)) < 0.2
@@ -147,13 +163,23 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
             weights -= rate * np.outer(mean, p)
             bias -= 0.1 * rate * p
             embedding[at] -= (rate * min(len(at), 50)) * share[:, None] * back
-    model = LanguageModel(names, np.ascontiguousarray((embedding @ weights).T.astype(np.float32)), bias, 1.0, 0.0)
+    seen = np.zeros(BUCKETS, dtype=bool)
+    for at, _ in rows:
+        seen[at] = True
+    table = np.ascontiguousarray((embedding @ weights).T.astype(np.float32))
+    model = LanguageModel(names, table, bias, 1.0, np.zeros(len(names)), seen, np.ones(len(names)))
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    logits = np.concatenate([model.logits(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()), PREDICT_BYTES)])
+    looks = [model.look(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()), PREDICT_BYTES)]
+    logits, strange = (np.concatenate(x) for x in zip(*looks))
     model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, label[check]))
     p = model.probabilities(logits)
     right = p.argmax(axis=1) == label[check]
-    model.threshold = min(REJECT_MOST, REJECT_SHARE * float(p.max(axis=1)[right].min())) if right.any() else 0.0
+    for c in range(len(names)):
+        rows_of = right & (label[check] == c)
+        rows_of = rows_of if rows_of.any() else right
+        if rows_of.any():
+            model.thresholds[c] = np.quantile(p.max(axis=1)[rows_of], REJECT_RIGHT, method="lower")
+            model.strangest[c] = np.quantile(strange[rows_of], 1 - REJECT_RIGHT, method="higher")
     return model
 
 
@@ -184,7 +210,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     """docs with lang_pred, lang_score and lang_accepted.
 
     lang_pred is a learned language, or `und` with a score of 0 if the text is null or has no letter.
-    lang_accepted is false for `und` and below the model's threshold.  Every row of docs is returned
+    lang_accepted is false for `und`, below the confidence that the model asks of the
+    language, and for texts with more unseen subwords than it allows.  Every row of docs is returned
     with its columns; ones named like the three added are replaced.
     """
     model_ref = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, a bounded size
@@ -193,11 +220,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     @F.arrow_udf("struct<lang:string,score:double,accepted:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
         model = model_ref.value
-        parts = [model.probabilities(model.logits(d, b)) for _, _, d, b in slabs(texts, PREDICT_BYTES)]
-        p = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
+        parts = [model.look(d, b) for _, _, d, b in slabs(texts, PREDICT_BYTES)]
+        logits, strange = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, len(model.languages))), np.zeros(0))
+        p = model.probabilities(logits) if len(logits) else logits
         score = p.max(axis=1) if len(p) else np.zeros(0)
         lang = pa.array(model.languages, type=pa.string()).take(pa.array(p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([lang, pa.array(score), pa.array(score >= model.threshold)], names=["lang", "score", "accepted"])
+        return pa.StructArray.from_arrays([lang, pa.array(score), pa.array(model.accepted(p, strange) if len(p) else np.zeros(0, bool))], names=["lang", "score", "accepted"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn("__found", predict(F.col(text_col)))

@@ -476,6 +476,18 @@ def test_languages(spark):
     assert langid.identify_languages(empty(spark), constant).count() == 0
 
 
+@pytest.mark.parametrize("known", [["aa"], ["aa", "bb"], ["aa", "bb", "cc"]])
+def test_foreign_text_is_rejected(spark, known):
+    rows = [(i, tongue(x, i, 5 + i % 60), x) for i in range(200) for x in known]
+    model = langid.train_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    foreign = [prose(n, 40) for n in range(50)] + ["жизнь моя иль ты приснилась мне " * 3 + "ю" * (n + 1) for n in range(50)]
+    held = [tongue(x, 5000 + n, 30) for n in range(60) for x in known]
+    docs = spark.createDataFrame(list(enumerate(foreign + held)), "doc_id bigint, text string")
+    got = by_id(langid.identify_languages(docs, model))
+    assert np.mean([got[n].lang_accepted for n in range(len(foreign))]) < 0.05
+    assert np.mean([got[n].lang_accepted for n in range(len(foreign), len(got))]) > 0.95
+
+
 # op10 ---------------------------------------------------------------------------------------------
 
 
