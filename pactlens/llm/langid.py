@@ -19,8 +19,10 @@ from pactlens.llm.sparkside import crc_mod, read
 
 #: At most about so many labelled rows of each language are fitted, chosen by a hash of id and text.
 ROWS_PER_LANGUAGE = 1000
-#: Languages with fewer labelled rows are not learned, nor ones beyond the most frequent so many.
-LEAST_ROWS, MOST_LANGUAGES = 5, 100
+#: With many languages each has fewer rows, of so many in all, but never less than LEAST_SHARE where it has them.
+ROWS_IN_ALL, LEAST_SHARE = 100_000, 20
+#: Languages with fewer labelled rows are not learned: one row leaves nothing to tell it from a wrong label.
+LEAST_ROWS = 2
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 15, 16, 6
 #: Bytes of text that are predicted at a time; the scratch arrays take some eighty times as much.
 PREDICT_BYTES = 1 << 19
@@ -76,8 +78,10 @@ def subword_buckets(data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.
 class LanguageModel:
     """languages, the class weights that each bucket's embedding stands for, temperature and rejection thresholds.
 
-    Embedding and softmax are both linear, so bucket by bucket their product is kept: the average of
-    the rows of `table` over a text's subwords is the text's average embedding times the weights.  `seen` are the buckets
+    Embedding and softmax are both linear, so bucket by bucket their product is kept, if there are no
+    more languages than dimensions: the average of the rows of `table` over a text's subwords is the
+    text's average embedding times the weights, and `weights` is None.  Else `table` is the embedding,
+    whose size does not grow with the languages.  `seen` are the buckets
     of the fitted texts; texts are rejected below the confidence in `thresholds` of their language, or
     above the share of unseen subwords in `strangest`.
     """
@@ -89,6 +93,7 @@ class LanguageModel:
     thresholds: np.ndarray
     seen: np.ndarray
     strangest: np.ndarray
+    weights: np.ndarray | None = None
 
     def logits(self, data: np.ndarray, base: np.ndarray) -> np.ndarray:
         return self.look(data, base)[0]
@@ -97,13 +102,13 @@ class LanguageModel:
         """Logits and shares of unseen subwords."""
         buckets, first = subword_buckets(data, base)
         counts = np.diff(first)
-        out, strange = np.zeros((len(counts), len(self.languages))), np.zeros(len(counts))
+        out, strange = np.zeros((len(counts), len(self.table))), np.zeros(len(counts))
         has = np.flatnonzero(counts)
         if len(has):
-            for c in range(len(self.languages)):
+            for c in range(len(self.table)):
                 out[has, c] = np.add.reduceat(self.table[c][buckets], first[:-1][has], dtype=np.float64) / counts[has]
             strange[has] = np.add.reduceat(~self.seen[buckets], first[:-1][has], dtype=np.int64) / (counts[has] + KNOWN_PRIOR)
-        return out + self.bias, strange
+        return (out if self.weights is None else out @ self.weights) + self.bias, strange
 
     def accepted(self, p: np.ndarray, strange: np.ndarray) -> np.ndarray:
         best = p.argmax(axis=1)
@@ -126,8 +131,11 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     if not names:
         return LanguageModel(["und"], np.zeros((1, BUCKETS), np.float32), np.zeros(1), 1.0, np.zeros(1), np.ones(BUCKETS, bool), np.ones(1))
     rng = np.random.default_rng(seed)
-    label = np.array([names.index(x) for x in languages])
+    number = {x: n for n, x in enumerate(names)}
+    label = np.array([number[x] for x in languages])
     held = rng.random(len(texts)) < 0.2
+    # The first row of each language is always fitted.
+    held[np.unique(label, return_index=True)[1]] = False
     if held.all() or not held.any():
         held[:] = False
     pieces, target = [], []
@@ -166,8 +174,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     seen = np.zeros(BUCKETS, dtype=bool)
     for at, _ in rows:
         seen[at] = True
-    table = np.ascontiguousarray((embedding @ weights).T.astype(np.float32))
-    model = LanguageModel(names, table, bias, 1.0, np.zeros(len(names)), seen, np.ones(len(names)))
+    few = len(names) <= DIMENSIONS
+    table = np.ascontiguousarray((embedding @ weights if few else embedding).T.astype(np.float32))
+    model = LanguageModel(names, table, bias, 1.0, np.zeros(len(names)), seen, np.ones(len(names)), None if few else weights)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
     looks = [model.look(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()), PREDICT_BYTES)]
     logits, strange = (np.concatenate(x) for x in zip(*looks))
@@ -192,16 +201,18 @@ def train_language_model(docs: DataFrame, usable: Column, id_col: str = "doc_id"
     """Fit on rows that are `usable` and have a language and a text.
 
     Rows are chosen by a hash of id and text, with a share per language that gives about
-    ROWS_PER_LANGUAGE each; only counts per language and the chosen rows reach the driver.
+    ROWS_PER_LANGUAGE each, or fewer if there are many languages; only counts per language and the chosen rows reach the driver.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    chosen = counts.orderBy(F.desc("n"), lang_col).limit(MOST_LANGUAGES).collect()
+    chosen = counts.collect()
     if not chosen:
         return fit([], [])
-    share = F.create_map(*[F.lit(x) for r in chosen for x in (r[lang_col], min(1.0, ROWS_PER_LANGUAGE / r["n"]))])
+    each = max(LEAST_SHARE, min(ROWS_PER_LANGUAGE, ROWS_IN_ALL // len(chosen)))
+    shares = [(r[lang_col], min(1.0, each / r["n"])) for r in chosen]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "__lang string, __share double"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(draw < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(0.0)))
+    sample = rows.join(share, F.col(lang_col) == F.col("__lang")).filter(draw < F.col("__share"))
     picked = sorted((r[0], r[1]) for r in sample.select(lang_col, text_col).collect())
     return fit([t for _, t in picked], [x for x, _ in picked])
 
@@ -214,7 +225,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     language, and for texts with more unseen subwords than it allows.  Every row of docs is returned
     with its columns; ones named like the three added are replaced.
     """
-    model_ref = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, a bounded size
+    model_ref = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMENSIONS at most, and a few numbers a language
     docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
 
     @F.arrow_udf("struct<lang:string,score:double,accepted:boolean>")

@@ -488,6 +488,21 @@ def test_foreign_text_is_rejected(spark, known):
     assert np.mean([got[n].lang_accepted for n in range(len(foreign), len(got))]) > 0.95
 
 
+def test_many_and_rare_languages_are_learned(spark):
+    def made(lang, seed, n):
+        r, own = random.Random(f"{lang} {seed}"), random.Random(lang)
+        words = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        return " ".join(r.choice(words) for _ in range(n))
+
+    names = [f"l{n:03}" for n in range(105)]
+    rows = [(i, made(x, i, 20), x) for x in names for i in range(2 if x == "l104" else 12)]
+    model = langid.train_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert model.languages == names and model.table.shape[0] == langid.DIMENSIONS
+    held = [(i, made(x, 1000 + i, 20), x) for i, x in enumerate(names)]
+    got = langid.identify_languages(spark.createDataFrame(held, "doc_id bigint, text string, lang string"), model).collect()
+    assert len({g.lang_pred for g in got}) > 95 and np.mean([g.lang_pred == g.lang for g in got]) > 0.9
+
+
 # op10 ---------------------------------------------------------------------------------------------
 
 
