@@ -503,6 +503,10 @@ def test_many_and_rare_languages_are_learned(spark):
     assert len({g.lang_pred for g in got}) > 95 and np.mean([g.lang_pred == g.lang for g in got]) > 0.9
 
 
+def test_language_rows_are_not_cut_for_memory():
+    assert langid.ROWS_PER_LANGUAGE >= 1500
+
+
 # op10 ---------------------------------------------------------------------------------------------
 
 
