@@ -37,3 +37,9 @@ def test_stages(spark, tmp_path):
     want = {r.doc_id: r.copies for r in mixing.mix_sources(kept[4]).collect() if r.copies}
     assert {r.doc_id: r["count"] for r in copies} == want and set(want) <= ids[4]
     assert prose(1, 3) != prose(2, 3) and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "secrets", "mix"]
+
+
+def test_nothing_in_nothing_out(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
