@@ -28,8 +28,10 @@ BUCKETS, DIMENSIONS, EPOCHS = 1 << 15, 16, 6
 PREDICT_BYTES = 1 << 19
 #: Lengths of the subwords, in bytes of lower-cased text.
 SUBWORDS = (3, 4)
-#: Share of rightly classified calibration rows of each language that each of the two rejections may cost.
-REJECT_RIGHT = 0.005
+#: Share of rightly classified calibration rows of each language that lies beyond what counts as usual for it.
+UNUSUAL = 0.005
+#: A text is rejected when it is so far on the way from the usual to what chance alone gives.
+REJECT_FROM = 0.5
 #: So many known subwords are added to every text, so that a few strange ones in a short text do not reject it.
 KNOWN_PRIOR = 20
 
@@ -124,8 +126,10 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     """Fit on texts and their languages; with one language the answer, with none the model is a constant.
 
     Each text is seen whole and as a short piece of it, so that short texts are as familiar as long
-    ones.  A fifth of the rows is held back for temperature and thresholds, which reject REJECT_RIGHT of
-    each language's rows by confidence and as many by unseen subwords.
+    ones.  A fifth of the rows is held back for temperature and thresholds.  These stand REJECT_FROM of the
+    way from the quantile UNUSUAL of each language's rows to what chance gives, which is 1 / languages
+    for the confidence and the share of empty buckets for the unseen subwords: a quantile alone would
+    reject one clean text of n, where n rows are held back.
     """
     names = sorted(set(languages))
     if not names:
@@ -187,8 +191,10 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
         rows_of = right & (label[check] == c)
         rows_of = rows_of if rows_of.any() else right
         if rows_of.any():
-            model.thresholds[c] = np.quantile(p.max(axis=1)[rows_of], REJECT_RIGHT, method="lower")
-            model.strangest[c] = np.quantile(strange[rows_of], 1 - REJECT_RIGHT, method="higher")
+            usual = np.quantile(p.max(axis=1)[rows_of], UNUSUAL, method="lower")
+            model.thresholds[c] = min(usual, usual + REJECT_FROM * (1 / len(names) - usual))
+            usual = np.quantile(strange[rows_of], 1 - UNUSUAL, method="higher")
+            model.strangest[c] = max(usual, usual + REJECT_FROM * (1 - seen.mean() - usual))
     return model
 
 
