@@ -1,7 +1,9 @@
 """Call sites mined from client source, one file per row.
 
-Parsing a file is inherently per file and stays a small helper; scanning, hashing, storing and
-joining what it finds are DataFrame work.  A file that does not parse gives no rows.
+Python only turns a file into flat syntax facts: the names it imports, its string constants, what is
+bound to a call's result, and its calls with their arguments.  Which calls are HTTP or RPC calls, and
+with which method, URL and fields, is worked out in column expressions over the facts of the file.  A
+file that does not parse has no facts.
 """
 
 from __future__ import annotations
@@ -10,164 +12,117 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pactlens.functions.identity import call_site_hash
 from pactlens.functions.paths import SLOT, abstract_static_segments, normalize_template
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 HTTP_MODULES, CLIENT_CLASSES = ("requests", "httpx"), ("Client", "AsyncClient", "Session")
-_SITE = T.StructType(
-    [
-        T.StructField("line", T.IntegerType()),
-        *[T.StructField(c, T.StringType()) for c in ("client_library", "method", "raw")],
-        *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("names", "fields")],
-    ]
+BODY_VERBS, FIELD_KEYWORDS = ("post", "put", "patch"), ("params", "json", "data", "files")
+#: Pieces of a text: `text` as it stands, `name` a constant's, `slot` a constant or a placeholder, `tail` a placeholder.
+_PIECES = "array<struct<kind:string,text:string>>"
+_VALUE = f"key:string,shape:string,pieces:{_PIECES},keys:array<string>"
+FACTS = (
+    "struct<names:array<struct<name:string,full:string>>,constants:array<struct<name:string,value:string>>,"
+    "bound:array<struct<name:string,owner:string,attr:string>>,"
+    "calls:array<struct<line:int,owner:string,attr:string,maker_owner:string,maker:string,"
+    f"args:array<struct<{_VALUE},members:array<struct<{_VALUE}>>>>>>>"
 )
 
 
-class _PythonFile:
-    """Bindings of a module, then its calls: module functions, client objects and RPC stubs."""
-
-    def __init__(self, tree: ast.Module):
-        self.modules: dict[str, str] = {}
-        self.stub_classes: dict[str, str] = {}
-        self.constants: dict[str, str] = {}
-        self.clients: dict[str, str] = {}
-        self.stubs: dict[str, tuple[str, str]] = {}
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Import):
-                for a in node.names:
-                    self.modules[a.asname or a.name.split(".")[0]] = a.name
-            elif isinstance(node, ast.ImportFrom):
-                for a in node.names:
-                    if a.name.endswith("_pb2_grpc"):
-                        self.modules[a.asname or a.name] = a.name
-                    elif (node.module or "").endswith("_pb2_grpc"):
-                        self.stub_classes[a.asname or a.name] = f"{node.module}.{a.name}"
-                    elif node.module in HTTP_MODULES and a.name in CLIENT_CLASSES:
-                        self.stub_classes[a.asname or a.name] = node.module
-        for node in tree.body:
-            if isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
-                for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
-                    if isinstance(t, ast.Name):
-                        self.constants[t.id] = node.value.value
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Assign):
-                self._bind(node.targets, node.value)
-            elif isinstance(node, (ast.With, ast.AsyncWith)):
-                for item in node.items:
-                    if item.optional_vars is not None:
-                        self._bind([item.optional_vars], item.context_expr)
-
-    def _bind(self, targets: list, value) -> None:
-        if not isinstance(value, ast.Call):
-            return
-        library, stub = self._client(value.func), self._stub(value.func)
-        for t in targets:
-            name = t.attr if isinstance(t, ast.Attribute) else getattr(t, "id", None)
-            if name and library:
-                self.clients[name] = library
-            elif name and stub:
-                self.stubs[name] = stub
-
-    def _client(self, func) -> str | None:
-        if isinstance(func, ast.Attribute) and func.attr in CLIENT_CLASSES and isinstance(func.value, ast.Name):
-            return self.modules.get(func.value.id) if self.modules.get(func.value.id) in HTTP_MODULES else None
-        found = self.stub_classes.get(getattr(func, "id", ""))
-        return found if found in HTTP_MODULES else None
-
-    def _stub(self, func) -> tuple[str, str] | None:
-        full = self.stub_classes.get(getattr(func, "id", ""))
-        if isinstance(func, ast.Attribute) and isinstance(func.value, ast.Name):
-            full = f"{self.modules.get(func.value.id, '')}.{func.attr}"
-        match = re.fullmatch(r"(?:.*\.)?(\w+)_pb2_grpc\.(\w+)Stub", full or "")
-        return (match[1], match[2]) if match else None
-
-    def sites(self, tree: ast.Module):
-        for node in ast.walk(tree):
-            if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
-                owner, verb = node.func.value, node.func.attr
-                name = owner.attr if isinstance(owner, ast.Attribute) else getattr(owner, "id", "")
-                library = self.modules.get(name) if self.modules.get(name) in HTTP_MODULES else self.clients.get(name)
-                if library is None and isinstance(owner, ast.Call):
-                    library = self._client(owner.func)
-                if library and verb in (*VERBS, "request"):
-                    site = self._http(node, verb, library)
-                elif name in self.stubs or isinstance(owner, ast.Call) and self._stub(owner.func):
-                    module, service = self.stubs.get(name) or self._stub(owner.func)
-                    given = node.args[0] if node.args else None
-                    fields = [k.arg for k in given.keywords if k.arg] if isinstance(given, ast.Call) else []
-                    site = (node.lineno, "grpc", "RPC", f"/{module}.{service}/{verb}", [], sorted(set(fields)))
-                else:
-                    continue
-                if site:
-                    yield site
-
-    def _http(self, node: ast.Call, verb: str, library: str):
-        keywords = {k.arg: k.value for k in node.keywords if k.arg}
-        places = list(node.args)
-        if verb == "request":
-            method = keywords.get("method") or (places.pop(0) if places else None)
-            if not (isinstance(method, ast.Constant) and isinstance(method.value, str)):
-                return None
-            verb = method.value
-        url = self._text(keywords.get("url") or (places[0] if places else None))
-        if url is None:
-            return None
-        fields = {k.value for key in ("params", "json", "data", "files") if isinstance(keywords.get(key), ast.Dict) for k in keywords[key].keys if isinstance(k, ast.Constant) and isinstance(k.value, str)}
-        return node.lineno, library, verb.upper(), url[0], url[1], sorted(fields)
-
-    def _text(self, node) -> tuple[str, list[str]] | None:
-        """(raw URL with slots, placeholder names) of an expression, or None."""
-        if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            return node.value, []
-        if isinstance(node, ast.Name) and node.id in self.constants:
-            return self.constants[node.id], []
-        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-            left, right = self._text(node.left), self._text(node.right)
-            return None if left is None or right is None else (left[0] + right[0], left[1] + right[1])
-        if isinstance(node, ast.JoinedStr):
-            raw, names = "", []
-            for part in node.values:
-                if isinstance(part, ast.Constant):
-                    raw += part.value
-                elif isinstance(part.value, ast.Name) and part.value.id in self.constants:
-                    raw += self.constants[part.value.id]
-                else:
-                    raw += SLOT
-                    names.append(_name(part.value))
-            return raw, names
-        return None
+def _value(key: str | None, shape: str | None, pieces: list | None, keys=()) -> dict:
+    flat = None if pieces is None else [{"kind": k, "text": t} for k, t in pieces]
+    return {"key": key, "shape": shape, "pieces": flat, "keys": list(keys)}
 
 
-def _name(node) -> str:
-    if isinstance(node, ast.Call):
-        node = node.func
-    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else "param"
+# Python -------------------------------------------------------------------------------------------
 
 
-def mine_python(text: str) -> list[tuple]:
-    try:
-        tree = ast.parse(text)
-        return list(_PythonFile(tree).sites(tree))
-    except (SyntaxError, ValueError, RecursionError):
-        return []
+def _pieces(node) -> list[tuple[str, str]] | None:
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return [("text", node.value)]
+    if isinstance(node, ast.Name):
+        return [("name", node.id)]
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        left, right = _pieces(node.left), _pieces(node.right)
+        return None if left is None or right is None else left + right
+    if isinstance(node, ast.JoinedStr):
+        return [("text", p.value) if isinstance(p, ast.Constant) else ("slot" if isinstance(p.value, ast.Name) else "tail", _label(p.value)) for p in node.values]
+    return None
+
+
+def _label(node) -> str:
+    node = node.func if isinstance(node, ast.Call) else node
+    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else "param"
 
 
+def _argument(key: str | None, node) -> dict:
+    if isinstance(node, ast.Dict):
+        return _value(key, "object", None, [k.value for k in node.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)]) | {"members": []}
+    if isinstance(node, ast.Call):
+        return _value(key, "call", None, [k.arg for k in node.keywords if k.arg]) | {"members": []}
+    return _value(key, None, _pieces(node)) | {"members": []}
+
+
+def _callee(func) -> tuple[str | None, str | None]:
+    """(owner, name) of what is called; the owner is a name or the last part of a chain."""
+    if isinstance(func, ast.Attribute):
+        owner = func.value
+        return (owner.attr if isinstance(owner, ast.Attribute) else getattr(owner, "id", None)), func.attr
+    return None, getattr(func, "id", None)
+
+
+def python_facts(text: str) -> dict:
+    tree = ast.parse(text)
+    names, constants, bound, calls = {}, {}, [], []
+    for node in tree.body:
+        if isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+            constants |= {t.id: node.value.value for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            names |= {a.asname or a.name.split(".")[0]: a.name for a in node.names}
+        elif isinstance(node, ast.ImportFrom):
+            names |= {a.asname or a.name: f"{node.module or ''}.{a.name}" for a in node.names}
+        elif isinstance(node, ast.Call):
+            owner, attr = _callee(node.func)
+            made_by = _callee(node.func.value.func) if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Call) else (None, None)
+            args = [*(_argument(None, a) for a in node.args), *(_argument(k.arg, k.value) for k in node.keywords if k.arg)]
+            calls.append({"line": node.lineno, "owner": owner, "attr": attr, "maker_owner": made_by[0], "maker": made_by[1], "args": args})
+        pairs = [(t, node.value) for t in node.targets] if isinstance(node, ast.Assign) else []
+        pairs += [(i.optional_vars, i.context_expr) for i in node.items] if isinstance(node, (ast.With, ast.AsyncWith)) else []
+        for target, value in pairs:
+            name = target.attr if isinstance(target, ast.Attribute) else getattr(target, "id", None)
+            if name and isinstance(value, ast.Call):
+                bound.append(dict(zip(("name", "owner", "attr"), (name, *_callee(value.func)))))
+    return _facts(names, constants, bound, calls)
+
+
+def _facts(names: dict, constants: dict, bound: list, calls: list) -> dict:
+    return {
+        "names": [{"name": k, "full": v} for k, v in names.items()],
+        "constants": [{"name": k, "value": v} for k, v in constants.items()],
+        "bound": bound,
+        "calls": calls,
+    }
+
+
+# JavaScript and TypeScript ------------------------------------------------------------------------
+
 _STRING = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`"""
-_JS_COMMENT = re.compile(rf"({_STRING})|//[^\n]*|/\*.*?\*/", re.S)
-_JS_AXIOS = re.compile(r"""import\s+(?:\*\s+as\s+)?(\w+)\s+from\s+['"]axios['"]|(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['"]axios['"]\s*\)""")
-_JS_CONST = re.compile(r"""^(?:const|let|var)\s+(\w+)(?:\s*:\s*\w+)?\s*=\s*(['"`])((?:(?!\2)[^\\$\n])*)\2\s*;?[ \t]*$""", re.M)
-_JS_KEY = re.compile(r"""^\s*(?:\.\.\.[\w.]+|(?:['"]?([\w$-]+)['"]?)\s*(?::|$))""")
+_COMMENT = re.compile(rf"({_STRING})|//[^\n]*|/\*.*?\*/", re.S)
+_AXIOS = re.compile(r"""import\s+(?:\*\s+as\s+)?(\w+)\s+from\s+['"]axios['"]|(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['"]axios['"]\s*\)""")
+_CONST = re.compile(r"""^(?:const|let|var)\s+(\w+)(?:\s*:\s*\w+)?\s*=\s*(['"`])((?:(?!\2)[^\\$\n])*)\2\s*;?[ \t]*$""", re.M)
+_KEY = re.compile(r"""^\s*(?:\.\.\.[\w.]+|(?:['"]?([\w$-]+)['"]?)\s*(?::|$))""")
+_CALL = re.compile(r"(?<![\w$.])([\w$]+)(?:\.(\w+))?(?:<[^<>()]*>)?\(")
+_TOKEN = re.compile(rf"{_STRING}|[()\[\]{{}},]", re.S)
 
 
-def _js_split(text: str, at: int) -> list[str]:
+def _parts(text: str, at: int) -> list[str]:
     """Top-level parts, comma by comma, of the bracket that opens just before `at`."""
     parts, depth, start = [], 0, at
-    for m in re.compile(rf"{_STRING}|[()\[\]{{}},]", re.S).finditer(text, at):
+    for m in _TOKEN.finditer(text, at):
         c = m[0]
         if c in "([{":
             depth += 1
@@ -182,94 +137,172 @@ def _js_split(text: str, at: int) -> list[str]:
     return []
 
 
-def _js_members(text: str) -> dict[str, str]:
-    text = text.strip()
-    if not text.startswith("{"):
-        return {}
-    members = {}
-    for part in _js_split(text, 1):
-        key = _JS_KEY.match(part)
-        if key and key[1]:
-            members[key[1]] = part[key.end() :].strip() if ":" in part[: key.end()] else key[1]
-    return members
+def _js_members(text: str) -> list[tuple[str, str]]:
+    found = [(p, _KEY.match(p)) for p in _parts(text, 1)] if text.startswith("{") else []
+    return [(k[1], p[k.end() :].strip() if ":" in p[: k.end()] else k[1]) for p, k in found if k and k[1]]
 
 
-def _js_text(text: str, constants: dict[str, str]) -> tuple[str, list[str]] | None:
-    raw, names = "", []
-    pieces = re.findall(rf"{_STRING}|[\w$.]+(?:\([^()]*\))?|\+|\S", text)
-    if not pieces or len(pieces) > 1 and "+" not in pieces:
-        return None
-    for piece in pieces:
-        if piece == "+":
-            continue
-        if piece[0] in "'\"":
-            raw += piece[1:-1]
-        elif piece[0] == "`":
-            for plain, inner in re.findall(r"((?:[^$\\]|\\.|\$(?!\{))+)|\$\{([^}]*)\}", piece[1:-1]):
-                if inner and inner.strip() in constants:
-                    raw += constants[inner.strip()]
-                elif inner:
-                    raw += SLOT
-                    names.append((re.findall(r"[\w$]+", re.sub(r"\(.*", "", inner)) or ["param"])[-1])
-                raw += plain
-        elif piece in constants:
-            raw += constants[piece]
-        else:
-            return None
-    return raw, names
-
-
-def _js_body(members: dict[str, str], *keys: str) -> set[str]:
-    fields: set[str] = set()
-    for key in keys:
-        text = members.get(key, "")
-        inner = re.match(r"JSON\.stringify\(\s*", text)
-        fields |= set(_js_members(text[inner.end() :] if inner else text))
-    return fields
-
-
-def mine_javascript(text: str) -> list[tuple]:
-    """fetch(...), axios.verb(...), axios(config) and axios.request(config)."""
-    text = _JS_COMMENT.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text)
-    axios = {a or b for a, b in _JS_AXIOS.findall(text)}
-    constants = {name: value for name, _, value in _JS_CONST.findall(text)}
+def _js_pieces(text: str) -> list[tuple[str, str]] | None:
     out = []
-    for m in re.finditer(r"(?<![\w$.])([\w$]+)(?:\.(\w+))?(?:<[^<>()]*>)?\(", text):
-        owner, verb = m[1], m[2]
-        parts = _js_split(text, m.end())
-        line = text.count("\n", 0, m.start()) + 1
-        if owner == "fetch" and verb is None and parts:
-            members = _js_members(parts[1]) if len(parts) > 1 else {}
-            url, library, fields = _js_text(parts[0], constants), "fetch", _js_body(members, "body")
-            method = members.get("method", "'GET'").strip("'\"`")
-        elif owner in axios and verb in VERBS and parts:
-            with_body = verb in ("post", "put", "patch")
-            members = _js_members(parts[2 if with_body else 1]) if len(parts) > (2 if with_body else 1) else {}
-            url, library, method = _js_text(parts[0], constants), "axios", verb
-            fields = _js_body(members, "params", "data") | (set(_js_members(parts[1])) if with_body and len(parts) > 1 else set())
-        elif owner in axios and verb in (None, "request") and parts and parts[0].startswith("{"):
-            members = _js_members(parts[0])
-            url, library, fields = _js_text(members.get("url", ""), constants), "axios", _js_body(members, "params", "data")
-            method = members.get("method", "'GET'").strip("'\"`")
-        else:
-            continue
-        if url is not None:
-            out.append((line, library, method.upper(), url[0], url[1], sorted(fields)))
+    tokens = re.findall(rf"{_STRING}|[\w$.]+(?:\([^()]*\))?|\+|\S", text)
+    if not tokens or len(tokens) > 1 and "+" not in tokens:
+        return None
+    for t in tokens:
+        if t[0] in "'\"":
+            out.append(("text", t[1:-1]))
+        elif t[0] == "`":
+            for plain, inner in re.findall(r"((?:[^$\\]|\\.|\$(?!\{))+)|\$\{([^}]*)\}", t[1:-1]):
+                simple = re.fullmatch(r"\s*[\w$]+\s*", inner)
+                label = (re.findall(r"[\w$]+", re.sub(r"\(.*", "", inner)) or ["param"])[-1]
+                out.append(("slot" if simple else "tail", label) if inner else ("text", plain))
+        elif t != "+":
+            out.append(("name", t))
     return out
 
 
-@F.pandas_udf(T.ArrayType(_SITE))
-def _mine(texts: pd.Series, languages: pd.Series) -> pd.Series:
-    names = ("line", "client_library", "method", "raw", "names", "fields")
-    run = lambda text, language: mine_python(text) if language == "python" else mine_javascript(text)
-    return pd.Series([[dict(zip(names, s)) for s in run(t, x)] if t else [] for t, x in zip(texts, languages)], dtype=object)
+def _js_value(key: str | None, text: str) -> dict:
+    inner = re.match(r"JSON\.stringify\(\s*", text)
+    members = _js_members(text[inner.end() :] if inner else text)
+    return _value(key, "object" if text.startswith("{") else None, None if members else _js_pieces(text), dict.fromkeys(k for k, _ in members))
+
+
+def javascript_facts(text: str) -> dict:
+    text = _COMMENT.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text)
+    calls = []
+    for m in _CALL.finditer(text):
+        args = [_js_value(None, p) | {"members": [_js_value(k, v) for k, v in _js_members(p)]} for p in _parts(text, m.end())]
+        owner, attr = (m[1], m[2]) if m[2] else (None, m[1])
+        calls.append({"line": text.count("\n", 0, m.start()) + 1, "owner": owner, "attr": attr, "maker_owner": None, "maker": None, "args": args})
+    return _facts({a or b: "axios" for a, b in _AXIOS.findall(text)}, {name: value for name, _, value in _CONST.findall(text)}, [], calls)
+
+
+def syntax_facts(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+    def one(text, language) -> dict:
+        try:
+            return (python_facts if language == "python" else javascript_facts)(text or "")
+        except (SyntaxError, ValueError, RecursionError):
+            return _facts({}, {}, [], [])
+
+    return pd.DataFrame([one(t, x) for t, x in zip(texts, languages)], columns=["names", "constants", "bound", "calls"])
+
+
+# What the facts mean ------------------------------------------------------------------------------
+
+
+def _find(entries: Column, name: Column) -> Column:
+    """The last entry of that name, or null."""
+    return F.try_element_at(F.filter(entries, lambda e: e["name"] == name), F.lit(-1))
+
+
+def _full(owner: Column, attr: Column) -> Column:
+    """The dotted name of a callee by what the file imports; null if its first name is not imported."""
+    imported = lambda n: _find(F.col("names"), n)["full"]
+    return F.when(owner.isNull(), imported(attr)).otherwise(F.concat(imported(owner), F.lit("."), attr))
+
+
+def _client(full: Column) -> Column:
+    return F.nullif(F.regexp_extract(full, rf"\A({'|'.join(HTTP_MODULES)})\.(?:{'|'.join(CLIENT_CLASSES)})\z", 1), F.lit(""))
+
+
+def _service(full: Column) -> Column:
+    """`module.Service` of an RPC stub's constructor."""
+    stub = r"\A(?:.*\.)?(\w+)_pb2_grpc\.(\w+)Stub\z"
+    return F.when(full.rlike(stub), F.concat(F.regexp_extract(full, stub, 1), F.lit("."), F.regexp_extract(full, stub, 2)))
+
+
+def _argument_at(args: Column, place: Column | int) -> Column:
+    return F.get(F.filter(args, lambda a: a["key"].isNull()), F.lit(place) if isinstance(place, int) else place)
+
+
+def _keyed(entries: Column, key: str) -> Column:
+    return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))
+
+
+def _literal(value: Column) -> Column:
+    """The text of an argument that is one plain text."""
+    pieces = value["pieces"]
+    return F.when((F.size(pieces) == 1) & (F.get(pieces, F.lit(0))["kind"] == "text"), F.get(pieces, F.lit(0))["text"])
+
+
+def _keys_of(entries: Column, *keys: str) -> Column:
+    return F.flatten(F.transform(F.filter(entries, lambda e: e["key"].isin(*keys) & (F.size(e["keys"]) > 0)), lambda e: e["keys"]))
+
+
+def _python_site(c: Column) -> Column:
+    """(line, library, method, template or null, url, fields) of a call in a Python file, or null."""
+    owner, attr, args, made = c["owner"], c["attr"], c["args"], _full(c["maker_owner"], c["maker"])
+    module = _find(F.col("names"), owner)["full"]
+    bound = F.transform(F.filter("bound", lambda b: b["name"] == owner), lambda b: _full(b["owner"], b["attr"]))
+    last = lambda test: F.try_element_at(F.filter(F.transform(bound, test), lambda x: x.isNotNull()), F.lit(-1))
+    library = F.coalesce(F.when(module.isin(*HTTP_MODULES), module), last(_client), _client(made))
+    service = F.coalesce(last(_service), _service(made))
+    general = attr == "request"
+    given = _keyed(args, "method")
+    method = F.when(general, F.coalesce(_literal(given), F.when(given.isNull(), _literal(_argument_at(args, 0))))).otherwise(attr)
+    place = F.when(general & given.isNull(), 1).otherwise(0)
+    url = F.coalesce(_keyed(args, "url"), _argument_at(args, place))["pieces"]
+    objects = F.filter(args, lambda a: a["shape"] == "object")
+    first = _argument_at(args, 0)
+    rpc_fields = F.when(first["shape"] == "call", first["keys"]).otherwise(F.array().cast("array<string>"))
+    http = _site(c["line"], library, F.upper(method), None, url, _keys_of(objects, *FIELD_KEYWORDS))
+    rpc = _site(c["line"], F.lit("grpc"), F.lit("RPC"), F.concat(F.lit("/"), service, F.lit("/"), attr), None, rpc_fields)
+    return F.when(library.isNotNull() & attr.isin(*VERBS, "request"), http).when(service.isNotNull(), rpc)
+
+
+def _javascript_site(c: Column) -> Column:
+    """The same of a call in a JavaScript or TypeScript file: fetch, a verb of axios, or axios with a config."""
+    owner, attr, args = c["owner"], c["attr"], c["args"]
+    axios = lambda n: _find(F.col("names"), n).isNotNull()
+    first, second, none = F.get(args, F.lit(0)), F.get(args, F.lit(1)), F.array().cast("array<string>")
+    method = lambda options: F.upper(F.coalesce(_literal(_keyed(options["members"], "method")), F.lit("get")))
+    body = attr.isin(*BODY_VERBS)
+    options = F.when(body, F.get(args, F.lit(2))).otherwise(second)
+    fields = lambda options, *keys: F.coalesce(_keys_of(options["members"], *keys), none)
+    in_body = F.when(body, F.coalesce(second["keys"], none)).otherwise(none)
+    fetch = _site(c["line"], F.lit("fetch"), method(second), None, first["pieces"], fields(second, "body"))
+    verb = _site(c["line"], F.lit("axios"), F.upper(attr), None, first["pieces"], F.concat(fields(options, "params", "data"), in_body))
+    config = _site(c["line"], F.lit("axios"), method(first), None, _keyed(first["members"], "url")["pieces"], fields(first, "params", "data"))
+    return (
+        F.when(owner.isNull() & (attr == "fetch"), fetch)
+        .when(owner.isNotNull() & axios(owner) & attr.isin(*VERBS), verb)
+        .when((first["shape"] == "object") & ((owner.isNull() & axios(attr)) | (owner.isNotNull() & axios(owner) & (attr == "request"))), config)
+    )
+
+
+def _site(line: Column, library: Column, method: Column, template: Column | None, url: Column | None, fields: Column) -> Column:
+    return F.struct(
+        line.alias("line"), library.alias("client_library"), method.alias("method"),
+        (F.lit(None) if template is None else template).cast("string").alias("template"),
+        (F.lit(None) if url is None else url).cast(_PIECES).alias("url"), F.array_sort(F.array_distinct(fields)).alias("fields"),
+    )
+
+
+def _rendered(site: Column) -> Column:
+    """The site with its URL as `raw`, with slots for placeholders, and their names; raw is null if a name in it is unknown."""
+    known = lambda p: _find(F.col("constants"), p["text"])["value"]
+    value = lambda p: F.when(p["kind"] == "text", p["text"]).when(p["kind"].isin("name", "slot"), known(p))
+    part = lambda p: F.when((p["kind"] == "name") & value(p).isNull(), F.lit(None)).otherwise(F.coalesce(value(p), F.lit(SLOT)))
+    parts = F.transform(site["url"], part)
+    slots = F.transform(F.filter(site["url"], lambda p: value(p).isNull()), lambda p: p["text"])
+    kept = [site[k].alias(k) for k in ("line", "client_library", "method", "template", "fields")]
+    return F.struct(*kept, F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, "")).alias("raw"), slots.alias("slots"))
 
 
 def mine_call_sites(files: DataFrame) -> DataFrame:
-    """files(repo, commit_sha, file, language, content) to call sites with template and content hash."""
-    sites = files.select("repo", "commit_sha", "file", "language", F.explode(_mine("content", "language")).alias("s")).select("repo", "commit_sha", "file", "language", "s.*")
-    template = F.when(F.col("client_library") == "grpc", F.col("raw")).otherwise(abstract_static_segments(normalize_template(F.col("raw"), F.col("names"))))
-    out = sites.withColumn("path_template", template).drop("raw", "names")
+    """files(repo, commit_sha, file, language, content) to call sites with template and content hash.
+
+    A call whose URL or method is no text known in the file gives no row.  Null and empty files, and an
+    empty table, give none; other columns are ignored.  A file is worked on where its row is: nothing
+    is shuffled.
+    """
+    key = ("repo", "commit_sha", "file", "language")
+    facts = files.select(*key, F.pandas_udf(syntax_facts, FACTS)("content", "language").alias("f")).select(*key, "f.*")
+    python = F.col("language") == "python"
+    calls = F.transform("calls", lambda c: F.when(python, _python_site(c)).otherwise(_javascript_site(c)))
+    sites = F.transform(F.filter(calls, lambda s: s["method"].isNotNull()), _rendered)
+    found = facts.select(*key, F.explode(sites).alias("s")).select(*key, "s.*").filter("template IS NOT NULL OR raw IS NOT NULL")
+    template = F.coalesce("template", abstract_static_segments(normalize_template(F.col("raw"), F.col("slots"))))
+    out = found.select(*key, "line", "client_library", "method", "fields", template.alias("path_template"))
     return out.withColumn("content_hash", call_site_hash(*[F.col(c) for c in ("file", "line", "language", "client_library", "method", "path_template", "fields")]))
 
 
