@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NODE = T.StructType([T.StructField(name, T.StringType()) for name in ("path", "type", "text")])
+_NODE = T.StructType([*[T.StructField(name, T.StringType()) for name in ("path", "type", "text", "parent", "name")], T.StructField("depth", T.IntegerType())])
 _TYPES = ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array"), (dict, "object"))
 
 
@@ -16,16 +16,19 @@ def json_type(value) -> str:
     return "null" if value is None else next((name for kind, name in _TYPES if isinstance(value, kind)), "unknown")
 
 
-def walk(value, path: str = "$"):
-    """(path, type, text of a string or None) of every node, containers included, arrays as [*]."""
-    stack = [(value, path)]
+def walk(value):
+    """(path, type, text of a string or None, parent's path, key in it, depth) of every node, containers included.
+
+    Items of arrays are [*] in paths and have no key; the root has no parent.
+    """
+    stack = [(value, "$", None, None, 0)]
     while stack:
-        node, at = stack.pop()
-        yield at, json_type(node), node if isinstance(node, str) else None
+        node, at, parent, name, depth = stack.pop()
+        yield at, json_type(node), node if isinstance(node, str) else None, parent, name, depth
         if isinstance(node, dict):
-            stack += [(v, f"{at}.{k}") for k, v in reversed(node.items())]
+            stack += [(v, f"{at}.{k}", at, k, depth + 1) for k, v in reversed(node.items())]
         elif isinstance(node, list):
-            stack += [(v, f"{at}[*]") for v in reversed(node)]
+            stack += [(v, f"{at}[*]", at, None, depth + 1) for v in reversed(node)]
 
 
 @F.pandas_udf(T.ArrayType(_NODE))
@@ -34,8 +37,8 @@ def field_paths(bodies: pd.Series) -> pd.Series:
 
     def one(text):
         try:
-            return [] if text is None or not text.strip() else [dict(zip(("path", "type", "text"), n)) for n in walk(json.loads(text))]
-        except ValueError:
+            return [] if text is None or not text.strip() else [dict(zip(_NODE.names, n)) for n in walk(json.loads(text))]
+        except (ValueError, RecursionError):
             return []
 
     return bodies.map(one)

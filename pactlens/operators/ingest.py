@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pactlens.functions.jsontree import field_paths
+from pactlens.functions.lineage import cut
 
 #: A string field is an enum with 2 to 8 values, each seen twice on average.
 ENUM_LIMIT, ENUM_REPEATS = 8, 2
@@ -67,47 +68,48 @@ def enum_values(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def infer_schemas(calls: DataFrame, keys: tuple[str, ...], bodies: dict[str, str]) -> DataFrame:
     """keys, role, schema: a JSON Schema of the bodies of each endpoint and role.
 
-    Path statistics are aggregated first; only they (one row per path, not per call) are put
-    together into a document.  A type list is sorted; a property is required if every object that
-    could hold it does; an array's items are one schema; roots that are no objects say so beside
-    `object`.
+    Statistics of each path are aggregated first; then schemas are folded into those of their
+    parents, level by level from the deepest, so a task never holds more than the children of one
+    node.  A type list is sorted; a property is required if every object that could hold it does; an
+    array's items are one schema; roots that are no objects say so beside `object`.  Null, blank and
+    invalid bodies count for nothing; an endpoint without others has no row.
     """
     nodes = field_nodes(calls, keys, bodies)
-    stats = nodes.groupBy(*keys, "role", "path").agg(F.collect_set("type").alias("types"), F.count("*").alias("n"), F.count_if(F.col("type") == "object").alias("objects"))
-    stats = stats.join(enum_values(nodes, keys), [*keys, "role", "path"], "left")
-    per = stats.groupBy(*keys, "role").agg(F.collect_list(F.struct("path", "types", "n", "objects", "enum")).alias("paths"))
-    return per.select(*keys, "role", _assemble(F.col("paths")).alias("schema"))
-
-
-@F.pandas_udf(T.StringType())
-def _assemble(paths: pd.Series) -> pd.Series:
-    def one(rows) -> str:
-        known = {r["path"]: r for r in rows}
-        children: dict[str, list[str]] = {}
-        for path in known:
-            cut = path.rfind("[*]") if path.endswith("[*]") else path.rfind(".")
-            if cut > 0:
-                children.setdefault(path[:cut], []).append(path)
-
-        def build(path: str) -> dict:
-            row = known[path]
-            types = sorted({"object", *row["types"]} if path == "$" else set(row["types"]))
-            node: dict = {"type": types[0] if len(types) == 1 else types}
-            props = {c[len(path) + 1 :]: c for c in children.get(path, []) if not c.endswith("[*]")}
-            if "object" in types:
-                node["properties"] = {name: build(c) for name, c in sorted(props.items())}
-                required = sorted(name for name, c in props.items() if known[c]["n"] == row["objects"])
-                if required:
-                    node["required"] = required
-            if f"{path}[*]" in known:
-                node["items"] = build(f"{path}[*]")
-            if row["enum"] is not None and node["type"] == "string":
-                node["enum"] = list(row["enum"])
-            return node
-
-        return json.dumps(build("$"), sort_keys=True) if "$" in known else "{}"
-
-    return paths.map(one)
+    at = [*keys, "role", "path", "parent", "name", "depth"]
+    stats = nodes.groupBy(*at).agg(F.collect_set("type").alias("types"), F.count("*").alias("n"), F.count_if(F.col("type") == "object").alias("objects"))
+    stats = cut(stats.join(enum_values(nodes, keys), [*keys, "role", "path"], "left"))
+    deepest = stats.agg(F.max("depth")).first()[0] or 0
+    empty = F.array().cast("array<struct<name:string,schema:string,n:bigint>>")
+    below = stats.limit(0).select(*keys, "role", "path", empty.alias("props"), F.lit("").alias("items"))
+    for depth in range(deepest, -1, -1):
+        level = stats.filter(F.col("depth") == depth).join(below, [*keys, "role", "path"], "left")
+        level = level.select(*keys, "role", "parent", "name", "n", _schema_of(F.coalesce("props", empty)).alias("schema"))
+        if depth % 8 == 7:  # keeps the plan of deep bodies small
+            level = cut(level)
+        child = F.when(F.col("name").isNotNull(), F.struct("name", "schema", "n"))
+        below = level.groupBy(*keys, "role", F.col("parent").alias("path")).agg(
+            F.array_sort(F.collect_list(child)).alias("props"), F.max(F.when(F.col("name").isNull(), F.col("schema"))).alias("items")
+        )
+    return level.select(*keys, "role", "schema")
+
+
+def _schema_of(props: Column) -> Column:
+    """The JSON text of a node's schema, its members sorted, from its statistics and its children's schemas."""
+    quoted = lambda text: F.regexp_replace(F.to_json(F.array(text)), r"\A\[|\]\z", "")
+    root = F.col("depth") == 0
+    types = F.array_sort(F.when(root, F.array_union("types", F.array(F.lit("object")))).otherwise(F.col("types")))
+    plain = F.get(types, F.lit(0))
+    required = F.transform(F.filter(props, lambda p: p["n"] == F.col("objects")), lambda p: p["name"])
+    listed = F.array_join(F.transform(props, lambda p: F.concat(quoted(p["name"]), F.lit(": "), p["schema"])), ", ")
+    holds = F.array_contains(types, "object")
+    parts = [
+        F.when((F.size(types) == 1) & (plain == "string") & F.col("enum").isNotNull(), F.concat(F.lit('"enum": '), F.to_json("enum"))),
+        F.when(F.col("items") != "", F.concat(F.lit('"items": '), F.col("items"))),
+        F.when(holds, F.concat(F.lit('"properties": {'), listed, F.lit("}"))),
+        F.when(holds & (F.size(required) > 0), F.concat(F.lit('"required": '), F.to_json(required))),
+        F.concat(F.lit('"type": '), F.when(F.size(types) == 1, quoted(plain)).otherwise(F.to_json(types))),
+    ]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
 
 
 def merge_documents(old: dict, new: dict) -> dict:

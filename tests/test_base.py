@@ -116,7 +116,14 @@ def test_schemas(spark):
     schema = json.loads(ingest.infer_schemas(calls, ("endpoint",), {"request": "body"}).first().schema)
     assert schema["properties"]["id"] == {"type": ["integer", "null", "number"]} and schema["properties"]["tag"] == {"type": "string", "enum": ["a", "b"]}
     assert schema["required"] == ["id", "tag"] and schema["properties"]["items"]["items"]["properties"]["n"]["type"] == ["integer", "string"]
-    assert list(jsontree.walk({"a": [1, None]})) == [("$", "object", None), ("$.a", "array", None), ("$.a[*]", "integer", None), ("$.a[*]", "null", None)]
+    assert [n[:3] for n in jsontree.walk({"a": [1, None]})] == [("$", "object", None), ("$.a", "array", None), ("$.a[*]", "integer", None), ("$.a[*]", "null", None)]
+    deep = [json.dumps({"a.b": 1, "q\"": [[{"x": None}], "s"]}), "[1]", json.dumps({"a": {"b": True}}), "[" * 12 + "]" * 12]
+    rows = spark.createDataFrame([(str(n % 2), b) for n, b in enumerate(deep)], "endpoint string, body string").withColumn("ts", F.lit(NOW).cast("timestamp"))
+    got = {r.endpoint: json.loads(r.schema) for r in ingest.infer_schemas(rows, ("endpoint",), {"request": "body"}).collect()}
+    zero = got["0"]["properties"]
+    assert zero["a.b"] == {"type": "integer"} and zero["a"]["properties"] == {"b": {"type": "boolean"}} and "required" not in got["0"]
+    assert zero['q"']["items"]["type"] == ["array", "string"] and zero['q"']["items"]["items"]["properties"]["x"] == {"type": "null"}
+    assert got["1"]["type"] == ["array", "object"] and got["1"]["items"]["type"] == ["array", "integer"]
 
 
 _SCHEMA = st.recursive(
