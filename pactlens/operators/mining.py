@@ -11,7 +11,7 @@ from __future__ import annotations
 import ast
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,15 @@ FACTS = (
 )
 
 
+def _arrow_facts() -> pa.DataType:
+    """The Arrow type of FACTS."""
+    texts = lambda *names: [(n, pa.string()) for n in names]
+    rows = lambda fields: pa.list_(pa.struct(fields))
+    value = [*texts("key", "shape"), ("pieces", rows(texts("kind", "text"))), ("keys", pa.list_(pa.string()))]
+    calls = [("line", pa.int32()), *texts("owner", "attr", "maker_owner", "maker"), ("args", rows([*value, ("members", rows(value))]))]
+    return pa.struct([("names", rows(texts("name", "full"))), ("constants", rows(texts("name", "value"))), ("bound", rows(texts("name", "owner", "attr"))), ("calls", rows(calls))])
+
+
 def _value(key: str | None, shape: str | None, pieces: list | None, keys=()) -> dict:
     flat = None if pieces is None else [{"kind": k, "text": t} for k, t in pieces]
     return {"key": key, "shape": shape, "pieces": flat, "keys": list(keys)}
@@ -176,14 +185,14 @@ def javascript_facts(text: str) -> dict:
     return _facts({a or b: "axios" for a, b in _AXIOS.findall(text)}, {name: value for name, _, value in _CONST.findall(text)}, [], calls)
 
 
-def syntax_facts(texts: pd.Series, languages: pd.Series) -> pd.DataFrame:
+def syntax_facts(texts: pa.Array, languages: pa.Array) -> pa.Array:
     def one(text, language) -> dict:
         try:
             return (python_facts if language == "python" else javascript_facts)(text or "")
         except (SyntaxError, ValueError, RecursionError):
             return _facts({}, {}, [], [])
 
-    return pd.DataFrame([one(t, x) for t, x in zip(texts, languages)], columns=["names", "constants", "bound", "calls"])
+    return pa.array([one(t, x) for t, x in zip(texts.to_pylist(), languages.to_pylist())], type=_arrow_facts())
 
 
 # What the facts mean ------------------------------------------------------------------------------
@@ -296,7 +305,7 @@ def mine_call_sites(files: DataFrame) -> DataFrame:
     is shuffled.
     """
     key = ("repo", "commit_sha", "file", "language")
-    facts = files.select(*key, F.pandas_udf(syntax_facts, FACTS)("content", "language").alias("f")).select(*key, "f.*")
+    facts = files.select(*key, F.arrow_udf(syntax_facts, FACTS)("content", "language").alias("f")).select(*key, "f.*")
     python = F.col("language") == "python"
     calls = F.transform("calls", lambda c: F.when(python, _python_site(c)).otherwise(_javascript_site(c)))
     sites = F.transform(F.filter(calls, lambda s: s["method"].isNotNull()), _rendered)

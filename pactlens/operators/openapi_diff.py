@@ -1,13 +1,17 @@
-"""OpenAPI specifications flattened to keyed tables and compared by outer joins.
+"""OpenAPI specifications taken apart and compared.
 
 specs(pair, side, spec): side is `before` or `after`, spec is JSON text.  Changes are
 pair, kind, location, before, after, path, methods - before and after as JSON text; path and
 methods only where a client can be found by them.
+
+The paths of both sides meet in one shuffle by pair and path.  From there on a row holds both sides,
+and what is below a path (operations, parameters, responses, properties) is lined up within the row.
+Only schemas that refer to a component are joined again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,64 +30,26 @@ def _at(text: Column | str, *path: str) -> Column:
     return F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
 
 
-def operations(specs: DataFrame) -> DataFrame:
-    """pair, side, path, method, op for every path and verb, the method as it is written."""
-    paths = path_items(specs)
-    ops = paths.select("pair", "side", "path", F.explode(_map(F.col("item"))).alias("method", "op"))
-    return ops.filter(F.lower("method").isin(*VERBS))
-
-
-def path_items(specs: DataFrame) -> DataFrame:
-    """pair, side, path, item, methods."""
-    paths = specs.select("pair", "side", F.explode(_map(_at("spec", "paths"))).alias("path", "item"))
-    keys = F.filter(F.coalesce(F.json_object_keys("item"), F.array().cast(_LIST)), lambda k: F.lower(k).isin(*VERBS))
-    return paths.withColumn("methods", F.array_sort(F.transform(keys, lambda k: F.upper(k))))
-
-
-def parameters(ops: DataFrame) -> DataFrame:
-    """One row per (in, name) of an operation; the last of equal ones wins; `in` defaults to query."""
-    rows = ops.select("pair", "side", "path", "method", F.posexplode(F.from_json(_at("op", "parameters"), _LIST)).alias("at", "param"))
-    rows = rows.filter(F.json_object_keys("param").isNotNull() & _at("param", "name").isNotNull())
-    key = [F.coalesce(_at("param", "in"), F.lit("query")).alias("in"), _at("param", "name").alias("name")]
-    kept = rows.groupBy("pair", "side", "path", "method", *key).agg(F.max_by("param", "at").alias("param"))
-    return kept.select(
-        "pair", "side", "path", "method", "in", "name", "param",
-        (F.coalesce(_at("param", "required"), F.lit("false")) == "true").alias("required"),
-        F.coalesce(_at("param", "schema", "type"), _at("param", "type")).alias("type"),
-    )
+def _meet(specs: DataFrame, *path: str) -> DataFrame:
+    """pair, name, b, a: members of an object in the specifications of both sides; null where a side lacks it."""
+    rows = specs.select("pair", "side", F.explode(_map(_at("spec", *path))).alias("name", "text"))
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("text"))).alias(side[0])
+    return rows.groupBy("pair", "name").agg(one("before"), one("after"))
 
 
-def _resolved(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """rows with `schema` replaced by the component it names, one hop; a missing one is empty."""
-    parts = specs.select("pair", "side", F.explode(_map(_at("spec", "components", "schemas"))).alias("c_name", "c_schema"))
-    name = F.regexp_extract(F.coalesce(_at("schema", "$ref"), F.lit("")), r"\A#/components/schemas/(.+)\z", 1)
-    joined = rows.withColumn("c_name", name).join(parts, ["pair", "side", "c_name"], "left")
-    schema = F.when(_at("schema", "$ref").isNotNull(), F.coalesce("c_schema", F.lit("{}"))).otherwise(F.coalesce("schema", F.lit("{}")))
-    return joined.withColumn("schema", schema).drop("c_name", "c_schema")
+def _lined_up(rows: DataFrame, keep: list[str], name: str, b: Column, a: Column) -> DataFrame:
+    """keep, name, b, a for every key of two maps."""
+    both = rows.select(*keep, b.alias("b_all"), a.alias("a_all"))
+    each = both.select("*", F.explode(F.array_union(F.map_keys("b_all"), F.map_keys("a_all"))).alias(name))
+    return each.select(*keep, name, F.try_element_at("b_all", name).alias("b"), F.try_element_at("a_all", name).alias("a"))
 
 
-def bodies(ops: DataFrame, specs: DataFrame) -> DataFrame:
-    """pair, side, path, method, place, role, schema: JSON schemas of request bodies and responses."""
-    request = ops.select(
-        "pair", "side", "path", "method", F.lit("requestBody").alias("place"), F.lit("request_body").alias("role"),
-        F.coalesce(_at("op", "requestBody", "content", "application/json", "schema"), F.lit("{}")).alias("schema"),
-    )
-    answer = responses(ops).select(
-        "pair", "side", "path", "method", F.concat(F.lit("responses/"), F.col("status")).alias("place"), F.lit("response").alias("role"),
-        F.coalesce(_at("response", "content", "application/json", "schema"), F.lit("{}")).alias("schema"),
-    )
-    return _resolved(request.unionByName(answer), specs)
+def _verbs(item: Column) -> Column:
+    return F.map_filter(_map(item), lambda k, v: F.lower(k).isin(*VERBS))
 
 
-def responses(ops: DataFrame) -> DataFrame:
-    return ops.select("pair", "side", "path", "method", F.explode(_map(_at("op", "responses"))).alias("status", "response"))
-
-
-def properties(schemas: DataFrame) -> DataFrame:
-    """One row per property of each schema (one level), with its type, whether it is required, and its enum."""
-    required = F.coalesce(F.from_json(_at("schema", "required"), _LIST), F.array().cast(_LIST))
-    rows = schemas.select("pair", "side", "path", "method", "place", "role", required.alias("all_required"), F.explode(_map(_at("schema", "properties"))).alias("name", "prop"))
-    return rows.withColumn("required", F.array_contains("all_required", F.col("name"))).withColumn("type", _at("prop", "type")).withColumn("enum", _literals(_at("prop", "enum"))).drop("all_required")
+def _methods(item: Column) -> Column:
+    return F.array_sort(F.transform(F.map_keys(_verbs(item)), lambda k: F.upper(k)))
 
 
 def _literals(enum: Column) -> Column:
@@ -101,103 +67,128 @@ def _literals(enum: Column) -> Column:
     return F.array_distinct(F.transform(F.from_json(enum, "array<variant>"), one))
 
 
-def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with the structs b and a of the two sides; null where a side lacks the key."""
-    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "side")])
-    one = lambda side: rows.filter(F.col("side") == side).select(*keys, rest.alias(side[0]))
-    return one("before").join(one("after"), keys, "full_outer")
+def _case(test: Column, kind: Column | str, before: Column, after: Column) -> Column:
+    """A change if the test holds, else null."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    change = F.struct(kind.alias("kind"), before.cast("string").alias("before"), after.cast("string").alias("after"))
+    return F.when(test, change)
+
+
+def _emit(rows: DataFrame, location: Column, cases: list[Column], path: Column | None = None, methods: Column | None = None) -> DataFrame:
+    """One row per case that holds."""
+    path, methods = (F.lit(None) if c is None else c for c in (path, methods))
+    found = rows.select("pair", location.alias("location"), path.cast("string").alias("path"), methods.cast(_LIST).alias("methods"), F.explode(F.array_compact(F.array(*cases))).alias("c"))
+    return found.select("pair", "c.kind", "location", "c.before", "c.after", "path", "methods")
+
+
+def _parameters(op: Column) -> Column:
+    """Parameters of an operation as (place and name, text); `in` defaults to query, what is no named object is left out."""
+    listed = F.coalesce(F.from_json(_at(op, "parameters"), _LIST), F.array().cast(_LIST))
+    named = F.filter(listed, lambda p: F.json_object_keys(p).isNotNull() & _at(p, "name").isNotNull())
+    return F.transform(named, lambda p: F.struct(F.concat(F.coalesce(_at(p, "in"), F.lit("query")), F.lit("/"), _at(p, "name")).alias("key"), p.alias("text")))
+
+
+def _parameter_changes(ops: DataFrame, place: Column, verb: Column) -> DataFrame:
+    both = ops.select("pair", "path", "method", _parameters(F.col("b")).alias("b_all"), _parameters(F.col("a")).alias("a_all"))
+    keys = lambda c: F.transform(c, lambda p: p["key"])
+    each = both.select("*", F.explode(F.array_union(keys("b_all"), keys("a_all"))).alias("key"))
+    last = lambda c: F.try_element_at(F.filter(c, lambda p: p["key"] == F.col("key")), F.lit(-1))["text"]
+    rows = each.select("pair", "path", "method", "key", last("b_all").alias("b"), last("a_all").alias("a"))
+    new, gone = F.col("b").isNull(), F.col("a").isNull()
+    must = lambda c: F.coalesce(_at(c, "required"), F.lit("false")) == "true"
+    kind = lambda c: F.coalesce(_at(c, "schema", "type"), _at(c, "type"))
+    stem = "openapi.parameter."
+    cases = [
+        _case(new, F.when(must("a"), stem + "added.required").otherwise(stem + "added.optional"), F.col("b"), F.col("a")),
+        _case(gone, stem + "removed", F.col("b"), F.col("a")),
+        _case(~new & ~gone & must("a") & ~must("b"), stem + "required.increased", must("b"), must("a")),
+        _case(~new & ~gone & must("b") & ~must("a"), stem + "required.decreased", must("b"), must("a")),
+        _case(~new & ~gone & ~kind("a").eqNullSafe(kind("b")), stem + "type_changed", kind("b"), kind("a")),
+    ]
+    return _emit(rows, F.concat(place, F.lit("/parameters/"), F.col("key")), cases, F.col("path"), verb)
+
+
+def _resolved(rows: DataFrame, components: DataFrame, side: str) -> DataFrame:
+    """rows with the schema of a side replaced by the component that it names, one hop; a missing one is empty."""
+    name = F.regexp_extract(F.coalesce(_at(side, "$ref"), F.lit("")), r"\A#/components/schemas/(.+)\z", 1)
+    parts = components.select("pair", F.col("name").alias("c_name"), F.col(side).alias("c_schema")).filter("c_schema IS NOT NULL")
+    joined = rows.withColumn("c_name", F.nullif(name, F.lit(""))).join(parts, ["pair", "c_name"], "left")
+    schema = F.when(_at(side, "$ref").isNotNull(), F.coalesce("c_schema", F.lit("{}"))).otherwise(F.col(side))
+    return joined.withColumn(side, schema).drop("c_name", "c_schema")
+
+
+def _property_changes(schemas: DataFrame, place: Column) -> DataFrame:
+    """Changes of the properties (one level) of schemas that both sides have."""
+    keep = ["pair", "path", "method", "place", "role"]
+    required = lambda c: F.coalesce(F.from_json(_at(c, "required"), _LIST), F.array().cast(_LIST))
+    rows = schemas.select(*keep, required("b").alias("b_must"), required("a").alias("a_must"), "b", "a")
+    rows = _lined_up(rows, [*keep, "b_must", "a_must"], "name", _map(_at("b", "properties")), _map(_at("a", "properties")))
+    new, gone = F.col("b").isNull(), F.col("a").isNull()
+    kept, body = ~new & ~gone, F.col("role") == "request_body"
+    b_must, a_must = F.array_contains("b_must", F.col("name")), F.array_contains("a_must", F.col("name"))
+    b_type, a_type = _at("b", "type"), _at("a", "type")
+    stem = F.concat(F.lit("openapi."), F.col("role"), F.lit(".property."))
+    added = F.concat(stem, F.when(~body, "added").when(a_must, "added.required").otherwise("added.optional"))
+    at = F.concat(place, F.lit("/"), F.col("place"), F.lit("/properties/"), F.col("name"))
+    cases = [
+        _case(new, added, F.col("b"), F.col("a")),
+        _case(gone, F.concat(stem, F.lit("removed")), F.col("b"), F.col("a")),
+        _case(kept & ~a_type.eqNullSafe(b_type), F.concat(stem, F.lit("type_changed")), b_type, a_type),
+        _case(kept & body & a_must & ~b_must, F.concat(stem, F.lit("required.increased")), b_must, a_must),
+        _case(kept & body & b_must & ~a_must, F.concat(stem, F.lit("required.decreased")), b_must, a_must),
+    ]
+    return _emit(rows, at, cases).unionByName(_enum_changes(rows, F.concat(at, F.lit("/enum"))))
+
 
+def _enum_changes(rows: DataFrame, location: Column) -> DataFrame:
+    """Added and removed values of enums that both sides declare."""
+    enums = rows.filter("a IS NOT NULL AND b IS NOT NULL").select("pair", location.alias("at"), _literals(_at("b", "enum")).alias("b"), _literals(_at("a", "enum")).alias("a"))
+    none = F.lit(None).cast("string")
+    change = lambda kind, before, after: F.struct(F.lit(f"openapi.enum.value.{kind}").alias("kind"), before.alias("before"), after.alias("after"))
+    more = F.transform(F.array_except("a", "b"), lambda v: change("added", none, v))
+    less = F.transform(F.array_except("b", "a"), lambda v: change("removed", v, none))
+    each = enums.select("pair", "at", F.explode(F.concat(more, less)).alias("c"))
+    return each.select("pair", "c.kind", F.col("at").alias("location"), "c.before", "c.after", none.alias("path"), F.lit(None).cast(_LIST).alias("methods"))
 
-def _emit(rows: DataFrame, kind: Column, location: Column, before: Column, after: Column, path: Column | None = None, methods: Column | None = None) -> DataFrame:
-    return rows.select(
-        "pair", kind.alias("kind"), location.alias("location"), before.cast("string").alias("before"), after.cast("string").alias("after"),
-        (path if path is not None else F.lit(None)).cast("string").alias("path"),
-        (methods if methods is not None else F.lit(None)).cast("array<string>").alias("methods"),
-    ).filter("kind IS NOT NULL")
 
+def diff_openapi(specs: DataFrame) -> DataFrame:
+    """All changes between the two sides of every pair; a side without a row is an empty specification.
 
-def _pick(*cases: tuple[Column, str]) -> Column:
-    out = None
-    for test, kind in cases:
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out
+    Null or unreadable specifications are empty ones; of repeated rows of a side one counts.
+    """
+    new, gone = F.col("b").isNull(), F.col("a").isNull()
+    both = "a IS NOT NULL AND b IS NOT NULL"
 
+    items = _meet(specs, "paths").withColumnRenamed("name", "path")
+    cases = [_case(new, "openapi.path.added", F.col("b"), F.col("a")), _case(gone, "openapi.path.removed", F.col("b"), F.col("a"))]
+    out = [_emit(items, F.concat(F.lit("/paths/"), F.col("path")), cases, F.col("path"), _methods(F.coalesce("a", "b")))]
 
-def diff_openapi(specs: DataFrame) -> DataFrame:
-    """All changes between the two sides of every pair; a side without a row is an empty specification."""
-    null: Callable[[str], Column] = lambda c: F.col(c).isNull()
-    gone, new, kept = null("a"), null("b"), ~null("a") & ~null("b")
-    out = []
-
-    items = _sides(path_items(specs), ["pair", "path"])
-    out.append(_emit(
-        items, _pick((new, "openapi.path.added"), (gone, "openapi.path.removed")), F.concat(F.lit("/paths/"), F.col("path")),
-        F.col("b.item"), F.col("a.item"), F.col("path"), F.coalesce("a.methods", "b.methods"),
-    ))
-
-    both = items.filter(kept).select("pair", "path")
-    all_ops = operations(specs).join(both, ["pair", "path"], "left_semi")
-    ops = _sides(all_ops, ["pair", "path", "method"])
     place = F.concat(F.lit("/paths/"), F.col("path"), F.lit("/"), F.col("method"))
     verb = F.array(F.upper("method"))
-    out.append(_emit(ops, _pick((new, "openapi.operation.added"), (gone, "openapi.operation.removed")), place, F.col("b.op"), F.col("a.op"), F.col("path"), verb))
-
-    kept_ops = all_ops.join(ops.filter(kept).select("pair", "path", "method"), ["pair", "path", "method"], "left_semi")
-    params = _sides(parameters(kept_ops), ["pair", "path", "method", "in", "name"])
-    at = F.concat(place, F.lit("/parameters/"), F.col("in"), F.lit("/"), F.col("name"))
-    kind = _pick((new & F.col("a.required"), "openapi.parameter.added.required"), (new, "openapi.parameter.added.optional"), (gone, "openapi.parameter.removed"))
-    out.append(_emit(params, kind, at, F.col("b.param"), F.col("a.param"), F.col("path"), verb))
-    flips = kept & (F.col("a.required") != F.col("b.required"))
-    kind = _pick((flips & F.col("a.required"), "openapi.parameter.required.increased"), (flips, "openapi.parameter.required.decreased"))
-    out.append(_emit(params, kind, at, F.col("b.required"), F.col("a.required"), F.col("path"), verb))
-    retyped = kept & ~F.col("a.type").eqNullSafe(F.col("b.type"))
-    out.append(_emit(params, _pick((retyped, "openapi.parameter.type_changed")), at, F.col("b.type"), F.col("a.type"), F.col("path"), verb))
-
-    flag = kept_ops.select("pair", "side", "path", "method", (F.coalesce(_at("op", "requestBody", "required"), F.lit("false")) == "true").alias("required"))
-    flags = _sides(flag, ["pair", "path", "method"]).filter(F.col("a.required") != F.col("b.required"))
-    kind = _pick((F.col("a.required"), "openapi.request_body.property.required.increased"), (~F.col("a.required"), "openapi.request_body.property.required.decreased"))
-    out.append(_emit(flags, kind, F.concat(place, F.lit("/requestBody")), F.col("b.required"), F.col("a.required"), F.col("path"), verb))
-
-    answers = _sides(responses(kept_ops), ["pair", "path", "method", "status"])
-    at = F.concat(place, F.lit("/responses/"), F.col("status"))
-    out.append(_emit(answers, _pick((new, "openapi.response.added"), (gone, "openapi.response.removed")), at, F.col("b.response"), F.col("a.response"), F.col("path"), verb))
-
-    # Schemas are compared where both sides have the request body or response.
-    schemas = bodies(kept_ops, specs)
-    shared = _sides(schemas, ["pair", "path", "method", "place"]).filter(kept).select("pair", "path", "method", "place")
-    props = _sides(properties(schemas.join(shared, ["pair", "path", "method", "place"], "left_semi")), ["pair", "path", "method", "place", "role", "name"])
-    at = F.concat(place, F.lit("/"), F.col("place"), F.lit("/properties/"), F.col("name"))
-    body = F.col("role") == "request_body"
-    kind = _pick(
-        (new & body & F.col("a.required"), "openapi.request_body.property.added.required"),
-        (new & body, "openapi.request_body.property.added.optional"),
-        (new, "openapi.response.property.added"),
-        (gone & body, "openapi.request_body.property.removed"),
-        (gone, "openapi.response.property.removed"),
-    )
-    out.append(_emit(props, kind, at, F.col("b.prop"), F.col("a.prop")))
-    retyped = kept & ~F.col("a.type").eqNullSafe(F.col("b.type"))
-    kind = _pick((retyped & body, "openapi.request_body.property.type_changed"), (retyped, "openapi.response.property.type_changed"))
-    out.append(_emit(props, kind, at, F.col("b.type"), F.col("a.type")))
-    flips = kept & body & (F.col("a.required") != F.col("b.required"))
-    kind = _pick((flips & F.col("a.required"), "openapi.request_body.property.required.increased"), (flips, "openapi.request_body.property.required.decreased"))
-    out.append(_emit(props, kind, at, F.col("b.required"), F.col("a.required")))
-    out.append(_enum_changes(props.filter(kept), F.concat(at, F.lit("/enum"))))
-
-    parts = specs.select("pair", "side", F.explode(_map(_at("spec", "components", "schemas"))).alias("name", "schema"))
-    parts = parts.select("pair", "side", "name", _literals(_at("schema", "enum")).alias("enum"))
-    enums = _sides(parts, ["pair", "name"]).filter(kept)
-    out.append(_enum_changes(enums, F.concat(F.lit("/components/schemas/"), F.col("name"), F.lit("/enum"))))
-
-    changes = out[0]
-    for more in out[1:]:
-        changes = changes.unionByName(more)
-    return changes
-
-
-def _enum_changes(rows: DataFrame, location: Column) -> DataFrame:
-    """Added and removed values of enums that both sides declare."""
-    more = F.transform(F.array_except("a.enum", "b.enum"), lambda v: F.struct(F.lit("openapi.enum.value.added").alias("kind"), F.lit(None).cast("string").alias("before"), v.alias("after")))
-    less = F.transform(F.array_except("b.enum", "a.enum"), lambda v: F.struct(F.lit("openapi.enum.value.removed").alias("kind"), v.alias("before"), F.lit(None).cast("string").alias("after")))
-    each = rows.withColumn("__at", location).select("pair", "__at", F.explode(F.concat(more, less)).alias("c"))
-    return _emit(each, F.col("c.kind"), F.col("__at"), F.col("c.before"), F.col("c.after"))
+    ops = _lined_up(items.filter(both), ["pair", "path"], "method", _verbs(F.col("b")), _verbs(F.col("a")))
+    cases = [_case(new, "openapi.operation.added", F.col("b"), F.col("a")), _case(gone, "openapi.operation.removed", F.col("b"), F.col("a"))]
+    out.append(_emit(ops, place, cases, F.col("path"), verb))
+
+    ops = ops.filter(both)
+    out.append(_parameter_changes(ops, place, verb))
+    must = lambda c: F.coalesce(_at(c, "requestBody", "required"), F.lit("false")) == "true"
+    stem = "openapi.request_body.property.required."
+    cases = [_case(must("a") & ~must("b"), stem + "increased", must("b"), must("a")), _case(must("b") & ~must("a"), stem + "decreased", must("b"), must("a"))]
+    out.append(_emit(ops, F.concat(place, F.lit("/requestBody")), cases, F.col("path"), verb))
+
+    answers = _lined_up(ops, ["pair", "path", "method"], "status", _map(_at("b", "responses")), _map(_at("a", "responses")))
+    cases = [_case(new, "openapi.response.added", F.col("b"), F.col("a")), _case(gone, "openapi.response.removed", F.col("b"), F.col("a"))]
+    out.append(_emit(answers, F.concat(place, F.lit("/responses/"), F.col("status")), cases, F.col("path"), verb))
+
+    # Schemas are compared where both sides have the operation or the response.
+    json = ("content", "application/json", "schema")
+    of = lambda place, role, *path: [F.lit(role).alias("role"), place.alias("place"), *[F.coalesce(_at(c, *path, *json), F.lit("{}")).alias(c) for c in ("b", "a")]]
+    keys = ["pair", "path", "method"]
+    schemas = ops.select(*keys, *of(F.lit("requestBody"), "request_body", "requestBody"))
+    schemas = schemas.unionByName(answers.filter(both).select(*keys, *of(F.concat(F.lit("responses/"), F.col("status")), "response")))
+    components = _meet(specs, "components", "schemas")
+    for side in ("b", "a"):
+        schemas = _resolved(schemas, components, side)
+    out.append(_property_changes(schemas, place))
+    out.append(_enum_changes(components, F.concat(F.lit("/components/schemas/"), F.col("name"), F.lit("/enum"))))
+    return reduce(DataFrame.unionByName, out)

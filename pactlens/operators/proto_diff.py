@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlens.functions.lineage import cut
+
 _COLUMNS = ("scope", "name", "member", "number", "type", "label", "input", "output")
 _FLAT = T.StructType([T.StructField(c, T.IntegerType() if c == "number" else T.StringType()) for c in _COLUMNS])
 
@@ -73,7 +75,7 @@ def _emit(rows: DataFrame, kind: Column, location: Column, before: Column, after
 
 def diff_proto(specs: DataFrame) -> DataFrame:
     """All changes of messages, fields, services and methods between the sides of every pair."""
-    flat = flatten_descriptors(specs)
+    flat = cut(flatten_descriptors(specs))  # read once per scope and side below
     new, gone = F.col("b").isNull(), F.col("a").isNull()
     kept = ~new & ~gone
     of = lambda scope: flat.filter(F.col("scope") == scope)

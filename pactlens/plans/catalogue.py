@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions import decay, identity, paths
 from pactlens.operators import campaigns, guides, ingest, reports, routes, rules, store
+from pactlens.plans.registry import ORACLES, query, table
 
 AS_OF = "2024-01-31 00:00:00"
 ROUTES = (
@@ -25,10 +26,6 @@ ROUTES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
@@ -38,19 +35,6 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 _TS = "strftime(max(ts), '%Y-%m-%d %H:%M:%S')"
 _show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -108,7 +92,16 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path"), paths.abstract_static_segments(path).alias("template"))
 
 
-@query()
+_SEGMENTS = f"list_filter(string_split({_SLASH}, '/'), lambda s: s <> '')"
+
+
+@query(f"""SELECT page_id, CASE WHEN len(s) = 0 THEN path WHEN s[1] = 'item' AND len(s) = 2 THEN '/item/{{id}}' WHEN s[1] = 'item' AND len(s) = 3 AND s[3] = 'reviews' THEN '/item/{{id}}/reviews'
+    WHEN s[1] = 'news' AND len(s) = 2 THEN '/news/{{slug}}' WHEN s[1] = 'blog' AND len(s) = 3 THEN '/blog/{{year}}/{{slug}}' WHEN s[1] = 'tag' AND len(s) = 2 THEN '/tag/{{name}}'
+    WHEN s[1] NOT IN ('item', 'news', 'blog', 'tag') AND len(s) = 1 THEN '/{{section}}' WHEN s[1] NOT IN ('item', 'news', 'blog', 'tag') AND len(s) = 2 THEN '/{{section}}/{{page}}'
+    ELSE template END AS path_template,
+  coalesce(s[1] = 'item' AND (len(s) = 2 OR len(s) = 3 AND s[3] = 'reviews') OR s[1] IN ('news', 'tag') AND len(s) = 2 OR s[1] = 'blog' AND len(s) = 3
+    OR s[1] NOT IN ('item', 'news', 'blog', 'tag') AND len(s) IN (1, 2), false) AS matched
+FROM (SELECT page_id, {_SLASH} AS path, {_SEGMENTS} AS s, {_ABSTRACT.format(_SLASH)} AS template FROM pages)""")
 def route_match(spark, sf_dir):
     table_of_routes = spark.createDataFrame([(m, t, n) for n, (m, t) in enumerate(ROUTES)], "method string, path_template string, ord int")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("GET").alias("method"))
@@ -349,23 +342,27 @@ def defacto_paths(spark, sf_dir):
     return ingest.defacto_paths(static, ingest.observed_endpoints(calls(spark, sf_dir)))
 
 
-@query()
+@query("""SELECT event_type AS endpoint_id, 'request' AS role, CASE WHEN bool_and(k IS NOT NULL) THEN '{"properties": {"k": {"type": "integer"}}, "required": ["k"], "type": "object"}'
+  WHEN bool_or(k IS NOT NULL) THEN '{"properties": {"k": {"type": "integer"}}, "type": "object"}' ELSE '{"properties": {}, "type": "object"}' END AS schema
+FROM (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL) GROUP BY event_type""")
 def infer_schema(spark, sf_dir):
     return ingest.infer_schemas(calls(spark, sf_dir), ("endpoint_id",), {"request": "request_body"})
 
 
-@query()
+@query(ORACLES["usage_windows"])
 def stream_usage(spark, sf_dir):
+    """The same rows as the batch query: with all events read, nothing is later than the watermark allows."""
     from pactlens.streaming.usage import usage_by_stream
 
-    return usage_by_stream(spark, sf_dir)
+    w = usage_by_stream(spark, sf_dir)
+    return w.withColumn("window_start", _show(F.col("window_start"))).withColumn("window_end", _show(F.col("window_end")))
 
 
-@query()
+@query(ORACLES["ewma_decay"])
 def stream_ewma(spark, sf_dir):
     from pactlens.streaming.usage import ewma_by_stream
 
-    return ewma_by_stream(spark, sf_dir)
+    return ewma_by_stream(spark, sf_dir).withColumn("ewma_value", F.round("ewma_value", 3))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,8 @@ def read_har(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
 
 
-def har_calls(documents: DataFrame, ingest_ts: Column, content_col: str = "content") -> DataFrame:
-    """Calls of HAR documents.
+def har_calls(documents: DataFrame, ingest_ts: Column, content_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Calls of HAR documents, each with the columns of its document that are to be kept.
 
     Empty documents give none; invalid JSON, or a document without `log`, is an error when the rows
     are computed.  Entries without a text method and url are dropped; a status that is no integer is 0.
@@ -57,8 +57,9 @@ def har_calls(documents: DataFrame, ingest_ts: Column, content_col: str = "conte
     entries = F.when(sound, F.coalesce("__har.log.entries", F.array().cast(f"array<{_ENTRY}>"))).otherwise(
         F.raise_error(F.lit("not a HAR document")).cast(f"array<{_ENTRY}>")
     )
-    entry = parsed.select(F.posexplode(entries).alias("ord", "e")).filter("e.request.method IS NOT NULL AND e.request.url IS NOT NULL")
+    entry = parsed.select(*keep, F.posexplode(entries).alias("ord", "e")).filter("e.request.method IS NOT NULL AND e.request.url IS NOT NULL")
     return entry.select(
+        *keep,
         F.upper("e.request.method").alias("method"),
         F.col("e.request.url").alias("url"),
         F.coalesce(F.expr("try_cast(e.response.status AS int)"), F.lit(0)).alias("status"),

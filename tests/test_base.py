@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions import decay, identity, jsontree, paths
 from pactlens.operators import campaigns, guides, ingest, mining, openapi_diff, proto_diff, reports, routes, rules, store
-from pactlens.plans import catalogue
+from pactlens.plans import catalogue, contracts, registry  # noqa: F401
 from pactlens.sources import code, traffic
 from tests.conftest import SF
 
@@ -28,24 +28,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_agrees_with_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     plain = lambda x: x[columns].astype(str).sort_values(columns).reset_index(drop=True)
     pd.testing.assert_frame_equal(plain(got), plain(want))
 
 
-def test_streams_agree_with_batch(spark):
-    key = ["endpoint_id", "client_id"]
-    stream = catalogue.QUERIES["stream_usage"](spark, SF).groupBy(key).agg(F.sum("request_count").alias("n")).toPandas()
-    batch = campaigns.usage_windows(catalogue.calls(spark, SF)).groupBy(key).agg(F.sum("request_count").alias("n")).toPandas()
-    assert sorted(map(tuple, stream.values)) == sorted(map(tuple, batch.values))
-    smooth = {r.event_type: round(r.ewma_value, 3) for r in catalogue.QUERIES["stream_ewma"](spark, SF).collect()}
-    assert smooth == {r.event_type: r.ewma_value for r in catalogue.QUERIES["ewma_decay"](spark, SF).collect()}
-
-
 def test_paths(spark):
     rows = [
         ("https://h.example/a/7//b?x=1#f", "/a/{id}//b"),
