@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +31,16 @@ def walk(value):
             stack += [(v, f"{at}[*]", at, None, depth + 1) for v in reversed(node)]
 
 
-@F.pandas_udf(T.ArrayType(_NODE))
-def field_paths(bodies: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(_NODE))
+def field_paths(bodies: pa.Array) -> pa.Array:
     """Nodes of a JSON text; null, blank and invalid texts have none."""
-
-    def one(text):
+    nodes, ends = [], [0]
+    for text in bodies.to_pylist():
         try:
-            return [] if text is None or not text.strip() else [dict(zip(_NODE.names, n)) for n in walk(json.loads(text))]
+            nodes += list(walk(json.loads(text))) if text and text.strip() else []
         except (ValueError, RecursionError):
-            return []
-
-    return bodies.map(one)
+            pass
+        ends.append(len(nodes))
+    columns = list(zip(*nodes)) if nodes else [()] * len(_NODE.names)
+    arrays = [pa.array(c, type=pa.int32() if name == "depth" else pa.string()) for name, c in zip(_NODE.names, columns)]
+    return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays(arrays, names=_NODE.names))

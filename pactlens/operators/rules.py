@@ -121,8 +121,8 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
     """changes with affected_clients: sorted repositories that call one of the change's methods on its path.
 
     Templates are compared as text; erase_names makes all placeholders alike.  rpc_keys also matches
-    mined RPC calls (method RPC, /service/method) to RPC changes.  Call sites are reduced to distinct
-    (method, path, repo) before the join, so a busy endpoint meets each repository once.
+    mined RPC calls (method RPC, /service/method) to RPC changes.  Only call sites of changed paths
+    leave the join; they are reduced to one per change and repository before they are gathered.
     """
     plain = lambda c: F.regexp_replace(c, r"\{[^}]*\}", "{}") if erase_names else c
     sites = call_sites.select(F.upper("method").alias("k_method"), plain(F.col("path_template")).alias("k_path"), "repo")
@@ -131,7 +131,8 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
         dotted = F.regexp_replace(F.regexp_replace("k_path", r"\A/", ""), "/", ".")
         sites = sites.select(F.when(rpc, "POST").otherwise(F.col("k_method")).alias("k_method"), F.when(rpc, dotted).otherwise(F.col("k_path")).alias("k_path"), "repo")
     wanted = changes.select(*keys, plain(F.col("path")).alias("k_path"), F.explode("methods").alias("k_method")).filter("k_path IS NOT NULL")
-    hit = wanted.join(sites.distinct(), ["k_method", "k_path"]).groupBy(*keys).agg(F.array_sort(F.collect_set("repo")).alias("affected_clients"))
+    met = wanted.join(sites, ["k_method", "k_path"]).select(*keys, "repo").distinct()
+    hit = met.groupBy(*keys).agg(F.array_sort(F.collect_list("repo")).alias("affected_clients"))
     joined = changes.join(hit, keys, "left")
     return joined.withColumn("affected_clients", F.coalesce("affected_clients", F.array().cast("array<string>")))
 
