@@ -23,9 +23,11 @@ LEAST_LEVEL, LEVELS = 2, 40
 MOST_PIECES = 64
 #: Signatures that are not equal must share a run of so many characters to be alike at all.
 COMMON = 4
-#: Bytes of text that a range of ids should hold.
-RANGE_BYTES = 8 << 20
+#: Bytes of text that a range of ids should hold, and the most ranges; with more text each holds more.
+#: A range is read row by row, so its size is no matter of memory.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
 _FACTOR = 0x9E3779B97F4A7C15 | 1
+_LEAST_ID = -(1 << 63)
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 #: Bytes hashed at a time; longer texts go through in steps that overlap by a window.
 STEP = 1 << 20
@@ -124,15 +126,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "id bigint, n_chars bigint, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def id_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RANGE_BYTES) -> list[int]:
-    """Ids that cut the documents into ranges of about range_bytes of text: a few numbers per range."""
+def id_ranges(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RANGE_BYTES) -> np.ndarray:
+    """Sorted ids that cut the documents into ranges of about range_bytes of text, MOST_RANGES at most."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-total // range_bytes))
+    parts = min(MOST_RANGES, max(1, -(-total // range_bytes)))
     if parts == 1:
-        return []
+        return np.zeros(0, dtype=np.int64)
     at = [i / parts for i in range(1, parts)]
     marks = docs.filter(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, at, 10 * parts).alias("m")).first()["m"]
-    return sorted({int(m) for m in marks or []})
+    return np.unique(np.array(marks or [], dtype=np.int64))
+
+
+def _range_of(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """The range of each id; null ids belong to the first."""
+    return np.searchsorted(marks, ids.fill_null(_LEAST_ID).to_numpy(), side="right").astype(np.int32)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -145,51 +152,43 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = id_ranges(rows, "id", "text", range_bytes)
-    low = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    span = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= low)) if marks else F.lit(0)
-    if marks:  # a chain of halvings instead of a scan of all marks
-        span = _bisect(low, marks, 0, len(marks))
-    rows = rows.withColumn("range", span.cast("int"))
-    firsts = sorted((r["range"], r["id"], r["text_hash"]) for r in _first_rows(rows).collect()) if marks else []
-    if marks:
-        before = {(i, h): firsts[k - 1][0] for k, (_, i, h) in enumerate(firsts)}
-        table = docs.sparkSession.createDataFrame([(i, h, r) for (i, h), r in before.items()], "f_id bigint, f_hash string, goes_to int")
-        same = F.col("id").eqNullSafe(F.col("f_id")) & (F.sha2("text", 256) == F.col("f_hash"))
-        ids = [i for i, _ in before]
-        maybe = F.coalesce(F.col("id").isin([i for i in ids if i is not None]), F.lit(False))
-        if None in ids:
-            maybe = maybe | F.col("id").isNull()
-        tails = rows.filter(maybe).join(F.broadcast(table), same).dropDuplicates(["id", "f_hash"]).select("id", "text", F.col("goes_to").alias("range"))
-    else:
-        tails = rows.orderBy(F.col("id").asc_nulls_first(), F.sha2("text", 256)).limit(1).select("id", "text", "range")
-    both = rows.select("range", F.lit(False).alias("tail"), "id", "text").unionByName(tails.withColumn("tail", F.lit(True)))
-    small = both.select("range", "tail", "id", F.sha2("text", 256).alias("place"), "text").mapInArrow(
-        _pack, "range int, tail boolean, id bigint, place string, size bigint, packed binary"
-    )
+    rows = rows.withColumn("place", F.sha2("text", 256))
+    firsts = sorted(tuple(r) for r in _first_rows(rows, marks).collect())
+    # Each first row also goes to the end of the range before its own; the first of all to the last range's.
+    copies = [(i, h, firsts[k - 1][0]) for k, (_, i, h) in enumerate(firsts)]
+    table = F.broadcast(docs.sparkSession.createDataFrame(copies, "f_id bigint, f_place string, goes_to int"))
+    tails = rows.join(table, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("place") == F.col("f_place"))).dropDuplicates(["f_id", "f_place"])
+    both = rows.withColumn("goes_to", F.lit(None).cast("int")).unionByName(tails.select("id", "text", "place", "goes_to"))
+    small = both.mapInArrow(_pack(marks), "range int, tail boolean, id bigint, place string, size bigint, packed binary")
     order = ["range", "tail", F.col("id").asc_nulls_first(), "place"]
     return small.repartition(len(marks) + 1, "range").sortWithinPartitions(*order).drop("place")
 
 
-def _pack(batches):
-    for batch in batches:
-        raw = [t.as_buffer() for t in batch.column(4)]
-        packed = [pa.compress(r, codec="zstd", asbytes=True) if len(r) else b"" for r in raw]
-        sizes = pa.array([len(r) for r in raw], type=pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], sizes, pa.array(packed, type=pa.binary())], names=["range", "tail", "id", "place", "size", "packed"])
+def _pack(marks: np.ndarray):
+    """(id, text, place, goes_to) to rows of with_next; goes_to is the range of a copy, else null."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts, place, goes_to = batch.columns
+            span = np.where(goes_to.is_null(), _range_of(ids, marks), goes_to.fill_null(0).to_numpy())
+            raw = [t.as_buffer() for t in texts]
+            packed = [pa.compress(r, codec="zstd", asbytes=True) if len(r) else b"" for r in raw]
+            columns = [pa.array(span.astype(np.int32)), goes_to.is_valid(), ids, place, pa.array([len(r) for r in raw], type=pa.int64()), pa.array(packed, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "tail", "id", "place", "size", "packed"])
+
+    return run
 
 
-def _bisect(value: Column, marks: list[int], low: int, high: int) -> Column:
-    """How many of marks[low:high] are at most `value`, plus low."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(value >= marks[mid], _bisect(value, marks, mid + 1, high)).otherwise(_bisect(value, marks, low, mid))
+def _first_rows(rows: DataFrame, marks: np.ndarray) -> DataFrame:
+    """The first row of every range as range, id, place: MOST_RANGES rows at most reach the driver."""
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_range_of(batch.column(0), marks)), *batch.columns], names=["range", "id", "place"])
 
-def _first_rows(rows: DataFrame) -> DataFrame:
-    """The first row of every range: one row per range reaches the driver."""
-    key = F.struct(F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("o"), F.sha2("text", 256).alias("h"), "id")
-    return rows.groupBy("range").agg(F.min(key).alias("k")).select("range", "k.id", F.col("k.h").alias("text_hash"))
+    key = F.struct(F.coalesce(F.col("id"), F.lit(_LEAST_ID)).alias("o"), "place", "id")
+    ranged = rows.select("id", "place").mapInArrow(run, "range int, id bigint, place string")
+    return ranged.groupBy("range").agg(F.min(key).alias("k")).select("range", "k.id", "k.place")
 
 
 def edited(text: str, following: str) -> str:
