@@ -9,6 +9,7 @@ license from others must be as they should, and of competing spans the best is k
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,6 +113,9 @@ def _gram_hashes(words: Column) -> Column:
 
 def _template_grams(spark: SparkSession, base, templates) -> DataFrame:
     """Every three-word run of every template: template, label, base, length, t_pos, t_words, hash."""
+    short = [text for _, text in (*base, *templates) if len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)) < K]
+    if short:
+        raise ValueError(f"phrases and templates have {K} words or more: {short}")
     rows = [(n, label, n < len(base), text) for n, (label, text) in enumerate((*base, *templates))]
     table = spark.createDataFrame(rows, "template int, label string, base boolean, text string")
     table = table.withColumn("words", license_words(F.col("text")))
@@ -165,7 +169,7 @@ def license_spans(
     further words of the template.  Tolerant spans that lack what MARKS asks for are not returned, nor
     those that compete with a better one.  The row key is the id with the text's hash, so rows that
     share an id but not a text stay apart, and repeated rows give their spans once.  Null and empty
-    texts and empty tables give none.
+    texts and empty tables give none.  A phrase or template of fewer than K words is a ValueError.
     """
     spark = docs.sparkSession
     grams = _template_grams(spark, base, templates)

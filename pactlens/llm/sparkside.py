@@ -2,41 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset, as in local tests, is a
-    folder of this machine taken.
-    """
-    context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if known:
-        if current.isEmpty():
-            context.setCheckpointDir(known)
-        return known
-    if current.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pactlens-"))
-        current = context._jsc.sc().getCheckpointDir()
-    return current.get()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and cut its lineage; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+from pactlens.functions.lineage import cut, shared_dir  # noqa: F401
+from pactlens.functions.lineage import scratch as fresh_path  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -88,6 +88,11 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_short_phrases_are_refused(spark):
+    with pytest.raises(ValueError, match="3 words"):
+        licenses.license_spans(empty(spark), base=(("x", "two words"),))
+
+
 def test_licenses_that_differ_in_a_word(spark):
     cc, gnu = "licensed under a Creative Commons Attribution{} 4.0 International License.", "Licensed under the GNU {}General Public License, version {}."
     notice = dict(licenses.TEMPLATES)["gpl"]
