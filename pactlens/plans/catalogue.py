@@ -365,6 +365,14 @@ def stream_ewma(spark, sf_dir):
     return ewma_by_stream(spark, sf_dir).withColumn("ewma_value", F.round("ewma_value", 3))
 
 
+@query(ORACLES["observed_endpoints"])
+def stream_endpoints(spark, sf_dir):
+    """Observed endpoints of a stream in which every event comes twice."""
+    from pactlens.streaming.usage import endpoints_by_stream
+
+    return endpoints_by_stream(spark, sf_dir).withColumn("last_seen_at", _show(F.col("last_seen_at")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field usage by endpoint, path and type, with distinct clients and the latest time."""
     nodes = ingest.field_nodes(calls(spark, sf_dir), ("endpoint_id", "client_id"), {"request": "request_body"})

@@ -37,6 +37,16 @@ def test_query_agrees_with_sql(spark, duck, name):
     pd.testing.assert_frame_equal(plain(got), plain(want))
 
 
+def test_stream_batches_are_folded(spark, tmp_path):
+    from pactlens.streaming.usage import endpoints_by_stream
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.path_template: (r.sample_count, r.last_seen_at, r.matched) for r in endpoints_by_stream(spark, str(tmp_path), files_per_batch=1).collect()}
+    want = ingest.observed_endpoints(catalogue.calls(spark, SF)).collect()
+    assert got == {r.path_template: (r.sample_count, r.last_seen_at, r.matched) for r in want}
+
+
 def test_paths(spark):
     rows = [
         ("https://h.example/a/7//b?x=1#f", "/a/{id}//b"),
