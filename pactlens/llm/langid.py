@@ -231,12 +231,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     language, and for texts with more unseen subwords than it allows.  Every row of docs is returned
     with its columns; ones named like the three added are replaced.
     """
-    model_ref = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMENSIONS at most, and a few numbers a language
+    model_ref = docs.sparkSession.sparkContext.broadcast(vars(model))  # BUCKETS x DIMENSIONS at most, and a few numbers a language
     docs = docs.drop("lang_pred", "lang_score", "lang_accepted")
 
     @F.arrow_udf("struct<lang:string,score:double,accepted:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
-        model = model_ref.value
+        model = LanguageModel(**model_ref.value)
         parts = [model.look(d, b) for _, _, d, b in slabs(texts, PREDICT_BYTES)]
         logits, strange = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, len(model.languages))), np.zeros(0))
         p = model.probabilities(logits) if len(logits) else logits

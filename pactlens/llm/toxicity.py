@@ -191,11 +191,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     Every row is kept with its columns; one named toxicity is replaced.
     """
-    model_ref = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers
+    model_ref = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2 ** BITS numbers
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [model_ref.value.scores(*presence_features(d, b)) for _, _, d, b in slabs(texts)]
+        parts = [ToxicityModel(**model_ref.value).scores(*presence_features(d, b)) for _, _, d, b in slabs(texts)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.drop("toxicity").withColumn("toxicity", score(F.col(text_col)))
