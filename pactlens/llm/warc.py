@@ -36,8 +36,12 @@ def payload_digest(payload: bytes) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """The body in chunked transfer framing; a chunk also ends within any record mark of the payload."""
-    cuts = {*range(size, len(payload), size), *(m.start() + len(END) for m in re.finditer(re.escape(MARK.encode()), payload))}
+    """The body in chunked transfer framing.
+
+    A chunk also ends within every version line's text of the payload, so that neither the framing
+    nor the cuts into segments can complete a record mark.
+    """
+    cuts = {*range(size, len(payload), size), *(m.start() + 4 for m in re.finditer(re.escape(VERSION.strip()), payload))}
     edges = [0, *sorted(cuts), len(payload)]
     parts = [b"%x\r\n%b\r\n" % (b - a, payload[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
     return b"".join([*parts, b"0\r\n\r\n"])
@@ -115,12 +119,9 @@ def _encode(segment_bytes: int, chunk_bytes: int):
                 if len(block) <= segment_bytes:
                     out.append(_record([*kind, http], block))
                     continue
-                starts = [0]
-                while (at := starts[-1] + segment_bytes) < len(block):
-                    # A segment that began with the version line would complete a record mark with its own header.
-                    starts.append(at + 1 if block.startswith(VERSION, at) else at)
-                for number, (at, end) in enumerate(zip(starts, [*starts[1:], len(block)]), 1):
-                    piece = block[at:end]
+                starts = range(0, len(block), segment_bytes)
+                for number, at in enumerate(starts, 1):
+                    piece = block[at : at + segment_bytes]
                     if number == 1:
                         out.append(_record([*kind, http, ("WARC-Segment-Number", 1)], piece))
                         continue

@@ -262,6 +262,14 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"\r\n", b"WARC/1.1", b"WARC", b"/1.1", b"x", b"0"]), max_size=14), st.integers(1, 20))
+def test_framing_never_holds_a_version_line(parts, size):
+    payload = b"".join(parts)
+    body = warc.chunked(payload, size)
+    assert warc.dechunked(body) == payload and warc.VERSION.strip() not in body
+
+
 def test_broken_archives_are_reported(spark):
     path = fresh_path(spark, "warc-broken")
     pages = spark.createDataFrame([(1, "u", "x" * 9000)], "page_id bigint, url string, html string")
