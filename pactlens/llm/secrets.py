@@ -34,6 +34,8 @@ RULES = (*BASE_RULES, *OWN_RULES)
 BASE_KINDS = tuple(r[0] for r in BASE_RULES)
 #: Findings of up to so many blobs and spans (under 100 bytes each) are broadcast to the documents; beyond, both are shuffled.
 BROADCAST_FINDINGS = 50_000
+#: A task forgets the blobs it has met after so many (about 100 bytes each); copies met again are dropped after the shuffle.
+REMEMBERED = 100_000
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 #: What a text must hold for a rule's pattern to match at all; a plain search is far cheaper than the pattern.
 _NEEDED = {"assign": ("=", ":"), "access": ("AKIA",), "private_key": ("-----BEGIN ",), "slack": ("xox",), "google": ("AIza",), "jwt": ("eyJ",), "github": ("gh",)}
@@ -59,9 +61,11 @@ def find_secrets(text: str, rules=RULES) -> list[tuple[int, int, str, int]]:
 
 
 def _distinct_blobs(batches):
-    """(text) to (blob, text), each blob once per task."""
+    """(text) to (blob, text), without the copies among the last REMEMBERED blobs of the task."""
     seen: set[bytes] = set()
     for batch in batches:
+        if len(seen) > REMEMBERED:
+            seen.clear()
         blobs, keep = [], []
         texts = batch.column(0)
         for r, text in enumerate(texts):
@@ -75,17 +79,18 @@ def _distinct_blobs(batches):
 
 
 def _scan(rules):
+    """(blob, text), sorted by blob, to (blob, spans), each blob once."""
     fields = [("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]
     kind = pa.list_(pa.struct(fields))
 
     def run(batches):
-        seen: set[bytes] = set()
+        last = None
         for batch in batches:
             blobs, spans = [], []
             for blob, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if blob in seen:
+                if blob == last:
                     continue
-                seen.add(blob)
+                last = blob
                 found = find_secrets(text.as_py() or "", rules)
                 blobs.append(blob)
                 spans.append([dict(zip(("start", "rank", "kind", "end"), s)) for s in found])
@@ -111,13 +116,14 @@ class BlobLedger:
     def update(self, texts: DataFrame, rules=RULES) -> None:
         """Scan the unseen blobs of texts(text) under these rules and append their findings.
 
-        A blob's copies are dropped within each task first, then meet by hash, so a blob with very
-        many copies moves once per task.  Blobs without findings are remembered too.
+        A blob's copies are dropped within each task first, then meet by hash and in order, so a blob
+        with very many copies moves a few times per task and no task remembers all of its blobs.
+        Blobs without findings are remembered too.
         """
         version = rule_version(rules)
         known = self.table().filter(F.col("rule_version") == version).select("blob")
         blobs = texts.mapInArrow(_distinct_blobs, "blob binary, text string")
-        unseen = blobs.repartition(F.col("blob")).join(known, "blob", "left_anti")
+        unseen = blobs.repartition(F.col("blob")).join(known, "blob", "left_anti").sortWithinPartitions("blob")
         found = unseen.select("blob", "text").mapInArrow(_scan(rules), f"blob binary, spans {SPANS}")
         found.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(self.path)
 
