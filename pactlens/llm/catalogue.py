@@ -8,11 +8,11 @@ from pactlens.llm.fingerprints import op5_fingerprints
 from pactlens.llm.langid import op9_language
 from pactlens.llm.licenses import op1_licenses
 from pactlens.llm.mixing import OP2_SQL, op2_mix_sources
-from pactlens.llm.neardup import op3_near_dedup
+from pactlens.llm.neardup import OP3_SQL, op3_near_dedup
 from pactlens.llm.quality import op10_quality
-from pactlens.llm.secrets import op6_secrets
+from pactlens.llm.secrets import OP6_SQL, op6_secrets
 from pactlens.llm.toxicity import op7_toxicity
-from pactlens.llm.warc import op4_warc
+from pactlens.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -29,4 +29,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op6_secrets": OP6_SQL,
 }

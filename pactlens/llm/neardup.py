@@ -264,3 +264,42 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id"
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles over all documents."""
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
+#: Candidates share one of the rarest shingles of each set: two sets with a similarity of 0.8 share
+#: at least 0.8 of the larger, so the first n - ceil(0.8 n) + 1 of one order of all shingles have one in common.
+OP3_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM worded
+), nodes AS (
+  SELECT min(doc_id) AS node, h, any_value(s) AS s FROM (SELECT doc_id, s, list_sort(s) AS h FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL) GROUP BY h
+), ranked AS (
+  SELECT node, n, x, row_number() OVER (PARTITION BY node ORDER BY f, x) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY x) AS f FROM (SELECT node, len(s) AS n, unnest(s) AS x FROM nodes))
+), prefix AS (
+  SELECT node, n, x FROM ranked WHERE place <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1
+), candidates AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM prefix a JOIN prefix b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), pairs AS (
+  SELECT a, b, len(p.s) AS n, len(q.s) AS m, len(list_intersect(p.s, q.s)) AS shared
+  FROM candidates JOIN nodes p ON p.node = a JOIN nodes q ON q.node = b
+), linked AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (n + m - shared)
+), edges AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach(node, seen) AS (
+  SELECT node, node FROM nodes UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.node
+), components AS (
+  SELECT node, min(seen) AS component FROM reach GROUP BY node
+), found AS (
+  SELECT d.doc_id, len(d.s) AS n, c.component
+  FROM (SELECT doc_id, s, list_sort(s) AS h FROM sets) d
+  LEFT JOIN nodes ON nodes.h = d.h AND d.doc_id IS NOT NULL LEFT JOIN components c ON c.node = nodes.node
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(doc_id = component, true) AS kept FROM found
+"""

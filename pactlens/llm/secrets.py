@@ -187,3 +187,43 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("base_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
+
+
+def _sql_matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one rule as (r, rank, kind, gaps, hits, counted), in the SQL engine's pattern dialect."""
+    if pattern.startswith("(?ai)"):  # ASCII letters in either case; (?i) would also fold letters beyond ASCII
+        words, rest = re.fullmatch(r"(\([^)]*\))(.*)", pattern.removeprefix("(?ai)")).groups()
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", words) + rest
+    if kind == "hex":
+        pattern = f"[0-9a-f]{{{least},}}"
+    pattern = pattern.replace("'", "''")
+    return (
+        f"SELECT r, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{pattern}') AS gaps,"
+        f" regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS counted FROM docs"
+    )
+
+
+#: A match begins behind all gaps and matches before it.
+OP6_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), found AS (
+  {" UNION ALL ".join(_sql_matches(rank, *rule) for rank, rule in enumerate(RULES))}
+), placed AS (
+  SELECT r, rank, kind, gaps, hits, counted, least, unnest(range(1, len(hits) + 1)) AS i FROM found
+), spans AS (
+  SELECT r, rank, kind, length(hits[i]) AS width,
+         length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS start
+  FROM placed WHERE length(counted[i]) >= least
+), shown AS (
+  SELECT r, rank, kind, start, kind || ':' || start || ':' || (start + width) AS span FROM spans
+), digests AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE_KINDS)},
+         string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_KINDS)}) AS base,
+         string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM shown GROUP BY r
+)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in BASE_KINDS)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN digests USING (r)
+"""
