@@ -46,3 +46,17 @@ def change_id(kind: Column, location: Column) -> Column:
 
 def guide_key(diff: Column, client: Column, prompt_version: Column, model: Column) -> Column:
     return F.sha2(F.concat_ws("|", diff, client, prompt_version, model), 256)
+
+
+def prompt_hash(prompt: Column) -> Column:
+    return F.sha2(prompt.cast("binary"), 256)
+
+
+def short_id(identity: Column) -> Column:
+    """The first eight characters, as shown in titles."""
+    return F.substring(identity, 1, 8)
+
+
+def branch_name(campaign: Column, prefix: str = "pactlens") -> Column:
+    """The branch that a campaign's change is proposed on."""
+    return F.concat(F.lit(f"{prefix}/deprecate-"), campaign)

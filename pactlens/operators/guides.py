@@ -96,3 +96,24 @@ def check_fences(blocks: pd.Series) -> pd.DataFrame:
         return (0 if rows is None else len(rows)), done, skipped, None
 
     return pd.DataFrame([one(r) for r in blocks], columns=["total", "validated", "skipped", "problem"])
+
+
+def render_prompt(context: DataFrame, strict: bool = False) -> DataFrame:
+    """context of guide_context with `prompt`: what a writer of the client's guide is asked for.
+
+    A client without changes or call sites is told so; `strict` asks for plainer code after an
+    attempt whose code did not parse.
+    """
+    nothing = F.array().cast("array<string>")
+    change = lambda c: F.concat(F.lit("- "), F.upper(c["verdict"]), F.lit(" "), c["kind"], F.lit(" at "), c["location"], F.lit(" ("), c["rule_id"], F.lit("): "), c["rationale"])
+    site = lambda s: F.concat(F.lit("- "), s["file"].cast("string"), F.lit(":"), s["line"].cast("string"), F.lit(" calls "), s["method"], F.lit(" "), s["path_template"])
+    listed = lambda name, line, none: F.when(F.size(name) > 0, F.transform(name, line)).otherwise(F.array(F.lit(none)))
+    parts = [
+        F.array(F.concat(F.lit("# Migration guide for "), "client"), F.lit("For each change show the call before and after it, each in one fenced block.")),
+        F.array(F.lit("An earlier attempt held code that does not parse: use literals only.")) if strict else nothing,
+        F.array(F.lit("## Changes")),
+        listed("changes", change, "- none for this client"),
+        F.array(F.lit("## Call sites")),
+        listed("call_sites", site, "- none found"),
+    ]
+    return context.withColumn("prompt", F.array_join(F.concat(*parts), "\n"))

@@ -99,3 +99,20 @@ def report_markdown(changes: DataFrame, by: list[str], order: str, accepted: boo
     listed = F.concat(F.array(F.lit("| Client | Changes | Breaking |"), F.lit("|---|---:|:---:|")), F.transform("impact", lambda x: x["line"]))
     parts.append(F.concat(F.array(F.lit(""), F.lit("### Clients"), F.lit("")), F.coalesce(listed, F.array(F.lit("No client is affected.")))))
     return joined.select(*by, _joined(F.concat(*parts)).alias("report"))
+
+
+def report_json(changes: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, report: one JSON document per group with sorted keys: counts per verdict, and the changes in their own order."""
+    slim = F.struct("affected_clients", "change_id", "kind", "location", "rationale", "rule_id", "verdict")
+    per = changes.groupBy(*by).agg(
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS],
+        F.count("*").alias("total"),
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), slim.alias("change")))).alias("listed"),
+    )
+    summary = F.struct(*sorted((*VERDICTS, "total"))).alias("summary")
+    return per.select(*by, F.to_json(F.struct(F.transform("listed", lambda x: x["change"]).alias("changes"), summary)).alias("report"))
+
+
+def write_reports(reports: DataFrame, path: str, by: list[str]) -> None:
+    """Every report as a text file in a folder of its own key below `path`."""
+    reports.select(*by, "report").write.partitionBy(*by).text(path)

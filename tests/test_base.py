@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pactlens.functions import decay, identity, jsontree, paths
 from pactlens.operators import campaigns, guides, ingest, mining, openapi_diff, proto_diff, reports, routes, rules, store
-from pactlens.plans import catalogue, contracts, registry  # noqa: F401
-from pactlens.sources import code, traffic
+from pactlens.plans import catalogue, contracts, documents, registry  # noqa: F401
+from pactlens.sources import code, specs, traffic
 from tests.conftest import SF
 
 NOW = "2024-05-01 00:00:00"
@@ -357,3 +357,32 @@ def test_guides(spark):
     assert [(g.total, g.validated, g.skipped) for g in got] == [(3, 2, 1), (1, 0, 0), (1, 0, 0), (0, 0, 0)] and [g.problem is None for g in got] == [True, False, False, True]
     frame = spark.createDataFrame([("\n".join(map(str, range(1, 21))), 3)], "t string, n int").select(guides.source_frame(F.col("t"), F.col("n")).alias("f")).first().f
     assert frame == "\n".join(map(str, range(1, 8)))
+
+
+def test_spec_files_and_findings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in (("a.json", b'{"paths": {}}'), ("b.json", b"[1]"), ("c.JSON", b""), ("d.pb", b"\n\x00"), ("e.json", b"{broken")):
+        (tmp_path / "in" / name).write_bytes(content)
+    got = {r.file.split("/")[-1]: (r.kind, r.spec, r.descriptors and bytes(r.descriptors), r.problem) for r in specs.read_specs(spark, f"{tmp_path}/in").collect()}
+    assert got == {
+        "a.json": ("openapi", '{"paths": {}}', None, None),
+        "b.json": ("openapi", None, None, "not a JSON object"),
+        "d.pb": ("proto", None, b"\n\x00", None),
+        "e.json": ("openapi", None, None, "not a JSON object"),
+    }
+    reports_ = [(1, None), (2, ""), (3, "{}"), (4, '[{"code":"a","message":"m","severity":1.5},{"code":"b","message":"m","severity":2,"path":[1,"x"]},null]'), (5, "[]")]
+    found = specs.findings(spark.createDataFrame(reports_, "id int, report string"), ("id",)).collect()
+    assert [tuple(r) for r in found] == [(4, 1, "b", "m", 2, ["1", "x"])]
+    uploads = [("openapi", None), ("proto", ""), ("other", "{}"), (None, "{}"), ("proto", "Cg=="), ("openapi", ' {"a":1}')]
+    out = specs.decode_uploads(spark.createDataFrame(uploads, "kind string, document string").withColumn("spec", F.lit(1))).collect()
+    assert [r.problem for r in out] == ["no document", "not base64", "unknown kind", "unknown kind", None, None]
+    assert bytes(out[4].descriptors) == b"\n" and out[5].spec == ' {"a":1}'
+
+
+def test_reports_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "pair int, report string")
+    reports.write_reports(df, f"{tmp_path}/out", ["pair"])
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/pair=1", wholetext=True).collect()) == ["a\nb\n"]
+    context = spark.createDataFrame([("c", None, None)], "client string, changes array<struct<verdict:string,kind:string,location:string,rule_id:string,rationale:string>>, call_sites array<struct<file:string,line:int,method:string,path_template:string>>")
+    prompt = guides.render_prompt(context, strict=True).first().prompt
+    assert "- none for this client" in prompt and "- none found" in prompt and "literals only" in prompt
