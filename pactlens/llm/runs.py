@@ -21,8 +21,8 @@ from pactlens.llm.sparkside import read, unused
 LEAST_LENGTH, LEAST_PERIODS = 12, 2
 #: Differences of places are taken about so many at a time.
 DIFFERENCES = 1 << 20
-#: A lag's islands are looked for on a grid first if they are at least so long.
-GRID = 32
+#: Before a lag's islands are scanned, so many neighbours at most are looked at around the places of a grid.
+LOOKED_AT = 16
 
 
 def word_numbers(words: list) -> np.ndarray:
@@ -73,24 +73,27 @@ def lag_counts(numbers: np.ndarray) -> np.ndarray:
 
 def _islands(numbers: np.ndarray, lag: int, need: int) -> np.ndarray:
     """(start, length) of the stretches of at least `need` places whose word is equal to that `lag` later."""
-    if need >= GRID:
-        # An island of `need` places covers a place of a grid that wide, and GRID // 2 places on one side of it.
-        grid = np.arange(0, len(numbers) - lag, need)
-        for steps in (range(1), range(1, GRID // 2)):
-            ahead = behind = np.ones(len(grid), dtype=bool)
-            for s in steps:
-                after, before = np.minimum(grid + s, len(numbers) - lag - 1), np.maximum(grid - s, 0)
-                ahead = ahead & (grid + s < len(numbers) - lag) & (numbers[after] == numbers[after + lag])
-                behind = behind & (grid - s >= 0) & (numbers[before] == numbers[before + lag])
-            grid = grid[ahead | behind]
-            if not len(grid):
-                return np.zeros((0, 2), dtype=np.int64)
+    # An island covers a place of a grid that is `need` wide, and need // 2 places on one side of that.
+    end = len(numbers) - lag
+    grid = np.arange(0, end, need)
+    grid = grid[numbers[grid] == numbers[grid + lag]]
+    ahead = behind = np.ones(len(grid), dtype=bool)
+    for s in range(1, min(need // 2, LOOKED_AT) + 1):
+        if not len(grid):
+            return np.zeros((0, 2), dtype=np.int64)
+        after, before = np.minimum(grid + s, end - 1), np.maximum(grid - s, 0)
+        ahead = ahead & (grid + s < end) & (numbers[after] == numbers[after + lag])
+        behind = behind & (grid >= s) & (numbers[before] == numbers[before + lag])
+        alive = ahead | behind
+        grid, ahead, behind = grid[alive], ahead[alive], behind[alive]
+    if not len(grid):
+        return np.zeros((0, 2), dtype=np.int64)
     same = np.zeros(len(numbers) - lag + 2, dtype=np.int8)
     same[1:-1] = numbers[:-lag] == numbers[lag:]
     edge = np.diff(same)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    wide = end - start >= need
-    return np.stack([start[wide], (end - start)[wide]], axis=1)
+    start, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = size - start
+    return np.stack([start, size], axis=1)[size >= need]
 
 
 def periodic_runs(numbers: np.ndarray) -> np.ndarray:
@@ -101,15 +104,20 @@ def periodic_runs(numbers: np.ndarray) -> np.ndarray:
     """
     lags = np.arange(len(numbers) // LEAST_PERIODS + 1)
     need = np.maximum(LEAST_LENGTH - lags, (LEAST_PERIODS - 1) * lags)
-    found = [np.zeros((0, 3), dtype=np.int64)]
-    for q in np.flatnonzero((lag_counts(numbers) >= need) & (lags > 0)):
-        islands = _islands(numbers, int(q), int(need[q]))
-        found.append(np.column_stack([islands[:, 0], islands[:, 1] + q, np.full(len(islands), q)]))
-    runs = np.concatenate(found)
-    # A stretch with a smaller period than q has one that divides q, and is then the same stretch as that one's.
-    runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
-    same = (runs[1:, 0] == runs[:-1, 0]) & (runs[1:, 1] == runs[:-1, 1])
-    runs = runs[np.concatenate([[True], ~same])] if len(runs) else runs
+    counts, period_of = lag_counts(numbers), {}
+    for q in np.flatnonzero((counts >= need) & (lags > 0)).tolist():
+        if counts[q] < need[q]:
+            continue
+        for start, matches in _islands(numbers, q, int(need[q])).tolist():
+            length = matches + q
+            # A stretch with a smaller period than q has one that divides q, and is then that one's run.
+            if (start, length) in period_of:
+                continue
+            period_of[start, length] = q
+            # At a multiple of q below its length the run is an island that no other run has a part in:
+            # what it matches there is no sign of another run.
+            counts[2 * q : length : q] -= length - lags[2 * q : length : q]
+    runs = np.array([(start, length, q) for (start, length), q in period_of.items()], dtype=np.int64).reshape(-1, 3)
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
