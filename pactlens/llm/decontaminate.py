@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm.hashing import ALNUM_SPLIT, U64, Words, mix64, slabs
-from pactlens.llm.sparkside import cut, read
+from pactlens.llm.sparkside import cut, read, unused
 
-#: 1: the word counts, 0: it may differ.
-MASKS = ("11110111", "1101101011", "1110010111")
+#: 1: the word counts, 0: it may differ.  Whatever overlap is accepted with an item of LONG_ITEM words or
+#: more, one of these has a window there whose words that count are all equal: of ten equal words or more,
+#: at least three to each differing one, no arrangement escapes all four.
+MASKS = ("11111", "110111", "100001111", "1101000011")
 #: An overlap has at least so many equal words (this share of the item's, if that is less) and at least
 #: this share of its length ...
 MIN_WORDS = 10
@@ -27,7 +29,9 @@ MIN_IDENTITY = 0.75
 #: ... which it has just when its equal words are at least so many times its differing ones.
 MISMATCH = 3
 #: Items with fewer words have fitted masks: with so many, MIN_WORDS are less than MIN_IDENTITY of them.
-LONG_ITEM = 14
+LONG_ITEM = 13
+#: drop_contaminated() drops no document for an item of fewer words: everyday phrases are no leaks.
+LEAST_LEAK = 8
 #: Up to so many benchmark seeds (16 bytes each) are broadcast as a filter; beyond, all windows are joined.
 BROADCAST_SEEDS = 2_000_000
 #: Candidates of up to so many numbers (8 bytes each) are broadcast to the documents; beyond, texts are shuffled.
@@ -199,8 +203,8 @@ def find_overlaps(
     item the best overlap, where the document's words from start_word up to end_word (not included)
     stand against the item's, at least MIN_WORDS of them equal (MIN_IDENTITY of the item's words, if
     that is less) and at least MIN_IDENTITY of the stretch.  Words are runs of ASCII letters and
-    digits and of anything beyond ASCII, lower-cased.  Overlaps with items of fewer than LONG_ITEM
-    words are all found; an item of one word is found wherever that word stands.  Rows with a null id
+    digits and of anything beyond ASCII, lower-cased.  All such overlaps are found; an item of one
+    word is found wherever that word stands.  Rows with a null id
     or text, items without a word, and empty tables, give nothing; rows that share an id are versions
     of one document (its best overlap counts); repeated rows give one result.
     """
@@ -213,10 +217,10 @@ def find_overlaps(
             F.col("id").alias("item"), "mask", "hash", F.col("pos").alias("item_pos")
         )
     )
-    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # those of _item_masks() at most
     hashes = seeds.select("hash").distinct()
     if hashes.count() <= BROADCAST_SEEDS:
-        wanted = np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(U64)
+        wanted = hashes.toArrow().column("hash").to_numpy().astype(np.int64).view(U64)
         hits = source.mapInArrow(_seeds(masks, spark.sparkContext.broadcast(np.sort(wanted))), shape)
     else:
         hits = source.mapInArrow(_seeds(masks), shape)
@@ -243,12 +247,17 @@ def find_overlaps(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that overlap with a benchmark item; rows without an id stay; columns are as in docs."""
-    found = cut(find_overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id")).distinct())
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_LEAK) -> DataFrame:
+    """docs without those that overlap with a benchmark item of at least least_words words.
+
+    Rows without an id stay; columns are as in docs, whatever their names.
+    """
+    leaked = unused(docs, "leaked_id")
+    found = find_overlaps(docs, benchmark, id_col, text_col).filter(F.col("item_words") >= least_words)
+    found = cut(found.select(F.col(id_col).alias(leaked)).distinct())
     if found.count() <= BROADCAST_NUMBERS:
         found = F.broadcast(found)
-    return docs.join(found, F.col(id_col) == F.col("__id"), "left_anti")
+    return docs.join(found, F.col(id_col) == F.col(leaked), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm.hashing import slabs
-from pactlens.llm.sparkside import crc_mod, read
+from pactlens.llm.sparkside import crc_mod, read, unused
 
 #: At most about so many labelled rows of each language are fitted, chosen by a hash of id and text.
 ROWS_PER_LANGUAGE = 1500
@@ -216,9 +216,10 @@ def train_language_model(docs: DataFrame, usable: Column, id_col: str = "doc_id"
         return fit([], [])
     each = max(LEAST_SHARE, min(ROWS_PER_LANGUAGE, ROWS_IN_ALL // len(chosen)))
     shares = [(r[lang_col], min(1.0, each / r["n"])) for r in chosen]
-    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "__lang string, __share double"))
+    of, part = unused(docs, "shared_lang"), unused(docs, "share")
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, f"{of} string, {part} double"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(share, F.col(lang_col) == F.col("__lang")).filter(draw < F.col("__share"))
+    sample = rows.join(share, F.col(lang_col) == F.col(of)).filter(draw < F.col(part))
     picked = sorted((r[0], r[1]) for r in sample.select(lang_col, text_col).collect())
     return fit([t for _, t in picked], [x for x, _ in picked])
 
@@ -245,12 +246,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
         return pa.StructArray.from_arrays([lang, pa.array(score), pa.array(model.accepted(p, strange) if len(p) else np.zeros(0, bool))], names=["lang", "score", "accepted"])
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("__found", predict(F.col(text_col)))
+    found = unused(docs, "found_language")
+    out = docs.withColumn(found, predict(F.col(text_col)))
     return (
-        out.withColumn("lang_pred", F.when(letters, F.col("__found.lang")).otherwise(F.lit("und")))
-        .withColumn("lang_score", F.when(letters, F.col("__found.score")).otherwise(F.lit(0.0)))
-        .withColumn("lang_accepted", letters & F.col("__found.accepted"))
-        .drop("__found")
+        out.withColumn("lang_pred", F.when(letters, F.col(found)["lang"]).otherwise(F.lit("und")))
+        .withColumn("lang_score", F.when(letters, F.col(found)["score"]).otherwise(F.lit(0.0)))
+        .withColumn("lang_accepted", letters & F.col(found)["accepted"])
+        .drop(found)
     )
 
 

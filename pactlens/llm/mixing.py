@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactlens.llm.sparkside import cut, read
+from pactlens.llm.sparkside import cut, read, unused
 
 #: Up to so many sources their targets are broadcast (under 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -80,16 +80,17 @@ def mix_sources(
     docs = docs.drop(*[c for c in docs.columns if c in added])
     sized = docs.withColumn("size", token_count(F.col(text_col)))
     sizes = sized.select(F.col(source_col).alias("source"), "size")
-    targets = cut(source_targets(sizes, weights, max_repeats)).withColumnRenamed("source", "__source")
+    of, rate = unused(docs, "target_source"), unused(docs, "target_rate")
+    targets = cut(source_targets(sizes, weights, max_repeats)).withColumnsRenamed({"source": of, "rate": rate})
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     identity = F.coalesce(
         F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     )
-    whole = F.floor("rate")
-    copies = whole + F.when(uniform_draw(identity, seed) < F.col("rate") - whole, 1).otherwise(0)
-    mixed = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__source")))
-    return mixed.withColumn("copies", copies.cast("bigint")).drop("__source", "rate")
+    whole = F.floor(rate)
+    copies = whole + F.when(uniform_draw(identity, seed) < F.col(rate) - whole, 1).otherwise(0)
+    mixed = sized.join(targets, F.col(source_col).eqNullSafe(F.col(of)))
+    return mixed.withColumn("copies", copies.cast("bigint")).drop(of, rate)
 
 
 def emit_copies(mixed: DataFrame, number_col: str = "copy_no") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pactlens.llm.components import connected_components
 from pactlens.llm.hashing import BLANK_SPLIT, U64, Words, mix64, slabs
-from pactlens.llm.sparkside import cut, read
+from pactlens.llm.sparkside import cut, read, unused
 
 #: Half keys of each collection and minhashes in each.  At a similarity of 0.8 a pair is missed with
 #: probability 1 - (1 - (1 - 0.8**2)**8) * (1 - (1 - 0.8**3)**12), about 0.0005.
@@ -249,15 +249,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id"
     Of rows that share the id of a kept document, the one with the smallest text stays.  Rows
     without an id stay.  Columns are as in docs.
     """
-    verdict = cut(near_duplicates(docs, words, id_col, text_col).select(F.col(id_col).alias("__id"), "kept"))
-    removed = verdict.filter("NOT kept").select("__id").distinct()
-    out = docs.join(removed, F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = cut(verdict.filter("kept AND __id IS NOT NULL").groupBy("__id").count().filter("count > 1").select("__id"))
+    seen, rank = unused(docs, "judged_id"), unused(docs, "version_rank")
+    verdict = cut(near_duplicates(docs, words, id_col, text_col).select(F.col(id_col).alias(seen), "kept"))
+    removed = verdict.filter("NOT kept").select(seen).distinct()
+    out = docs.join(removed, F.col(id_col) == F.col(seen), "left_anti")
+    repeated = cut(verdict.filter(F.col("kept") & F.col(seen).isNotNull()).groupBy(seen).agg(F.count("*").alias("n")).filter("n > 1").select(seen))
     if not repeated.isEmpty():
-        some = out.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
+        some = out.join(repeated, F.col(id_col) == F.col(seen), "left_semi")
         one = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-        some = some.withColumn("__rank", F.row_number().over(one)).filter("__rank = 1").drop("__rank")
-        out = out.join(repeated, F.col(id_col) == F.col("__id"), "left_anti").unionByName(some)
+        some = some.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).drop(rank)
+        out = out.join(repeated, F.col(id_col) == F.col(seen), "left_anti").unionByName(some)
     return out
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.llm.sparkside import fresh_path, read
+from pactlens.llm.sparkside import fresh_path, read, unused
 
 #: (kind, pattern, group whose length counts, least length): matches that are too short are dropped.
 BASE_RULES = (
@@ -144,11 +144,13 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger, text_col: str = "text", ru
     named secret_spans is replaced.
     """
     ledger.update(docs.select(F.col(text_col).cast("string").alias("text")), rules)
-    found = ledger.findings(rules).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
-    if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_FINDINGS:
+    blob, spans = unused(docs, "found_blob"), unused(docs, "found_spans")
+    # A blob that two writers scanned at once is in the ledger twice.
+    found = ledger.findings(rules).dropDuplicates(["blob"]).withColumnsRenamed({"blob": blob, "spans": spans})
+    if (found.agg(F.sum(F.size(spans) + 1)).first()[0] or 0) <= BROADCAST_FINDINGS:
         found = F.broadcast(found)
-    joined = docs.drop("secret_spans").join(found, blob_of(F.col(text_col)) == F.col("__blob"), "left")
-    return joined.withColumn("secret_spans", F.coalesce("__spans", F.array().cast(SPANS))).drop("__blob", "__spans")
+    joined = docs.drop("secret_spans").join(found, blob_of(F.col(text_col)) == F.col(blob), "left")
+    return joined.withColumn("secret_spans", F.coalesce(spans, F.array().cast(SPANS))).drop(blob, spans)
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
