@@ -34,9 +34,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars as the text then is."""
     found = scan_secrets(docs, BlobLedger(spark, fresh_path(spark, "blob-ledger")))
-    clean = found.withColumn("__clean", redact(F.col("text"), F.col("secret_spans")))
-    n_chars = F.when(F.size("secret_spans") > 0, F.length("__clean")).otherwise(F.col("n_chars")).cast("bigint")
-    return clean.withColumn("n_chars", n_chars).withColumn("text", F.col("__clean")).select(*docs.columns)
+    clean = redact(F.col("text"), F.col("secret_spans"))
+    n_chars = F.when(F.size("secret_spans") > 0, F.length(clean)).otherwise(F.col("n_chars")).cast("bigint")
+    return found.withColumns({"n_chars": n_chars, "text": clean}).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
