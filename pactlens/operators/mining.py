@@ -9,7 +9,6 @@ file that does not parse has no facts.
 from __future__ import annotations
 
 import ast
-import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.identity import call_site_hash
 from pactlens.functions.paths import SLOT, abstract_static_segments, normalize_template
+from pactlens.functions.script import Token, after_generics, cut, lex, moved, parts
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
 HTTP_MODULES, CLIENT_CLASSES = ("requests", "httpx"), ("Client", "AsyncClient", "Session")
@@ -119,76 +119,109 @@ def _facts(names: dict, constants: dict, bound: list, calls: list) -> dict:
 
 # JavaScript and TypeScript ------------------------------------------------------------------------
 
-_STRING = r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`"""
-_COMMENT = re.compile(rf"({_STRING})|//[^\n]*|/\*.*?\*/", re.S)
-_AXIOS = re.compile(r"""import\s+(?:\*\s+as\s+)?(\w+)\s+from\s+['"]axios['"]|(?:const|let|var)\s+(\w+)\s*=\s*require\(\s*['"]axios['"]\s*\)""")
-_CONST = re.compile(r"""^(?:const|let|var)\s+(\w+)(?:\s*:\s*\w+)?\s*=\s*(['"`])((?:(?!\2)[^\\$\n])*)\2\s*;?[ \t]*$""", re.M)
-_KEY = re.compile(r"""^\s*(?:\.\.\.[\w.]+|(?:['"]?([\w$-]+)['"]?)\s*(?::|$))""")
-_CALL = re.compile(r"(?<![\w$.])([\w$]+)(?:\.(\w+))?(?:<[^<>()]*>)?\(")
-_TOKEN = re.compile(rf"{_STRING}|[()\[\]{{}},]", re.S)
-
-
-def _parts(text: str, at: int) -> list[str]:
-    """Top-level parts, comma by comma, of the bracket that opens just before `at`."""
-    parts, depth, start = [], 0, at
-    for m in _TOKEN.finditer(text, at):
-        c = m[0]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}" or c == "," and depth == 0:
-            if depth == 0:
-                parts.append(text[start : m.start()].strip())
-                start = m.end()
-                if c != ",":
-                    return [p for p in parts if p]
-            else:
-                depth -= 1
-    return []
-
-
-def _js_members(text: str) -> list[tuple[str, str]]:
-    found = [(p, _KEY.match(p)) for p in _parts(text, 1)] if text.startswith("{") else []
-    return [(k[1], p[k.end() :].strip() if ":" in p[: k.end()] else k[1]) for p, k in found if k and k[1]]
-
-
-def _js_pieces(text: str) -> list[tuple[str, str]] | None:
-    out = []
-    tokens = re.findall(rf"{_STRING}|[\w$.]+(?:\([^()]*\))?|\+|\S", text)
-    if not tokens or len(tokens) > 1 and "+" not in tokens:
-        return None
-    for t in tokens:
-        if t[0] in "'\"":
-            out.append(("text", t[1:-1]))
-        elif t[0] == "`":
-            for plain, inner in re.findall(r"((?:[^$\\]|\\.|\$(?!\{))+)|\$\{([^}]*)\}", t[1:-1]):
-                simple = re.fullmatch(r"\s*[\w$]+\s*", inner)
-                label = (re.findall(r"[\w$]+", re.sub(r"\(.*", "", inner)) or ["param"])[-1]
-                out.append(("slot" if simple else "tail", label) if inner else ("text", plain))
-        elif t != "+":
-            out.append(("name", t))
-    return out
 
 
-def _js_value(key: str | None, text: str) -> dict:
-    inner = re.match(r"JSON\.stringify\(\s*", text)
-    members = _js_members(text[inner.end() :] if inner else text)
-    return _value(key, "object" if text.startswith("{") else None, None if members else _js_pieces(text), dict.fromkeys(k for k, _ in members))
+def _js_members(tokens: list[Token]) -> list[tuple[str, list[Token]]]:
+    """Names and values of an object that the tokens begin with; spreads, methods and computed names are left out."""
+    if not tokens or tokens[0].text != "{" or tokens[0].kind != "sign":
+        return []
+    out = []
+    for part in parts(tokens, 0):
+        name = part[0].text if part[0].kind in ("word", "number") else part[0].text[1:-1] if part[0].kind == "string" else None
+        if name is not None and (len(part) == 1 or part[1].text == ":"):
+            out.append((name, moved(part, 2, len(part)) if len(part) > 2 else part))
+    return out
 
 
-def javascript_facts(text: str) -> dict:
-    text = _COMMENT.sub(lambda m: m[1] or re.sub(r"[^\n]", " ", m[0]), text)
-    calls = []
-    for m in _CALL.finditer(text):
-        args = [_js_value(None, p) | {"members": [_js_value(k, v) for k, v in _js_members(p)]} for p in _parts(text, m.end())]
-        owner, attr = (m[1], m[2]) if m[2] else (None, m[1])
-        calls.append({"line": text.count("\n", 0, m.start()) + 1, "owner": owner, "attr": attr, "maker_owner": None, "maker": None, "args": args})
-    return _facts({a or b: "axios" for a, b in _AXIOS.findall(text)}, {name: value for name, _, value in _CONST.findall(text)}, [], calls)
+def _js_pieces(tokens: list[Token]) -> list[tuple[str, str]] | None:
+    """Pieces of texts, templates and names that are joined by plus signs; null for any other expression."""
+    out: list[tuple[str, str]] = []
+    for operand in cut(tokens, 0, len(tokens), "+"):
+        first = operand[0]
+        if len(operand) == 1 and first.kind == "string":
+            out.append(("text", first.text[1:-1]))
+        elif len(operand) == 1 and first.kind == "template":
+            for n, part in enumerate(first.parts):
+                if n % 2 == 0:
+                    out += [("text", part)] if part else []
+                else:
+                    words = [t.text for t in part if t.kind == "word"]
+                    called = next((k for k, t in enumerate(part) if t.text == "("), len(part))
+                    before_call = [t.text for t in part[:called] if t.kind == "word"]
+                    out.append(("slot" if len(part) == 1 and words else "tail", (before_call or ["param"])[-1]))
+        elif first.kind == "word":
+            out.append(("name", "".join(t.text for t in operand)))
+        else:
+            return None
+    return out or None
+
+
+def _js_value(key: str | None, tokens: list[Token]) -> dict:
+    if [t.text for t in tokens[:4]] == ["JSON", ".", "stringify", "("]:
+        tokens = (parts(tokens, 3) or [[]])[0]
+    members = _js_members(tokens)
+    is_object = bool(tokens) and tokens[0].kind == "sign" and tokens[0].text == "{"
+    return _value(key, "object" if is_object else None, None if members else _js_pieces(tokens), dict.fromkeys(k for k, _ in members))
+
+
+def javascript_facts(text: str, language: str = "javascript") -> dict:
+    """Facts of all that can be read; what is inserted in templates is read too."""
+    names, constants, calls = {}, {}, []
+    _read(lex(text, language)[0], names, constants, calls, True)
+    return _facts(names, constants, [], calls)
+
+
+def _read(tokens: list[Token], names: dict, constants: dict, calls: list, top: bool) -> None:
+    at = lambda n: tokens[n].text if n < len(tokens) else ""
+    closes = 0  # the place up to which brackets are open
+    for n, t in enumerate(tokens):
+        for inner in t.parts[1::2]:
+            _read(inner, names, constants, calls, False)
+        if t.kind == "sign" and t.partner is not None:
+            closes = max(closes, t.partner)
+        if t.kind != "word":
+            continue
+        if t.text == "import" and at(n + 1) not in ("(", "."):
+            star = 2 if at(n + 1) == "*" else 0
+            clause = n + 1 + star
+            if star or at(clause + 1) in ("from", ","):
+                source = next((k for k in range(clause + 1, len(tokens)) if tokens[k].kind == "string"), None)
+                if source is not None and at(source - 1) == "from" and at(source)[1:-1] == "axios":
+                    names[at(clause)] = "axios"
+        elif t.text in ("const", "let", "var") and top and n >= closes:
+            for name, value in _bindings(tokens, n + 1):
+                if len(value) == 1 and value[0].kind == "string":
+                    constants[name] = value[0].text[1:-1]
+                elif len(value) == 1 and value[0].kind == "template" and len(value[0].parts) == 1:
+                    constants[name] = value[0].parts[0]
+                elif [x.text for x in value[:2]] == ["require", "("] and len(value) == 4 and value[2].text[1:-1] == "axios":
+                    names[name] = "axios"
+        if n and tokens[n - 1].text in (".", "?.", "function"):
+            continue
+        member = at(n + 1) in (".", "?.") and n + 2 < len(tokens) and tokens[n + 2].kind == "word"
+        opened = after_generics(tokens, n + 3 if member else n + 1)
+        if opened is not None and at(opened) == "(" and tokens[opened].kind == "sign":
+            args = [_js_value(None, p) | {"members": [_js_value(k, v) for k, v in _js_members(p)]} for p in parts(tokens, opened)]
+            owner, attr = (t.text, at(n + 2)) if member else (None, t.text)
+            calls.append({"line": t.line, "owner": owner, "attr": attr, "maker_owner": None, "maker": None, "args": args})
+
+
+def _bindings(tokens: list[Token], start: int):
+    """(name, value) of each plain name that a declaration gives one, up to its semicolon or a new line."""
+    end = start
+    while end < len(tokens) and tokens[end].text != ";" and not (end > start and tokens[end].fresh and tokens[end - 1].text not in (",", "=") and tokens[end].text not in (",", "=", ".", "+")):
+        t = tokens[end]
+        end = t.partner + 1 if t.kind == "sign" and t.text in ("(", "[", "{") and t.partner is not None else end + 1
+    for one in cut(tokens, start, end, ","):
+        sides = cut(one, 0, len(one), "=")
+        if len(sides) == 2 and sides[0][0].kind == "word":
+            yield sides[0][0].text, sides[1]
 
 
 def syntax_facts(texts: pa.Array, languages: pa.Array) -> pa.Array:
     def one(text, language) -> dict:
         try:
-            return (python_facts if language == "python" else javascript_facts)(text or "")
+            return python_facts(text or "") if language == "python" else javascript_facts(text or "", language)
         except (SyntaxError, ValueError, RecursionError):
             return _facts({}, {}, [], [])
 

@@ -6,13 +6,15 @@ each event a recorded call, so that every operator meets inputs that grow with t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.functions import paths
+from pactlens.functions import identity, paths
 from pactlens.operators import campaigns, guides, ingest, mining, openapi_diff, proto_diff, reports, rules, store
 from pactlens.plans import flows
 from pactlens.plans.catalogue import AS_OF, call_sites, calls
@@ -256,6 +258,24 @@ _MINED = """(SELECT 'f' || l_orderkey AS file, CAST(4 + row_number() OVER (PARTI
   CASE WHEN l_orderkey % 2 = 0 THEN '/v1/part/{part_id}/{id}' ELSE '/v1/part/{partId}/{id}' END AS path_template, 'qty,supp' AS fields FROM lineitem)"""
 
 
+@query("""SELECT 'p' || p_partkey AS file, v.line, 'fetch' AS client_library, v.method, v.path AS path_template, v.fields FROM part, LATERAL (SELECT unnest([
+  {'line': 3, 'method': 'GET', 'path': '/part/{key}/{id}', 'fields': ''}, {'line': 5, 'method': 'PATCH', 'path': '/v2/{id}/stock', 'fields': 'brand,size'}, {'line': 6, 'method': 'DELETE', 'path': '/v2/{id}', 'fields': ''}]) AS v)""")
+def mine_javascript(spark, sf_dir):
+    """One TypeScript file per part: calls with nested templates and type arguments among strings, comments and regular expressions that hold brackets."""
+    lines = (
+        "const BASE: string = `/v2`; // it's (",
+        "const odd = text.replace(/['\"`(]/g, \"fetch('/no')\") /* fetch(`/no`) */",
+        "const found = await fetch<Part[]>(`/part/${key({of: `q${1}`})}/%d`);",
+        "function brand<T extends {a: Array<T>}>(x: T): string { return `${x ? `(${x}` : ')'}` }",
+        "await fetch(BASE + '/%d' + `/stock`, {method: 'patch', body: JSON.stringify({size, \"brand\": brand({a: []})})});",
+        "fetch(`${BASE}/%d`, {method: \"DELETE\", headers: {'x': ')'}})",
+    )
+    content = F.format_string("\n".join(lines).replace("%d", "%1$d"), "p_partkey")
+    files = table(spark, sf_dir, "part").select(F.lit("shop").alias("repo"), F.lit("c0").alias("commit_sha"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"), F.lit("typescript").alias("language"), content.alias("content"))
+    found = mining.mine_call_sites(files)
+    return found.select("file", "line", "client_library", "method", "path_template", F.array_join("fields", ",").alias("fields"))
+
+
 @query(f"SELECT * FROM {_MINED}")
 def mine_call_sites(spark, sf_dir):
     found = mining.mine_call_sites(source_files(spark, sf_dir))
@@ -325,17 +345,28 @@ def gate_report(spark, sf_dir):
 # Guides -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH d AS (SELECT pair, verdict, unnest(CASE WHEN len(repos) = 0 THEN [NULL] ELSE repos END) AS repo FROM {_DIFFED} WHERE verdict IN ('behavioral', 'breaking')),
+#: Every client asks for its guide to one comparison, so that each comparison is asked about.
+GUIDE_REQUESTS = f"(SELECT DISTINCT 'repo-' || l_suppkey AS client, CAST(l_suppkey % ((SELECT count(*) FROM part) // {GROUP} + 1) AS BIGINT) AS pair FROM lineitem)"
+
+
+def guide_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = call_sites(spark, sf_dir).withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "line"})
+    comparisons = table(spark, sf_dir, "part").count() // GROUP + 1
+    diff = F.regexp_extract("repo", r"\d+", 0).cast("bigint") % comparisons
+    requests = sites.select(F.col("repo").alias("client_id"), diff.alias("diff_id")).distinct()
+    return guides.guide_context(diffed(spark, sf_dir).withColumnRenamed("pair", "diff_id"), sites, requests)
+
+
+@query(f"""WITH d AS (SELECT pair, unnest(CASE WHEN len(repos) = 0 THEN [NULL] ELSE repos END) AS repo FROM {_DIFFED} WHERE verdict IN ('behavioral', 'breaking')),
  s AS (SELECT 'repo-' || l_suppkey AS client, l_orderkey, l_linenumber, {_SITE_OF} AS method, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, {_SITE_OF}, '/part/' || l_partkey) AS r FROM lineitem)
-SELECT c.client, CAST((SELECT count(*) FROM d WHERE repo IS NULL) + (SELECT count(*) FROM d WHERE repo = c.client) AS INTEGER) AS changes,
+SELECT c.client, c.pair, CAST((SELECT count(*) FROM d WHERE d.pair = c.pair AND (repo IS NULL OR repo = c.client)) AS INTEGER) AS changes,
   (SELECT string_agg(l_orderkey || ':' || l_linenumber || ' ' || method || ' /part/' || l_partkey, ',' ORDER BY r) FROM s WHERE s.client = c.client AND r <= 10) AS call_sites
-FROM (SELECT DISTINCT client FROM s) c""")
+FROM {GUIDE_REQUESTS} c""")
 def guide_context(spark, sf_dir):
-    """The first ten call sites of every client and the number of changes that its guide is about."""
-    sites = call_sites(spark, sf_dir).withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "line"})
-    found = guides.guide_context(diffed(spark, sf_dir), sites, sites.select(F.col("repo").alias("client")).distinct())
+    """The first ten call sites of every client and the number of changes that its guide to a comparison is about."""
     shown = F.transform("call_sites", lambda s: F.concat(s["file"].cast("string"), F.lit(":"), s["line"].cast("string"), F.lit(" "), s["method"], F.lit(" "), s["path_template"]))
-    return found.select("client", F.size("changes").alias("changes"), F.array_join(shown, ",").alias("call_sites"))
+    found = guide_contexts(spark, sf_dir)
+    return found.select(F.col("client_id").alias("client"), F.col("diff_id").alias("pair"), F.size("changes").alias("changes"), F.array_join(shown, ",").alias("call_sites"))
 
 
 @query("""WITH r AS (SELECT conv_id, turn, sha256('d' || conv_id || '|' || role || '|v1|m') AS h FROM conversations),
@@ -351,13 +382,52 @@ def cached_guides(spark, sf_dir):
 @query("""SELECT conv_id, turn, CAST(3 AS INTEGER) AS total, CAST(CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS INTEGER) AS validated,
   CAST(CASE turn % 3 WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS skipped, turn % 3 = 0 AS sound FROM conversations""")
 def fence_check(spark, sf_dir):
-    """A guide per turn with three fenced blocks; the first or the second is broken in two thirds of them."""
+    """A guide per turn with three fenced blocks; the first or the second is broken in two thirds of them.
+
+    Sound scripts hold brackets in strings, comments, regular expressions and nested templates.
+    """
     t = F.col("turn")
     block = lambda tag, code: F.concat(F.lit(f"```{tag}\n"), code, F.lit("\n```\n"))
-    md = F.concat(F.lit("Change the call.\n"), block("py", F.when(t % 3 == 1, "def (").otherwise("x = [1]")), block("JS", F.when(t % 3 == 2, "f((1)").otherwise("f({a: [1]})")), block("yaml", F.lit("a: b")))
+    tricky = F.element_at(F.array(*[F.lit(x) for x in ("f('(') // it's :(", "g(`a ${h({x: `}`})} b`)", "s.replace(/['\"(]/g, \"]\")", "f({a: [1]})")]), (F.col("conv_id") % 4 + 1).cast("int"))
+    broken = F.element_at(F.array(*[F.lit(x) for x in ("f((1)", "g(`a ${b)", "x = 'y", "a + ;")]), (F.col("conv_id") % 4 + 1).cast("int"))
+    md = F.concat(F.lit("Change the call.\n"), block("py", F.when(t % 3 == 1, "def (").otherwise("x = [1]")), block("JS", F.when(t % 3 == 2, broken).otherwise(tricky)), block("yaml", F.lit("a: b")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", guides.check_fences(guides.fences(md)).alias("c")).select("conv_id", "turn", "c.total", "c.validated", "c.skipped", F.col("c.problem").isNull().alias("sound"))
 
 
+def scripted(models: pa.Array, prompts: pa.Array) -> pa.Array:
+    """A provider for tests: by the model's number it writes sound code, does so if asked strictly, or never does."""
+
+    def one(model: str, prompt: str) -> str:
+        client, changes = re.match(r"# Migration guide for (.*)", prompt)[1], prompt.count("\n- BREAKING")
+        sound = model == "m0" or model == "m1" and "literals only" in prompt
+        return f"Guide for {client}: {changes}\n```js\n{'f(`(`)' if sound else 'f(('}\n```\n"
+
+    return pa.array([one(m, p) for m, p in zip(models.to_pylist(), prompts.to_pylist())], type=pa.string())
+
+
+@query("""WITH r AS (SELECT DISTINCT 'd' || conv_id AS diff_id, role || '-' || turn AS client_id, 'm' || CAST((conv_id + turn) % 3 AS VARCHAR) AS model, (conv_id * 7 + turn) % 5 = 0 AS stored FROM conversations),
+ n AS (SELECT 'd' || conv_id AS diff_id, count(*) AS changes FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE role = 'user') GROUP BY 1)
+SELECT r.diff_id, r.client_id, r.model, sha256(r.diff_id || '|' || r.client_id || '|v1|' || r.model) AS prompt_hash,
+  CASE WHEN stored THEN 'cached' WHEN r.model = 'm2' THEN 'failed' ELSE 'generated' END AS status, CAST(CASE WHEN stored THEN 2 WHEN r.model = 'm2' THEN 3 WHEN r.model = 'm1' THEN 1 ELSE 0 END AS INTEGER) AS retries,
+  CASE WHEN stored THEN 'kept' ELSE 'Guide for ' || r.client_id || ': ' || coalesce(n.changes, 0) || chr(10) || '```js' || chr(10) || CASE WHEN r.model = 'm2' THEN 'f((' ELSE 'f(`(`)' END || chr(10) || '```' || chr(10) END AS markdown,
+  CASE WHEN NOT stored AND r.model = 'm2' THEN 'javascript: line 2: a bracket is not closed' END AS reason
+FROM r LEFT JOIN n ON n.diff_id = r.diff_id""")
+def generate_guides(spark, sf_dir):
+    """A guide for every speaker's turn, about the user's turns of its conversation: a fifth is stored, the others
+    are sound at once, sound when asked strictly, or never."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    diff = F.concat(F.lit("d"), F.col("conv_id").cast("string")).alias("diff_id")
+    affected = F.array().cast("array<string>").alias("affected_clients")
+    changes = c.filter("role = 'user'").select(diff, F.col("turn").alias("ord"), F.lit("turn").alias("kind"), F.lit("/").alias("location"), F.lit("breaking").alias("verdict"), F.lit("R").alias("rule_id"), F.lit("said").alias("rationale"), affected)
+    model = F.concat(F.lit("m"), ((F.col("conv_id") + F.col("turn")) % 3).cast("string"))
+    asked = c.select(diff, F.concat("role", F.lit("-"), F.col("turn").cast("string")).alias("client_id"), F.lit("v1").alias("prompt_version"), model.alias("model"), ((F.col("conv_id") * 7 + F.col("turn")) % 5 == 0).alias("stored"))
+    sites = spark.createDataFrame([], "repo string, file string, line int, method string, path_template string")
+    contexts = guides.guide_context(changes, sites, asked)
+    key = identity.guide_key(*[F.col(x) for x in ("diff_id", "client_id", "prompt_version", "model")])
+    stored = asked.filter("stored").select(key.alias("prompt_hash"), F.lit("kept").alias("markdown"), F.lit(2).alias("retries"))
+    return guides.generate_guides(contexts, stored, scripted).drop("prompt_version")
+
+
 @query("""SELECT page_id, array_to_string(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))[5:14], chr(10)) AS frame FROM pages""")
 def source_frame(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", guides.source_frame(F.replace("html", F.lit("><"), F.lit(">\n<")), F.lit(10)).alias("frame"))

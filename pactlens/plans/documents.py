@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pactlens.functions import identity
 from pactlens.operators import guides, reports
 from pactlens.plans import contracts
-from pactlens.plans.catalogue import call_sites
 from pactlens.plans.contracts import diffed
 from pactlens.plans.registry import query, table
 from pactlens.sources import specs
@@ -63,15 +62,13 @@ def report_json(spark, sf_dir):
 @query(f"""WITH d AS (SELECT pair, kind, location, rule_id, rationale, verdict, o, unnest(CASE WHEN len(repos) = 0 THEN [NULL] ELSE repos END) AS repo FROM {contracts._LINES} WHERE verdict <> 'additive'),
  s AS (SELECT 'repo-' || l_suppkey AS client, '- ' || l_orderkey || ':' || l_linenumber || ' calls ' || {contracts._SITE_OF} || ' /part/' || l_partkey AS line,
    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, {contracts._SITE_OF}, '/part/' || l_partkey) AS r FROM lineitem),
- c AS (SELECT DISTINCT client FROM s),
+ c AS {contracts.GUIDE_REQUESTS},
  lines AS (SELECT c.client, string_agg('- ' || upper(verdict) || ' ' || kind || ' at ' || location || ' (' || rule_id || '): ' || rationale, chr(10) ORDER BY o, kind, location) AS changes
-   FROM c JOIN d ON d.repo IS NULL OR d.repo = c.client WHERE d.pair = 0 GROUP BY 1)
-SELECT c.client, sha256('# Migration guide for ' || c.client || chr(10) || 'For each change show the call before and after it, each in one fenced block.' || chr(10) || '## Changes' || chr(10)
+   FROM c JOIN d ON d.pair = c.pair AND (d.repo IS NULL OR d.repo = c.client) GROUP BY 1)
+SELECT c.client, sha256('# Migration guide for ' || c.client || chr(10) || 'For each change show the call before and after it in python, each in one fenced block.' || chr(10) || '## Changes' || chr(10)
   || coalesce(l.changes, '- none for this client') || chr(10) || '## Call sites' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY r) FROM s WHERE s.client = c.client AND r <= 10)) AS prompt_hash
 FROM c LEFT JOIN lines l ON l.client = c.client""")
 def guide_prompts(spark, sf_dir):
-    """The hash of what a writer of each client's guide to the first comparison is asked for."""
-    sites = call_sites(spark, sf_dir).withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "line"})
-    changes = diffed(spark, sf_dir).filter("pair = 0")
-    context = guides.guide_context(changes, sites, sites.select(F.col("repo").alias("client")).distinct())
-    return guides.render_prompt(context).select("client", identity.prompt_hash(F.col("prompt")).alias("prompt_hash"))
+    """The hash of what a writer of each client's guide to a comparison is asked for."""
+    prompts = guides.render_prompt(contracts.guide_contexts(spark, sf_dir))
+    return prompts.select(F.col("client_id").alias("client"), identity.prompt_hash(F.col("prompt")).alias("prompt_hash"))

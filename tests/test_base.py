@@ -265,9 +265,9 @@ def test_rules_and_reports(spark):
     assert "| `r1` | 1 | yes |" in page and "This change breaks clients" in page
     command = hit.filter("ord = 0").select(reports.workflow_command(F.lit("k"), F.lit("R"), F.lit("/l"), F.lit("a: 5%, b\n\r"), F.lit("breaking")).alias("c")).first().c
     assert command == "::error title=k [R]::/l: a%3A 5%25%2C b "
-    context = guides.guide_context(hit, sites.withColumn("file", F.lit("f")).withColumn("line", F.lit(1)), spark.createDataFrame([("r1",), ("r9",)], "client string"))
-    context = {r.client: [c.ord for c in r.changes] for r in context.collect()}
-    assert context == {"r1": [1, 2, 3], "r9": [2, 3]}
+    context = guides.guide_context(hit, sites.withColumn("file", F.lit("f")).withColumn("line", F.lit(1)), spark.createDataFrame([("r1", "a"), ("r9", "a"), ("r1", "b")], "client_id string, diff_id string"))
+    context = {(r.client_id, r.diff_id): ([c.ord for c in r.changes], len(r.call_sites or []), r.language) for r in context.collect()}
+    assert context == {("r1", "a"): ([1, 2, 3], 2, "python"), ("r9", "a"): ([2, 3], 0, "python"), ("r1", "b"): ([], 2, "python")}
 
 
 PY = '''
@@ -383,6 +383,6 @@ def test_reports_are_written(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "pair int, report string")
     reports.write_reports(df, f"{tmp_path}/out", ["pair"])
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/out/pair=1", wholetext=True).collect()) == ["a\nb\n"]
-    context = spark.createDataFrame([("c", None, None)], "client string, changes array<struct<verdict:string,kind:string,location:string,rule_id:string,rationale:string>>, call_sites array<struct<file:string,line:int,method:string,path_template:string>>")
+    context = spark.createDataFrame([("c", None, None, "python")], "client_id string, changes array<struct<verdict:string,kind:string,location:string,rule_id:string,rationale:string>>, call_sites array<struct<file:string,line:int,method:string,path_template:string,fields:array<string>>>, language string")
     prompt = guides.render_prompt(context, strict=True).first().prompt
     assert "- none for this client" in prompt and "- none found" in prompt and "literals only" in prompt
