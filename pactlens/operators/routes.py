@@ -1,14 +1,19 @@
-"""Observed paths matched to route templates without leaving the expression engine."""
+"""Observed paths matched to route templates by joins with the tree's edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.functions.names import unused
 from pactlens.functions.paths import abstract_static_segments, strip_to_path
 
 #: Stands for a template segment; cannot occur in a path.
 _ANY = "\x00"
+#: Where every walk begins, above the root.
+_START = "\x01"
+#: Up to so many edges, counted with repeats, are broadcast.
+BROADCAST_EDGES = 50_000
 VERBS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
@@ -22,41 +27,86 @@ def routes_of_spec(specs: DataFrame, key: str, spec_col: str = "spec") -> DataFr
 
 
 def _segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda s: s != "")
+    """The root, which is empty, and the segments below it."""
+    return F.concat(F.array(F.lit("")), F.filter(F.split(path, "/"), lambda s: s != ""))
 
 
-def _node_key(template: Column) -> Column:
-    marked = F.transform(_segments(template), lambda s: F.when(s.rlike(r"\A\{.*\}\z"), F.lit(_ANY)).otherwise(s))
-    return F.concat(F.lit("/"), F.array_join(marked, "/"))
+def _marked(template: Column) -> Column:
+    """Segments of a template, with those that stand for any segment marked."""
+    return F.transform(_segments(template), lambda s: F.when(s.rlike(r"\A\{[^}]+\}\z"), F.lit(_ANY)).otherwise(s))
 
 
-def _walk(path: Column, nodes: Column) -> Column:
-    """The node a greedy walk ends at: a literal child before the template child, no way back; null if stuck."""
-    under = lambda at, s: F.concat(F.when(at == "/", F.lit("")).otherwise(at), F.lit("/"), s)
-    step = lambda at, s: F.when(F.array_contains(nodes, under(at, s)), under(at, s)).when(
-        F.array_contains(nodes, under(at, F.lit(_ANY))), under(at, F.lit(_ANY))
-    )
-    return F.aggregate(_segments(path), F.lit("/"), step)
+def _node(segments: Column) -> Column:
+    return F.when(F.size(segments) > 0, F.array_join(segments, "/")).otherwise(F.lit(_START))
 
 
-def match_routes(calls: DataFrame, routes: DataFrame, url_col: str = "url", method_col: str = "method") -> DataFrame:
-    """calls with path_template and matched.
+def route_edges(routes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, depth, parent, segment, child, chain: the literal edges of each specification's tree of paths.
 
-    routes(method, path_template, ord): of templates that share a node the last (by ord) names it and
-    their methods add up.  Unmatched paths keep their own segments, with numbers and UUIDs as {id}.
-    Routes are one specification's, so its nodes travel as one small array.
+    A node is the path from the root with template segments marked; chain is how many template segments
+    can follow the child one after another, so that a template step needs no edge of its own.
     """
-    keyed = routes.withColumn("node", _node_key(F.col("path_template")))
-    ends = keyed.groupBy("node").agg(F.max_by("path_template", "ord").alias("__template"), F.collect_set(F.upper("method")).alias("__methods"))
-    prefixes = F.transform(
-        F.sequence(F.lit(0), F.size(_segments(F.col("node")))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(_segments(F.col("node")), F.lit(1), i), "/"))
+    paths = routes.select(*keys, _marked(F.col("path_template")).alias("s")).distinct()
+    nodes = paths.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", F.lit(1), i))).alias("s")).distinct()
+    literal = F.array_max(F.transform("s", lambda x, i: F.when(x != _ANY, i + 1)))
+    below = nodes.select(*keys, F.posexplode(F.transform(F.sequence(F.size("s"), literal, F.lit(-1)), lambda i: _node(F.slice("s", F.lit(1), i)))).alias("steps", "child"))
+    chains = below.groupBy(*keys, "child").agg(F.max("steps").alias("chain"))
+    size = F.size("s")
+    edges = nodes.filter(F.element_at("s", -1) != _ANY).select(
+        *keys, (size - 1).alias("depth"), _node(F.slice("s", F.lit(1), size - 1)).alias("parent"), F.element_at("s", -1).alias("segment"), _node(F.col("s")).alias("child")
     )
-    nodes = keyed.select(F.explode(prefixes).alias("p")).agg(F.coalesce(F.collect_set("p"), F.array().cast("array<string>")).alias("__nodes"))
-    path = strip_to_path(F.col(url_col))
-    walked = calls.join(F.broadcast(nodes)).withColumn("__end", _walk(path, F.col("__nodes"))).drop("__nodes")
-    joined = walked.join(F.broadcast(ends), (F.col("__end") == F.col("node")) & F.array_contains("__methods", F.upper(method_col)), "left")
-    return (
-        joined.withColumn("path_template", F.coalesce("__template", abstract_static_segments(path)))
-        .withColumn("matched", F.col("__template").isNotNull())
-        .drop("__end", "__template", "__methods", "node")
+    return edges.join(chains, [*keys, "child"])
+
+
+def match_routes(calls: DataFrame, routes: DataFrame, url_col: str = "url", method_col: str = "method", keys: tuple[str, ...] = ()) -> DataFrame:
+    """calls with path_template and matched; columns of these names are replaced, all others kept.
+
+    routes(keys, method, path_template, ord), with columns that tell the specifications of many
+    services apart, if there are any: calls are matched to the routes of their own keys.  Paths are
+    walked from the root, a literal child before the template child, with no way back.  Of templates
+    that share a node the last (by ord) names it, and their methods add up.  Unmatched paths keep their
+    own segments, with numbers and UUIDs as {id}; a null URL has a null path and no match.
+
+    The tree is a table of edges that each level of the walk joins once by node and segment.  Up to
+    BROADCAST_EDGES edges are sent to the calls, which then do not move; beyond, the distinct paths
+    are walked in shuffles and joined to the calls.
+    """
+    size = routes.agg(F.max(F.size(_segments(F.col("path_template")))).alias("depth"), F.sum(F.size(_segments(F.col("path_template")))).alias("edges")).first()
+    small = (size["edges"] or 0) <= BROADCAST_EDGES
+    hint = F.broadcast if small else lambda df: df
+    calls = calls.drop("path_template", "matched")
+    path, method, found = unused(calls, "walked_path"), unused(calls, "walked_method"), unused(calls, "walked_template")
+    located = calls.withColumns({path: strip_to_path(F.col(url_col)), method: F.upper(method_col)})
+    some = located if small else located.select(*keys, path).filter(F.col(path).isNotNull()).distinct()
+    walked = _walk(some, hint(route_edges(routes, keys)), path, (size["depth"] or 0), keys)
+    node = walked.columns[-1]
+    if not small:
+        walked = located.join(walked, [*keys, path], "left")
+    by_node = routes.select(*keys, "method", "path_template", "ord", _node(_marked(F.col("path_template"))).alias(node))
+    ends = by_node.groupBy(*keys, node).agg(F.max_by("path_template", "ord").alias(found), F.collect_set(F.upper("method")).alias("methods"))
+    ends = ends.select(*keys, node, found, F.explode("methods").alias(method))
+    joined = walked.join(hint(ends), [*keys, node, method], "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in calls.columns], F.coalesce(found, abstract_static_segments(F.col(path))).alias("path_template"), F.col(found).isNotNull().alias("matched")
     )
+
+
+def _walk(paths: DataFrame, edges: DataFrame, path: str, depth: int, keys: tuple[str, ...]) -> DataFrame:
+    """paths with, as their last column, the node at which the walk of `path` ends; null if it gets stuck."""
+    step, node = unused(paths, "walk_step"), unused(paths, "walk_node")
+    out = paths.withColumn(step, F.struct(_segments(F.col(path)).alias("s"), F.lit(_START).alias("node"), F.lit(0).alias("chain")))
+    clash = {k: unused(out, f"edge_{k}") for k in keys}
+    edges = edges.withColumnsRenamed(clash)
+    for level in range(depth):
+        here = edges.filter(F.col("depth") == level).select(*clash.values(), F.struct("parent", "segment", "child", "chain").alias(node))
+        at, edge = F.col(step), F.col(node)
+        same = (at["node"] == edge["parent"]) & (F.get(at["s"], F.lit(level)) == edge["segment"])
+        for k, c in clash.items():
+            same &= F.col(k) == F.col(c)
+        over = F.size(at["s"]) <= level
+        by_template = at["chain"] > 0
+        to = F.when(over, at["node"]).when(edge["child"].isNotNull(), edge["child"]).when(by_template, F.concat(at["node"], F.lit(f"/{_ANY}")))
+        chain = F.when(over, at["chain"]).when(edge["child"].isNotNull(), edge["chain"]).when(by_template, at["chain"] - 1)
+        out = out.join(here, same, "left").withColumn(step, F.struct(at["s"].alias("s"), to.alias("node"), chain.alias("chain"))).drop(node, *clash.values())
+    # Longer paths than any route end nowhere.
+    return out.withColumn(node, F.when(F.size(F.col(step)["s"]) <= depth, F.col(step)["node"])).drop(step)

@@ -108,6 +108,16 @@ def route_match(spark, sf_dir):
     return routes.match_routes(pages, table_of_routes).select("page_id", "path_template", "matched")
 
 
+@query(f"""SELECT page_id, page_id % 3 AS service, CASE WHEN page_id % 3 = 2 THEN u.template ELSE r.path_template END AS path_template, r.matched AND page_id % 3 <> 2 AS matched
+FROM ({ORACLES['route_match']}) r JOIN ({ORACLES['url_normalize']}) u USING (page_id)""")
+def route_match_services(spark, sf_dir):
+    """Pages of three services, two of which have the routes as their own."""
+    own = [(s, m, t, n) for s in (0, 1) for n, (m, t) in enumerate(ROUTES)]
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).alias("service"), "url", F.lit("GET").alias("method"))
+    found = routes.match_routes(pages, spark.createDataFrame(own, "service bigint, method string, path_template string, ord int"), keys=("service",))
+    return found.select("page_id", "service", "path_template", "matched")
+
+
 @query("""SELECT sha256(text) AS version_hash, min(doc_id) AS first_id, CAST(count(*) AS BIGINT) AS copies
 FROM documents GROUP BY 1""")
 def version_dedup(spark, sf_dir):

@@ -123,54 +123,66 @@ def diff_proto(spark, sf_dir):
     return proto_diff.diff_proto(parts.mapInPandas(_descriptor_sets, "pair bigint, side string, descriptors binary")).select("pair", "kind", "location")
 
 
-@query("""WITH u AS (SELECT event_id % 40 AS service, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS h, props, event_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL),
-  old AS (SELECT DISTINCT service, h FROM u WHERE event_id % 3 = 0)
-SELECT u.service, u.h AS version_hash, CAST(count(*) AS BIGINT) AS uploads, CAST(CASE WHEN any_value(old.h) IS NULL THEN 1 ELSE 0 END AS BIGINT) AS created
-FROM u LEFT JOIN old ON old.service = u.service AND old.h = u.h WHERE u.event_id % 3 <> 0 GROUP BY 1, 2""")
+@query("""WITH u AS (SELECT event_id, event_id % 40 AS service, 'c' || user_id % 3 AS name, event_id % 11 = 5 AS proto, event_id % 3 = 0 AS early, CASE WHEN event_id % 17 = 4 THEN NULL WHEN event_id % 11 = 5 THEN sha256(props)
+   WHEN json_extract_string(props, '$.k') IS NOT NULL THEN sha256('{"k":' || json_extract_string(props, '$.k') || '}') END AS h FROM events),
+ ok1 AS (SELECT u.*, arg_min(proto, event_id) OVER (PARTITION BY service, name) AS p FROM u WHERE early AND h IS NOT NULL),
+ old AS (SELECT DISTINCT service, name, proto, h FROM (SELECT *, row_number() OVER (PARTITION BY service, h ORDER BY event_id) AS r FROM ok1 WHERE proto = p) WHERE r = 1),
+ k1 AS (SELECT DISTINCT service, name, proto AS p FROM old),
+ late AS (SELECT u.*, k1.p AS stored_kind, EXISTS (SELECT 1 FROM old WHERE old.service = u.service AND old.h = u.h) AS seen FROM u LEFT JOIN k1 ON k1.service = u.service AND k1.name = u.name WHERE NOT early),
+ named AS (SELECT *, coalesce(stored_kind, arg_min(CASE WHEN h IS NOT NULL AND NOT seen THEN proto END, CASE WHEN h IS NOT NULL AND NOT seen THEN event_id END) OVER (PARTITION BY service, name)) AS p FROM late),
+ judged AS (SELECT *, h IS NOT NULL AND NOT seen AND p <> proto AS refused FROM named),
+ done AS (SELECT *, CASE WHEN h IS NULL THEN 'invalid' WHEN seen THEN 'known' WHEN refused THEN 'kind differs' WHEN row_number() OVER (PARTITION BY service, h, refused ORDER BY event_id) = 1 THEN 'created' ELSE 'known' END AS outcome FROM judged)
+SELECT event_id, h AS version_hash, outcome FROM done""")
 def register_versions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.get_json_object("props", "$.k").isNotNull())
-    u = e.select((F.col("event_id") % 40).alias("service"), F.lit("c").alias("name"), F.lit("openapi").alias("kind"), F.col("props").alias("spec"), "event_id")
+    """A third of the uploads first, then the rest: some have no content, some are of another kind than their contract."""
+    e = table(spark, sf_dir, "events")
+    proto = F.col("event_id") % 11 == 5
+    spec = F.when(F.col("event_id") % 17 != 4, F.when(proto, F.base64(F.col("props").cast("binary"))).otherwise(F.col("props")))
+    name = F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string"))
+    u = e.select((F.col("event_id") % 40).alias("service"), name.alias("name"), F.when(proto, "proto").otherwise("openapi").alias("kind"), spec.alias("spec"), F.col("event_id").alias("ord"))
     blank = spark.createDataFrame([], "service bigint, name string, kind string, version_hash string")
-    old = flows.register_versions(blank, u.filter("event_id % 3 = 0").drop("event_id")).filter("outcome = 'created'")
-    new = flows.register_versions(old.select("service", "name", "kind", "version_hash"), u.filter("event_id % 3 <> 0").drop("event_id"))
-    return new.groupBy("service", "version_hash").agg(F.count("*").alias("uploads"), F.count_if(F.col("outcome") == "created").alias("created"))
+    old = flows.register_versions(blank, u.filter("ord % 3 = 0")).filter("outcome = 'created'")
+    new = flows.register_versions(old.select("service", "name", "kind", "version_hash"), u.filter("ord % 3 <> 0"))
+    return new.select(F.col("ord").alias("event_id"), "version_hash", "outcome")
 
 
 # Traffic ------------------------------------------------------------------------------------------
 
 
 @query("""SELECT user_id, CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END AS method, 'https://shop.example/' || event_type || '/' || event_id || '?k=1' AS url,
-  CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 200 END AS INTEGER) AS status, props AS request_body, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen, 'v' || event_id AS trace FROM events WHERE event_id % 10 <> 7""")
+  CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 200 END AS INTEGER) AS status, props AS request_body, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen, 'v' || event_id AS trace,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE 'q' || event_id END AS page FROM events WHERE event_id % 10 NOT IN (6, 7)""")
 def har_calls(spark, sf_dir):
-    """One recording per user; every tenth entry has no method and goes, a quarter has a status that is no number."""
+    """One recording per user, with types as browsers and tools write them: methods that are numbers or missing,
+    statuses that are texts, header and query values that are numbers."""
     e = table(spark, sf_dir, "events")
-    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    entry = F.struct(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("startedDateTime"),
-        F.struct(
-            F.when(F.col("event_id") % 10 != 7, F.when(F.col("event_type") == "view", "get").otherwise("post")).alias("method"),
-            F.concat(F.lit("https://shop.example/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit("?k=1")).alias("url"),
-            F.array(header("X-Trace", F.lit("old")), header("x-trace", F.concat(F.lit("v"), F.col("event_id").cast("string")))).alias("headers"),
-            F.struct(F.col("props").alias("text")).alias("postData"),
-        ).alias("request"),
-        F.struct(F.when(F.col("event_id") % 4 == 0, "none").otherwise("200").alias("status")).alias("response"),
-    )
-    files = e.groupBy("user_id").agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("log"))).alias("content"))
+    n, turn = F.col("event_id").cast("string"), F.col("event_id") % 10
+    verb = F.when(F.col("event_type") == "view", F.lit('"method":"get",')).otherwise(F.lit('"method":"post",'))
+    method = F.when(turn == 6, F.lit('"method":5,')).when(turn == 7, F.lit("")).otherwise(verb)
+    page = F.when(F.col("event_id") % 3 == 0, n).otherwise(F.concat(F.lit('"q'), n, F.lit('"')))
+    entry = F.concat(
+        F.lit('{"startedDateTime":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('","request":{'), method, F.lit('"url":"https://shop.example/'), "event_type", F.lit("/"), n,
+        F.lit('?k=1","headers":[{"name":"X-Trace","value":"old"},{"name":"x-trace","value":"v'), n, F.lit('"},{"name":"X-Trace","value":7}],"queryString":[{"name":"page","value":'), page,
+        F.lit('}],"postData":'), F.to_json(F.struct(F.col("props").alias("text"))), F.lit('},"response":{"status":'), F.when(F.col("event_id") % 4 == 0, F.lit('"200"')).otherwise(F.lit("200")), F.lit("}}"),
+    )
+    files = e.groupBy("user_id").agg(F.concat(F.lit('{"log":{"entries":['), F.array_join(F.collect_list(entry), ","), F.lit("]}}")).alias("content"))
     found = traffic.har_calls(files, F.lit(NOW).cast("timestamp"), keep=("user_id",))
-    return found.select("user_id", "method", "url", "status", "request_body", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen"), F.col("request_headers")["x-trace"].alias("trace"))
+    return found.select("user_id", "method", "url", "status", "request_body", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen"), F.col("request_headers")["x-trace"].alias("trace"), F.col("query")["page"].alias("page"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'POST' ELSE 'STREAM' END AS method, '/shop.' || event_type || '/Do' AS url, CAST(event_id % 17 AS INTEGER) AS status, props AS request_body
-FROM events WHERE event_id % 10 NOT IN (7, 8)""")
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'POST' ELSE 'STREAM' END AS method, '/shop.' || event_type || '/Do' AS url, CAST(CASE WHEN event_id % 5 = 1 THEN 0 ELSE event_id % 17 END AS INTEGER) AS status,
+  CASE WHEN event_id % 4 = 3 THEN '"text"' ELSE props END AS request_body FROM events WHERE event_id % 10 NOT IN (7, 8, 9)""")
 def grpc_calls(spark, sf_dir):
-    """A line per event; some lines are cut short and some have no path, and both go."""
+    """A line per event; some lines are cut short, some have no path or a number for one, and go.  Empty paths and
+    methods give way, statuses may be texts."""
     e = table(spark, sf_dir, "events")
-    path = F.concat(F.lit("/shop."), "event_type", F.lit("/Do"))
-    line = F.to_json(F.struct(
-        F.when(F.col("event_id") % 10 != 8, F.when(F.col("event_id") % 3 == 0, path)).alias("path"), F.when(F.col("event_id") % 10 != 8, F.when(F.col("event_id") % 3 != 0, path)).alias("method_path"),
-        F.when(F.col("event_id") % 2 == 1, "stream").alias("method"), (F.col("event_id") % 17).alias("status"), F.struct(F.get_json_object("props", "$.k").cast("int").alias("k")).alias("request"),
-        F.col("event_id").cast("string").alias("client"),
-    ))
+    n, turn = F.col("event_id").cast("string"), F.col("event_id") % 10
+    path = F.concat(F.lit('"/shop.'), "event_type", F.lit('/Do"'))
+    where = F.when(turn == 8, F.lit('"path":7,"method_path":"/no",')).when(turn == 9, F.lit('"path":null,')).when(F.col("event_id") % 3 == 0, F.concat(F.lit('"path":'), path, F.lit(","))).otherwise(F.concat(F.lit('"path":"","method_path":'), path, F.lit(",")))
+    status = F.when(F.col("event_id") % 5 == 1, F.lit('"3"')).otherwise((F.col("event_id") % 17).cast("string"))
+    request = F.when(F.col("event_id") % 4 == 3, F.lit('"request":null,"request_body":"text",')).otherwise(F.concat(F.lit('"request":'), "props", F.lit(",")))
+    method = F.when(F.col("event_id") % 2 == 1, F.lit('"method":"stream",')).otherwise(F.lit('"method":"",'))
+    line = F.concat(F.lit("{"), where, method, request, F.lit('"status":'), status, F.lit(',"client":"'), n, F.lit('"}'))
     lines = e.select(line.alias("l"), "event_id").select(F.when(F.col("event_id") % 10 == 7, F.expr("left(l, length(l) - 2)")).otherwise(F.col("l")).alias("value"))
     found = traffic.grpc_calls(lines, F.lit(NOW).cast("timestamp"))
     return found.select(F.col("client").cast("bigint").alias("event_id"), "method", "url", "status", F.regexp_replace("request_body", ":", ": ").alias("request_body"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pactlens.functions.identity import canonical_json, version_hash
 from pactlens.functions.lineage import cut
+from pactlens.functions.names import unused
 from pactlens.operators import campaigns as campaign_ops
 from pactlens.operators import ingest, mining, openapi_diff, proto_diff, routes, rules, store
 from pactlens.sources.code import read_tree
@@ -21,23 +22,26 @@ def register_versions(versions: DataFrame, uploads: DataFrame) -> DataFrame:
     """uploads(service, name, kind, spec) with version_hash, outcome.
 
     OpenAPI specifications are hashed as canonical JSON, descriptor sets (base64) as their bytes.
-    outcome is `created`, `known` (the service has this content), `kind differs` (a contract of that
-    name has another kind) or `invalid`.  versions(service, name, kind, version_hash) are the earlier
-    ones; of equal uploads one is created.
+    outcome is `invalid` (no such content), `known` (the service has this content), `kind differs` (the
+    contract of that name has another kind) or `created`.  versions(service, name, kind, version_hash)
+    are the earlier ones.  Uploads count in order of their column `ord`, if they have one, then by name
+    and kind: a new contract has the kind of its first upload, refused uploads create nothing, and of
+    equal ones that are not refused the first is created and the others are known.
     """
     read = F.when(F.col("kind") == "openapi", version_hash(canonical_json("spec"))).when(F.col("kind") == "proto", F.sha2(F.expr("try_to_binary(spec, 'base64')"), 256))
-    hashed = uploads.withColumn("version_hash", read)
-    kinds = versions.groupBy("service", "name").agg(F.any_value("kind").alias("__kind"))
-    seen = versions.select("service", "version_hash").distinct().withColumn("__seen", F.lit(True))
-    joined = hashed.join(kinds, ["service", "name"], "left").join(seen, ["service", "version_hash"], "left")
-    first = F.row_number().over(Window.partitionBy("service", "version_hash").orderBy("name", "kind")) == 1
-    outcome = (
-        F.when(F.col("version_hash").isNull(), "invalid")
-        .when(F.col("__kind") != F.col("kind"), "kind differs")
-        .when(F.coalesce("__seen", F.lit(False)) | ~first, "known")
-        .otherwise("created")
-    )
-    return joined.withColumn("outcome", outcome).select(*uploads.columns, "version_hash", "outcome")
+    kind, seen, first = (unused(uploads, n) for n in ("contract_kind", "stored", "first_kind"))
+    order = [F.col(c) for c in (["ord"] if "ord" in uploads.columns else []) + ["name", "kind"]]
+    kinds = versions.groupBy("service", "name").agg(F.any_value("kind").alias(kind))
+    stored = versions.select("service", "version_hash").distinct().withColumn(seen, F.lit(True))
+    joined = uploads.withColumn("version_hash", read).join(stored, ["service", "version_hash"], "left").join(kinds, ["service", "name"], "left")
+    fresh = F.col("version_hash").isNotNull() & F.col(seen).isNull()
+    # A minimum per name combines before the shuffle.
+    new = joined.filter(fresh & F.col(kind).isNull()).groupBy("service", "name").agg(F.min_by("kind", F.struct(*order)).alias(first))
+    judged = joined.join(new, ["service", "name"], "left")
+    refused = fresh & (F.coalesce(kind, first) != F.col("kind"))
+    place = F.row_number().over(Window.partitionBy("service", "version_hash", refused).orderBy(*order))
+    outcome = F.when(F.col("version_hash").isNull(), "invalid").when(F.col(seen).isNotNull(), "known").when(refused, "kind differs").when(place == 1, "created").otherwise("known")
+    return judged.withColumn("outcome", outcome).select(*uploads.columns, "version_hash", "outcome")
 
 
 def ingest_traffic(calls: DataFrame, spec_routes: DataFrame, observed: DataFrame, usage: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

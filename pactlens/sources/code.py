@@ -15,8 +15,10 @@ LANGUAGES = {
     "ts": "typescript",
     "tsx": "typescript",
 }
-#: Folders that hold no code of the project's own.
-IGNORED = (".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "dist", "build", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".next")
+#: Folders that hold no code of the project's own.
+IGNORED = (
+    ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".ruff_cache", ".pytest_cache", "dist", "build", ".next", ".nuxt",
+)
 
 
 def language_of(path: Column) -> Column:
