@@ -16,6 +16,15 @@ from pactlens.operators.store import merge_by_key
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session beside this one whose streams keep their state in RocksDB, as stateful processors need."""
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
+
+
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
     # A glob, since the table may be one file or a folder of them.
     stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/events.parque[t]")
@@ -124,15 +133,7 @@ def ewma_by_stream(spark: SparkSession, sf_dir: str, days: int = 30) -> DataFram
     source, out, state = scratch(spark, "daily"), scratch(spark, "ewma"), scratch(spark, "ewma-state")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.groupBy("event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).agg(F.count("*").alias("n")).write.parquet(source)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        daily = spark.readStream.schema("event_type string, day timestamp, n bigint").parquet(source)
-        run_to_end(smoothed_stream(daily, days), out, state, "append", ["event_type", "day"])
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    daily = with_rocksdb(spark).readStream.schema("event_type string, day timestamp, n bigint").parquet(source)
+    run_to_end(smoothed_stream(daily, days), out, state, "append", ["event_type", "day"])
     rows = spark.read.parquet(out)
     return rows.groupBy("event_type").agg(F.max_by("ewma_value", "day").alias("ewma_value"))
