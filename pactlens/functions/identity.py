@@ -60,3 +60,9 @@ def short_id(identity: Column) -> Column:
 def branch_name(campaign: Column, prefix: str = "pactlens") -> Column:
     """The branch that a campaign's change is proposed on."""
     return F.concat(F.lit(f"{prefix}/deprecate-"), campaign)
+
+
+def surrogate_id(*key: Column) -> Column:
+    """An id of 32 hex digits made of a row's natural key: the same row has the same id in every run; null and empty parts differ."""
+    parts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("-")) for k in key]
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)

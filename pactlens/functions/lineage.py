@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder a cluster names in spark.checkpoint.dir; only where that is unset, one of this machine."""
+    """The folder a cluster names in spark.checkpoint.dir; a local session without one gets one of this machine."""
     context = spark.sparkContext
     named, current = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pactlens-"))
         current = context._jsc.sc().getCheckpointDir()
     return named or current.get()

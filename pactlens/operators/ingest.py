@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pactlens.functions.jsontree import field_paths
 from pactlens.functions.lineage import cut
+from pactlens.functions.times import iso_time
 
 #: A string field is an enum with 2 to 8 values, each seen twice on average.
 ENUM_LIMIT, ENUM_REPEATS = 8, 2
@@ -112,6 +113,15 @@ def _schema_of(props: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
 
 
+def _object(text: str | None) -> dict:
+    """The JSON object that a text holds, or an empty one."""
+    try:
+        found = json.loads(text) if text else {}
+    except (ValueError, RecursionError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def merge_documents(old: dict, new: dict) -> dict:
     """The pragmatic union of two schemas: objects by property, anything else with the new side on top."""
     if not old or not new:
@@ -128,8 +138,8 @@ def merge_documents(old: dict, new: dict) -> dict:
 
 @F.pandas_udf(T.StringType())
 def merge_schemas(old: pd.Series, new: pd.Series) -> pd.Series:
-    """JSON texts of two schemas to that of their union; null counts as empty.  Not commutative: fold in batch order."""
-    load = lambda t: json.loads(t) if t else {}
+    """JSON texts of two schemas to that of their union; null, and what is no JSON object, counts as empty.  Not commutative: fold in batch order."""
+    load = _object
     return pd.Series([json.dumps(merge_documents(load(a), load(b)), sort_keys=True) for a, b in zip(old, new)], dtype=object)
 
 
@@ -147,7 +157,7 @@ def defacto_contract(specs: DataFrame, observed: DataFrame, key: str) -> DataFra
     specs(key, spec), observed(key, method, path_template, request_schema, response_schema,
     sample_count, last_seen_at, matched).  One group is one service's endpoints.
     """
-    entry = F.struct("method", "path_template", "request_schema", "response_schema", "sample_count", F.col("last_seen_at").cast("string").alias("last_seen_at"), "matched")
+    entry = F.struct("method", "path_template", "request_schema", "response_schema", "sample_count", iso_time(F.col("last_seen_at")).alias("last_seen_at"), "matched")
     grouped = observed.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("seen"))
     return specs.join(grouped, key, "full_outer").select(key, _overlay(F.col("spec"), F.col("seen")).alias("contract"))
 
@@ -156,10 +166,10 @@ def defacto_contract(specs: DataFrame, observed: DataFrame, key: str) -> DataFra
 def _overlay(specs: pd.Series, seen: pd.Series) -> pd.Series:
     def put(holder: dict, schema: str | None) -> None:
         slot = holder.setdefault("content", {}).setdefault("application/json", {})
-        slot["schema"] = merge_documents(slot.get("schema") or {}, json.loads(schema))
+        slot["schema"] = merge_documents(slot.get("schema") or {}, _object(schema))
 
     def one(spec, rows) -> str:
-        base = {"openapi": "3.0.0", "info": {"title": "defacto", "version": "0.0.0"}, **(json.loads(spec) if spec else {})}
+        base = {"openapi": "3.0.0", "info": {"title": "defacto", "version": "0.0.0"}, **_object(spec)}
         paths = base["paths"] = base.get("paths") if isinstance(base.get("paths"), dict) else {}
         static = set(paths)
         for r in rows if rows is not None else []:

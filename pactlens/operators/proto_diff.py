@@ -23,6 +23,7 @@ _FLAT = T.StructType([T.StructField(c, T.IntegerType() if c == "number" else T.S
 def _flatten(blobs: pd.Series) -> pd.Series:
     """Messages, fields, services and methods of a descriptor set as flat rows; names carry the package."""
     from google.protobuf import descriptor_pb2 as pb
+    from google.protobuf.message import DecodeError
 
     kinds = {pb.FieldDescriptorProto.TYPE_MESSAGE: "message", pb.FieldDescriptorProto.TYPE_ENUM: "enum"}
 
@@ -42,7 +43,11 @@ def _flatten(blobs: pd.Series) -> pd.Series:
 
     def one(blob) -> list[dict]:
         out = []
-        for file in pb.FileDescriptorSet.FromString(blob).file if blob else []:
+        try:
+            files = pb.FileDescriptorSet.FromString(blob).file if blob else []
+        except DecodeError:
+            return [row("problem", "not a descriptor set")]
+        for file in files:
             out += messages(file.package, file.message_type)
             for s in file.service:
                 name = f"{file.package}.{s.name}" if file.package else s.name
@@ -54,10 +59,15 @@ def _flatten(blobs: pd.Series) -> pd.Series:
 
 
 def flatten_descriptors(specs: DataFrame) -> DataFrame:
-    """pair, side, scope (message, field, service, rpc) and what it holds."""
+    """pair, side, scope (message, field, service, rpc) and what it holds; bytes that are no descriptor set give one row of scope `problem`."""
     return specs.select("pair", "side", F.explode(_flatten(F.col("descriptors"))).alias("d")).select("pair", "side", "d.*")
 
 
+def descriptor_problems(specs: DataFrame) -> DataFrame:
+    """pair, side, problem of the sides that hold no descriptor set; diff_proto gives no changes for their pairs."""
+    return flatten_descriptors(specs).filter("scope = 'problem'").select("pair", "side", F.col("name").alias("problem"))
+
+
 def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
     rest = F.struct(*[c for c in rows.columns if c not in (*keys, "side")])
     one = lambda side: rows.filter(F.col("side") == side).select(*keys, rest.alias(side[0]))
@@ -74,8 +84,13 @@ def _emit(rows: DataFrame, kind: Column, location: Column, before: Column, after
 
 
 def diff_proto(specs: DataFrame) -> DataFrame:
-    """All changes of messages, fields, services and methods between the sides of every pair."""
-    flat = cut(flatten_descriptors(specs))  # read once per scope and side below
+    """All changes of messages, fields, services and methods between the sides of every pair.
+
+    A missing or empty side holds nothing.  Pairs with a side that is no descriptor set have no changes:
+    descriptor_problems() tells which they are.
+    """
+    every = cut(flatten_descriptors(specs))  # read once per scope and side below
+    flat = every.join(every.filter("scope = 'problem'").select("pair").distinct(), "pair", "left_anti")
     new, gone = F.col("b").isNull(), F.col("a").isNull()
     kept = ~new & ~gone
     of = lambda scope: flat.filter(F.col("scope") == scope)

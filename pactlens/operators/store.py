@@ -29,7 +29,8 @@ def insert_counts(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 def merge_by_key(existing: DataFrame, incoming: DataFrame, keys: list[str], resolve: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """Full outer merge; resolve[column](old, new) decides each other column where both sides may be null.
 
-    Columns without a rule take the new value where the key is in incoming, else the old one.
+    Columns without a rule take the new value where the key is in incoming, else the old one; those
+    that incoming lacks keep the old one.
     """
     old, new = existing.withColumn("__o", F.lit(True)).alias("o"), incoming.withColumn("__n", F.lit(True)).alias("n")
     joined = old.join(new, _same(keys), "full_outer")
@@ -40,7 +41,7 @@ def merge_by_key(existing: DataFrame, incoming: DataFrame, keys: list[str], reso
             continue
         a = F.col(f"o.{c}")
         b = F.col(f"n.{c}") if c in incoming.columns else F.lit(None).cast(existing.schema[c].dataType)
-        default = lambda x, y: F.when(there, y).otherwise(x)
+        default = (lambda x, y: F.when(there, y).otherwise(x)) if c in incoming.columns else (lambda x, y: x)
         columns.append(resolve.get(c, default)(a, b).alias(c))
     return joined.select(*columns)
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlens.functions import decay, identity, paths
-from pactlens.operators import campaigns, guides, ingest, reports, routes, rules, store
+from pactlens.functions import decay, identity, lineage, paths
+from pactlens.operators import campaigns, guides, ingest, reports, routes, rules, store, tables
 from pactlens.plans.registry import ORACLES, query, table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -193,6 +193,20 @@ def ewma_decay(spark, sf_dir):
     return out.withColumn("ewma_value", F.round("ewma_value", 3))
 
 
+@query("""SELECT event_type AS campaign_id, CAST(date_trunc('day', ts) AS DATE) AS date, CAST(count(*) AS BIGINT) AS usage_count, floor(count(*) / 7.0::DOUBLE * 100 + 0.5) / 100 AS ewma_value,
+  CAST(count(DISTINCT user_id) AS BIGINT) AS remaining_clients FROM events GROUP BY 1, 2""")
+def decay_chart(spark, sf_dir):
+    day = calls(spark, sf_dir).groupBy(F.col("endpoint_id").alias("campaign_id"), F.date_trunc("day", "ts").alias("sampled_at"))
+    metrics = day.agg(F.count("*").alias("usage_count"), F.countDistinct("client_id").alias("remaining_client_count")).withColumn("ewma_value", F.col("usage_count") / F.lit(7.0))
+    return campaigns.decay_chart(metrics)
+
+
+@query("""SELECT o_orderkey, substr(sha256('=' || o_custkey || '|' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '=' || o_orderstatus END), 1, 32) AS id FROM orders""")
+def surrogate_ids(spark, sf_dir):
+    status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", identity.surrogate_id(F.col("o_custkey"), status).alias("id"))
+
+
 @query(f"""SELECT id, state, usage_count, client_count,
   CASE WHEN state = 'active' AND CAST(usage_count AS DOUBLE) / 100000 * 100.0 <= 4.99 THEN 'decaying'
        WHEN state = 'decaying' AND CAST(usage_count AS DOUBLE) / 100000 * 100.0 <= 0.99 THEN 'ready_to_remove' ELSE state END AS next_state FROM {_ROLLING}""")
@@ -233,6 +247,21 @@ def upsert_merge(spark, sf_dir):
     return store.merge_by_key(old, new, ["o_custkey"], {"n": lambda a, b: F.coalesce(a, b), "seen": lambda a, b: F.coalesce(b, a)})
 
 
+@query(ORACLES["upsert_merge"])
+def stored_upserts(spark, sf_dir):
+    """The same merge as writes of a table in buckets: one side inserted, the other upserted by customer, one batch of it sent twice."""
+    o = table(spark, sf_dir, "orders")
+    split = F.lit("1995-01-01").cast("timestamp_ntz")
+    side = lambda rows: rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("seen"))
+    new = side(o.filter(F.col("o_orderdate") >= split))
+    stored = tables.KeyedTable(spark, lineage.scratch(spark, "customers"), "o_custkey bigint, n bigint, seen string", ["o_custkey"], buckets=16)
+    stored.insert(side(o.filter(F.col("o_orderdate") < split)), ("load", 0))
+    rules_of = {"n": lambda a, b: F.coalesce(a, b), "seen": lambda a, b: F.coalesce(b, a)}
+    for number, part in ((0, new.filter("o_custkey % 2 = 0")), (1, new.filter("o_custkey % 2 = 1")), (1, new.filter("o_custkey % 2 = 1"))):
+        stored.upsert(part, rules_of, ("later", number))
+    return stored.read()
+
+
 @query("""WITH i AS (SELECT sha256(text) AS h FROM documents WHERE doc_id % 2 = 1), e AS (SELECT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0)
 SELECT CAST((SELECT count(*) FROM i) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS inserted, CAST((SELECT count(*) FROM i) - count(*) AS BIGINT) AS skipped
 FROM (SELECT DISTINCT h FROM i WHERE h NOT IN (SELECT h FROM e WHERE h IS NOT NULL))""")

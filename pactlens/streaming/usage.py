@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pactlens.functions.lineage import scratch
 from pactlens.operators.ingest import observed_endpoints
-from pactlens.operators.store import merge_by_key
+from pactlens.operators.tables import KeyedTable
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -57,44 +57,36 @@ def usage_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("request_count", "batch").alias("request_count"))
 
 
-def fold_to_end(stream: DataFrame, path: str, checkpoint: str, fold: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """The table that a stream's batches are folded into, each into a version of its own.
+ENDPOINTS = "method string, path_template string, sample_count bigint, last_seen_at timestamp, matched boolean"
+#: How a batch's endpoints meet the stored ones: counts add up, the latest time and any match hold.
+FOLD = {
+    "sample_count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "last_seen_at": F.greatest,
+    "matched": lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)),
+}
 
-    Version n is made of version n - 1 and batch n and is rewritten when the batch is tried again, so
-    no batch counts twice.  A stream without a batch is a ValueError.
-    """
 
-    def put(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/version={number - 1}") if number else None
-        fold(old, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+def fold_endpoints(calls: DataFrame, table: KeyedTable, checkpoint: str, writer: str = "endpoints") -> None:
+    """Fold a stream of calls(method, path_template, ts, matched) to its end into the table of observed endpoints.
 
-    run = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
-    run.awaitTermination()
-    if run.lastProgress is None:
-        raise ValueError("the stream had no batch")
-    return stream.sparkSession.read.parquet(f"{path}/version={run.lastProgress.batchId}")
+    A batch rewrites the buckets of its endpoints only, and one that is tried again counts once.
+    """
 
+    def put(batch: DataFrame, number: int) -> None:
+        table.upsert(observed_endpoints(batch), FOLD, (writer, number))
+        table.clean()
 
-def fold_endpoints(old: DataFrame | None, calls: DataFrame) -> DataFrame:
-    """Observed endpoints after more calls: counts add up, the latest time and any match hold."""
-    fresh = observed_endpoints(calls)
-    if old is None:
-        return fresh
-    resolve = {
-        "sample_count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-        "last_seen_at": F.greatest,
-        "matched": lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)),
-    }
-    return merge_by_key(old, fresh, ["method", "path_template"], resolve)
+    calls.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
 def endpoints_by_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000, late: str = "40 days") -> DataFrame:
     """Observed endpoints of a stream that sends every event twice; repeats are dropped by the event's id."""
-    out, state = scratch(spark, "endpoints"), scratch(spark, "endpoints-state")
+    table = KeyedTable(spark, scratch(spark, "endpoints"), ENDPOINTS, ["method", "path_template"], buckets=8)
     sent = event_stream(spark, sf_dir, files_per_batch)
     once = sent.unionByName(event_stream(spark, sf_dir, files_per_batch)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     calls = once.select(F.lit("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path_template"), "ts", (F.col("event_type") != "view").alias("matched"))
-    return fold_to_end(calls, out, state, fold_endpoints)
+    fold_endpoints(calls, table, scratch(spark, "endpoints-state"))
+    return table.read()
 
 
 class Smoother(StatefulProcessor):

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pactlens.functions import decay, identity, jsontree, paths
+from pactlens.functions.times import iso_time
 from pactlens.operators import campaigns, guides, ingest, mining, openapi_diff, proto_diff, reports, routes, rules, store
 from pactlens.plans import catalogue, contracts, documents, registry  # noqa: F401
 from pactlens.sources import code, specs, traffic
@@ -386,3 +387,15 @@ def test_reports_are_written(spark, tmp_path):
     context = spark.createDataFrame([("c", None, None, "python")], "client_id string, changes array<struct<verdict:string,kind:string,location:string,rule_id:string,rationale:string>>, call_sites array<struct<file:string,line:int,method:string,path_template:string,fields:array<string>>>, language string")
     prompt = guides.render_prompt(context, strict=True).first().prompt
     assert "- none for this client" in prompt and "- none found" in prompt and "literals only" in prompt
+
+
+def test_broken_inputs_do_not_end_the_job(spark):
+    good = descriptors({"M": {1: ("a", 9, 1)}})
+    specs_ = spark.createDataFrame([(1, "before", good), (1, "after", b"\x00broken"), (2, "before", good), (2, "after", None), (3, "before", good), (3, "after", good)], "pair int, side string, descriptors binary")
+    assert {(r.pair, r.kind) for r in proto_diff.diff_proto(specs_).collect()} == {(2, "proto.message.removed")}
+    assert [tuple(r) for r in proto_diff.descriptor_problems(specs_).collect()] == [(1, "after", "not a descriptor set")]
+    pairs = [("{broken", '{"type": "string"}'), ('{"type": "string"}', "[1]"), (None, "{"), ("[" * 5000, None)]
+    merged = spark.createDataFrame(pairs, "a string, b string").select(ingest.merge_schemas("a", "b").alias("m")).collect()
+    assert [m.m for m in merged] == ['{"type": "string"}', '{"type": "string"}', "{}", "{}"]
+    times = spark.createDataFrame([("2024-01-02 03:04:05",), ("2024-01-02 03:04:05.5",), (None,)], "t string").select(iso_time(F.col("t")).alias("t")).collect()
+    assert [t.t for t in times] == ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.500000+00:00", None]
