@@ -25,12 +25,13 @@ _STRING = re.compile(r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*\"""", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _OPERATOR = re.compile(r"=>|\.\.\.|\?\.(?!\d)|[*]{2}=?|&&=?|\|\|=?|\?\?=?|[=!]==?|[-+*/%&|^]=|\+\+|--|.", re.S)
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+_PLAIN = re.compile(r"""(?P<word>[A-Za-z_$][\w$]*)|(?P<string>'[^'\\\n]*'|"[^"\\\n]*")|(?P<sign>[,;:])""")
 _TAG_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 #: After one of these an operand must still come.
 _HANGING = frozenset("= == === != !== + - * / % ** && || ?? | & ^ => ? : . ?. , < += -= *= /= %= &&= ||= ??= &= |= ^=".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     """kind: word, number, string, regex, template, markup or sign; `partner` is the place of a bracket's other half."""
 
@@ -64,7 +65,14 @@ class Lexer:
         opened: list[int] = []
         while True:
             before = self.line
-            self.take(_BLANK)
+            c = self.text[self.at : self.at + 1]
+            if c.isspace() or c in "/#":
+                self.take(_BLANK)
+            plain = _PLAIN.match(self.text, self.at)
+            if plain is not None:  # most tokens: no newline, no bracket, nothing to tell apart
+                self.at = plain.end()
+                out.append(Token(plain.lastgroup, plain[0], self.line, self.line > before or not out))
+                continue
             if self.at >= len(self.text):
                 if opened or until:
                     self.fail("a bracket is not closed")

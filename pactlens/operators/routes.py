@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from pactlens.functions.lineage import cut
 from pactlens.functions.names import unused
 from pactlens.functions.paths import abstract_static_segments, strip_to_path
 
@@ -12,8 +18,8 @@ from pactlens.functions.paths import abstract_static_segments, strip_to_path
 _ANY = "\x00"
 #: Where every walk begins, above the root.
 _START = "\x01"
-#: Up to so many edges, counted with repeats, are broadcast.
-BROADCAST_EDGES = 50_000
+#: Up to so many routes make a tree whose edges are broadcast.
+BROADCAST_ROUTES = 10_000
 VERBS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
@@ -68,32 +74,57 @@ def match_routes(calls: DataFrame, routes: DataFrame, url_col: str = "url", meth
     own segments, with numbers and UUIDs as {id}; a null URL has a null path and no match.
 
     The tree is a table of edges that each level of the walk joins once by node and segment.  Up to
-    BROADCAST_EDGES edges are sent to the calls, which then do not move; beyond, the distinct paths
-    are walked in shuffles and joined to the calls.
+    BROADCAST_ROUTES routes are read by the driver and their edges sent to the calls, which then do
+    not move; with more, the distinct paths are walked in shuffles and joined to the calls.
     """
-    size = routes.agg(F.max(F.size(_segments(F.col("path_template")))).alias("depth"), F.sum(F.size(_segments(F.col("path_template")))).alias("edges")).first()
-    small = (size["edges"] or 0) <= BROADCAST_EDGES
-    hint = F.broadcast if small else lambda df: df
     calls = calls.drop("path_template", "matched")
-    path, method, found = unused(calls, "walked_path"), unused(calls, "walked_method"), unused(calls, "walked_template")
+    path, method, found, node = (unused(calls, f"walk_{n}") for n in ("path", "method", "template", "node"))
     located = calls.withColumns({path: strip_to_path(F.col(url_col)), method: F.upper(method_col)})
-    some = located if small else located.select(*keys, path).filter(F.col(path).isNotNull()).distinct()
-    walked = _walk(some, hint(route_edges(routes, keys)), path, (size["depth"] or 0), keys)
-    node = walked.columns[-1]
-    if not small:
+    columns = [*keys, "method", "path_template", "ord"]
+    first = routes.select(*columns).limit(BROADCAST_ROUTES + 1).collect()
+    if len(first) <= BROADCAST_ROUTES:
+        edges, ends, depth = _small_tree(routes, first, keys)
+        walked = _walk(located, edges, path, node, depth, keys)
+    else:
+        edges = cut(route_edges(routes, keys))
+        some = located.select(*keys, path).filter(F.col(path).isNotNull()).distinct()
+        walked = _walk(some, edges, path, node, edges.agg(F.max("depth")).first()[0] + 1, keys)
         walked = located.join(walked, [*keys, path], "left")
-    by_node = routes.select(*keys, "method", "path_template", "ord", _node(_marked(F.col("path_template"))).alias(node))
-    ends = by_node.groupBy(*keys, node).agg(F.max_by("path_template", "ord").alias(found), F.collect_set(F.upper("method")).alias("methods"))
-    ends = ends.select(*keys, node, found, F.explode("methods").alias(method))
-    joined = walked.join(hint(ends), [*keys, node, method], "left")
+        by_node = routes.select(*columns, _node(_marked(F.col("path_template"))).alias("node"))
+        ends = by_node.groupBy(*keys, "node").agg(F.max_by("path_template", "ord").alias("template"), F.collect_set(F.upper("method")).alias("methods"))
+        ends = ends.select(*keys, "node", "template", F.explode("methods").alias("method"))
+    joined = walked.join(ends.withColumnsRenamed({"node": node, "template": found, "method": method}), [*keys, node, method], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in calls.columns], F.coalesce(found, abstract_static_segments(F.col(path))).alias("path_template"), F.col(found).isNotNull().alias("matched")
     )
 
 
-def _walk(paths: DataFrame, edges: DataFrame, path: str, depth: int, keys: tuple[str, ...]) -> DataFrame:
-    """paths with, as their last column, the node at which the walk of `path` ends; null if it gets stuck."""
-    step, node = unused(paths, "walk_step"), unused(paths, "walk_node")
+def _small_tree(routes: DataFrame, rows: list, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
+    """Edges as route_edges() has them, ends (keys, node, template, method), and the depth of the tree, of few routes."""
+    nodes, names, methods = set(), {}, set()
+    for *key, method, template, order in rows:
+        path = ("", *(_ANY if re.fullmatch(r"\{[^}]+\}", s) else s for s in template.split("/") if s))
+        nodes |= {(*key, path[:n]) for n in range(1, len(path) + 1)}
+        names[*key, path] = max(names.get((*key, path), (order, template)), (order, template))
+        methods.add((*key, path, method.upper()))
+    chains: dict = {}
+    for *key, path in nodes:
+        below = path
+        while below[-1] == _ANY:
+            below = below[:-1]
+            chains[*key, below] = max(chains.get((*key, below), 0), len(path) - len(below))
+    edges = [(*key, len(path) - 1, "/".join(path[:-1]) if path[:-1] else _START, path[-1], "/".join(path), chains.get((*key, path), 0)) for *key, path in nodes if path[-1] != _ANY]
+    ends = [(*key, "/".join(path), names[*key, path][1], method) for *key, path, method in methods]
+    kinds = [routes.schema[k] for k in keys]
+    local = lambda data, shape: F.broadcast(routes.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(shape.names, r)) for r in data], schema=to_arrow_schema(shape)), shape))
+    texts = lambda *names: T.StructType([*kinds, *[T.StructField(n, T.IntegerType() if n in ("depth", "chain") else T.StringType()) for n in names]])
+    depth = max((len(path) for *_, path in nodes), default=0)
+    return local(edges, texts("depth", "parent", "segment", "child", "chain")), local(ends, texts("node", "template", "method")), depth
+
+
+def _walk(paths: DataFrame, edges: DataFrame, path: str, node: str, depth: int, keys: tuple[str, ...]) -> DataFrame:
+    """paths with the node at which the walk of `path` ends; null if it gets stuck."""
+    step = unused(paths, "walk_step")
     out = paths.withColumn(step, F.struct(_segments(F.col(path)).alias("s"), F.lit(_START).alias("node"), F.lit(0).alias("chain")))
     clash = {k: unused(out, f"edge_{k}") for k in keys}
     edges = edges.withColumnsRenamed(clash)

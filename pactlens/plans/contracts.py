@@ -248,6 +248,11 @@ def defacto_contracts(spark, sf_dir):
 # Mining -------------------------------------------------------------------------------------------
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: few bytes of source are much work, and would else be read by one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per order: Python for even orders, JavaScript for odd ones, a call per line item."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -259,7 +264,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("l_orderkey") % 2 == 0
     head = F.when(even, 'import requests\nBASE = "https://shop.example/v1"\ndef run(part_id):\n    session = requests.Session()\n').otherwise('import axios from "axios";\nconst BASE = "/v1";\n// axios.get("/no")\nasync function run(item) {\n')
     content = F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.when(even, "\n").otherwise("\n}\n"))
-    return files.select(
+    return spread(files).select(
         F.lit("shop").alias("repo"), F.lit("c0").alias("commit_sha"), F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("file"),
         F.when(even, "python").otherwise("javascript").alias("language"), content.alias("content"),
     )
@@ -283,7 +288,7 @@ def mine_javascript(spark, sf_dir):
         "fetch(`${BASE}/%d`, {method: \"DELETE\", headers: {'x': ')'}})",
     )
     content = F.format_string("\n".join(lines).replace("%d", "%1$d"), "p_partkey")
-    files = table(spark, sf_dir, "part").select(F.lit("shop").alias("repo"), F.lit("c0").alias("commit_sha"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"), F.lit("typescript").alias("language"), content.alias("content"))
+    files = spread(table(spark, sf_dir, "part")).select(F.lit("shop").alias("repo"), F.lit("c0").alias("commit_sha"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("file"), F.lit("typescript").alias("language"), content.alias("content"))
     found = mining.mine_call_sites(files)
     return found.select("file", "line", "client_library", "method", "path_template", F.array_join("fields", ",").alias("fields"))
 

@@ -28,16 +28,16 @@ def plain_match(rows, service, method, path):
     return max(ends)[1] if method.upper() in {m for _, _, m in ends} else None
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("limit", [10_000, 0])
 def test_walks_of_many_services(spark, monkeypatch, limit):
-    monkeypatch.setattr(routes, "BROADCAST_EDGES", limit)
+    monkeypatch.setattr(routes, "BROADCAST_ROUTES", limit)
     r = random.Random(4)
     parts = ["a", "b", "{x}", "{y}", "{}", "7", "{a}b"]
     rows = [(f"s{r.randrange(4)}", r.choice(["GET", "post"]), "/" + "/".join(r.choice(parts) for _ in range(r.randrange(5))), n) for n in range(60)]
     calls = [(n, f"s{r.randrange(5)}", r.choice(["get", "POST"]), "http://h/" + "/".join(r.choice(["a", "b", "7", "z"]) for _ in range(r.randrange(6)))) for n in range(400)]
     calls += [(900, "s1", "GET", None), (901, None, "GET", "/a"), (902, "s1", None, "/a"), (903, "s0", "GET", "/a//b/?q"), (903, "s0", "GET", "/a//b/?q")]
     df = spark.createDataFrame(calls, "n int, service string, method string, url string")
-    for clash in ("node", "chain", "walk_step", "walked_path", "segment", "path_template"):
+    for clash in ("node", "chain", "walk_step", "walk_path", "walk_node", "segment", "path_template"):
         df = df.withColumn(clash, F.lit("kept"))
     got = routes.match_routes(df, spark.createDataFrame(rows, SHAPE), keys=("service",))
     assert set(df.columns) | {"matched"} == set(got.columns)
