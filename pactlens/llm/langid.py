@@ -31,7 +31,7 @@ SUBWORDS = (3, 4)
 #: Share of rightly classified calibration rows of each language that lies beyond what counts as usual for it.
 UNUSUAL = 0.005
 #: A text is rejected when it is so far on the way from the usual to what chance alone gives.
-REJECT_FROM = 0.5
+REJECT_FROM = 0.1
 #: So many known subwords are added to every text, so that a few strange ones in a short text do not reject it.
 KNOWN_PRIOR = 20
 
