@@ -12,7 +12,7 @@ from pactlens.llm.langid import identify_languages, train_language_model
 from pactlens.llm.mixing import emit_copies, mix_sources
 from pactlens.llm.neardup import drop_near_duplicates
 from pactlens.llm.secrets import BlobLedger, redact, scan_secrets
-from pactlens.llm.sparkside import crc_mod, fresh_path, read
+from pactlens.llm.sparkside import crc_mod, fresh_path, read, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars as the text then is."""
     found = scan_secrets(docs, BlobLedger(spark, fresh_path(spark, "blob-ledger")))
-    clean = redact(F.col("text"), F.col("secret_spans"))
+    clean = unused(found, "clean_text")
+    done = found.withColumn(clean, redact(F.col("text"), F.col("secret_spans")))
     n_chars = F.when(F.size("secret_spans") > 0, F.length(clean)).otherwise(F.col("n_chars")).cast("bigint")
-    return found.withColumns({"n_chars": n_chars, "text": clean}).select(*docs.columns)
+    return done.withColumn("n_chars", n_chars).withColumn("text", F.col(clean)).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
