@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,3 +45,8 @@ def field_paths(bodies: pa.Array) -> pa.Array:
     columns = list(zip(*nodes)) if nodes else [()] * len(_NODE.names)
     arrays = [pa.array(c, type=pa.int32() if name == "depth" else pa.string()) for name, c in zip(_NODE.names, columns)]
     return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays(arrays, names=_NODE.names))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string, a null one as the word null."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"\A\[|\]\z", "")

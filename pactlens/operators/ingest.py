@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlens.functions.jsontree import field_paths
+from pactlens.functions.jsontree import field_paths, quoted
 from pactlens.functions.lineage import cut
 from pactlens.functions.times import iso_time
 
@@ -101,14 +101,14 @@ def _schema_of(props: Column) -> Column:
     types = F.array_sort(F.when(root, F.array_union("types", F.array(F.lit("object")))).otherwise(F.col("types")))
     plain = F.get(types, F.lit(0))
     required = F.transform(F.filter(props, lambda p: p["n"] == F.col("objects")), lambda p: p["name"])
-    listed = F.array_join(F.transform(props, lambda p: F.concat(_quoted(p["name"]), F.lit(": "), p["schema"])), ", ")
+    listed = F.array_join(F.transform(props, lambda p: F.concat(quoted(p["name"]), F.lit(": "), p["schema"])), ", ")
     holds = F.array_contains(types, "object")
     parts = [
         F.when((F.size(types) == 1) & (plain == "string") & F.col("enum").isNotNull(), F.concat(F.lit('"enum": '), F.to_json("enum"))),
         F.when(F.col("items") != "", F.concat(F.lit('"items": '), F.col("items"))),
         F.when(holds, F.concat(F.lit('"properties": {'), listed, F.lit("}"))),
         F.when(holds & (F.size(required) > 0), F.concat(F.lit('"required": '), F.to_json(required))),
-        F.concat(F.lit('"type": '), F.when(F.size(types) == 1, _quoted(plain)).otherwise(F.to_json(types))),
+        F.concat(F.lit('"type": '), F.when(F.size(types) == 1, quoted(plain)).otherwise(F.to_json(types))),
     ]
     return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
 
@@ -178,7 +178,7 @@ def defacto_items(specs: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     )
     source = F.when(F.col("is_item").isNull(), "observed").when(F.col("is_seen"), "both").otherwise("static")
     own = F.when(source != "both", F.get(F.map_values(F.map_filter("verbs", lambda k, _: k == "x-source")), F.lit(0)))
-    marked = _over(F.col("verbs"), {"x-source": F.coalesce(own, _quoted(source))})
+    marked = _over(F.col("verbs"), {"x-source": F.coalesce(own, quoted(source))})
     text = F.when(F.coalesce("is_item", F.lit(True)) | F.col("is_seen"), _object_text(marked)).otherwise(F.col("raw"))
     return items.select(key, "path_template", source.alias("x_source"), text.alias("item"))
 
@@ -198,10 +198,6 @@ def defacto_contract(specs: DataFrame, observed: DataFrame, key: str) -> DataFra
     return folded.select(key, _object_text(_over(root, {"paths": _object_text(F.col("paths"))})).alias("contract"))
 
 
-def _quoted(text: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(text)), r"\A\[|\]\z", "")
-
-
 def _members(document: Column, path: str = "$") -> Column:
     """The members of the object at a path of a variant, as JSON texts by name; null where there is no object."""
     return F.transform_values(F.try_variant_get(document, path, "map<string,variant>"), lambda _, v: F.to_json(v))
@@ -209,7 +205,7 @@ def _members(document: Column, path: str = "$") -> Column:
 
 def _object_text(members: Column) -> Column:
     """The JSON object of members given as JSON texts, sorted by name, without those whose text is null."""
-    listed = F.transform(F.array_sort(F.map_entries(members)), lambda m: F.concat(_quoted(m["key"]), F.lit(": "), m["value"]))
+    listed = F.transform(F.array_sort(F.map_entries(members)), lambda m: F.concat(quoted(m["key"]), F.lit(": "), m["value"]))
     return F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}"))
 
 
@@ -246,7 +242,7 @@ def _laid_over(operations: DataFrame) -> DataFrame:
         "responses": F.when(F.col("response").isNotNull(), _object_text(_over(_members(document, "$.responses"), {"200": body["response"]}))),
         "x-sample-count": last["n"].cast("string"),
         "x-matched-static": last["matched"].cast("string"),
-        "x-last-seen-at": F.when(at.isNotNull(), _quoted(at)),
+        "x-last-seen-at": F.when(at.isNotNull(), quoted(at)),
     })
     return rows.withColumn("text", F.when(F.size("seen") > 0, _object_text(laid)).otherwise(F.col("operation")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactlens.functions.jsontree import quoted
 from pactlens.operators.rules import VERDICTS
 
 #: What one call may carry, and the order of verdicts.
@@ -27,6 +28,11 @@ def client_impact(changes: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by, "client").agg(F.count("*").alias("changes"), F.bool_or(F.col("verdict") == "breaking").alias("breaking"))
 
 
+def ranked_impact(changes: DataFrame, by: list[str]) -> DataFrame:
+    """client_impact in order: within each report the clients with most changes first, then by name."""
+    return client_impact(changes, by).orderBy(*by, F.desc("changes"), "client")
+
+
 def verdict_matrix(changes: DataFrame, by: list[str]) -> DataFrame:
     """One row per client, one count per verdict."""
     each = changes.select(*by, "verdict", F.explode("affected_clients").alias("client"))
@@ -40,6 +46,33 @@ def annotations(changes: DataFrame, by: list[str], order: str, limit: int = ANNO
     return changes.withColumn("position", rank).filter(F.col("position") <= limit).withColumn("level", level)
 
 
+def check_annotations(changes: DataFrame, by: list[str], order: str, spec_path: str | Column, limit: int = ANNOTATION_LIMIT) -> DataFrame:
+    """by, position, path, start_line, end_line, annotation_level, title, message, raw_details: what a CI check shows beside a specification.
+
+    The first `limit` changes of each report, as in annotations.  spec_path is the file's, or a column
+    with each report's; changes name places in a specification and no lines of it, so line 1 holds them
+    all and the message and details say where.  A null list of clients counts as empty.
+    """
+    if isinstance(spec_path, str) and not spec_path:
+        raise ValueError("annotations need the path of a file")
+    clients = F.coalesce("affected_clients", F.array().cast("array<string>"))
+    hint = F.when(F.size(clients) > 0, F.concat(F.lit(" (affects "), F.size(clients).cast("string"), F.when(F.size(clients) == 1, " client repo)").otherwise(" client repos)"))).otherwise("")
+    names = F.concat(F.lit("[\n    "), F.array_join(F.transform(clients, quoted), ",\n    "), F.lit("\n  ]"))
+    members = [F.concat(F.lit(f'  "{c}": '), quoted(F.col(c))) for c in ("change_id", "kind", "location", "verdict", "rule_id")]
+    members.append(F.concat(F.lit('  "affected_clients": '), F.when(F.size(clients) > 0, names).otherwise("[]")))
+    return annotations(changes, by, order, limit).select(
+        *by,
+        "position",
+        (F.lit(spec_path) if isinstance(spec_path, str) else spec_path).alias("path"),
+        F.lit(1).alias("start_line"),
+        F.lit(1).alias("end_line"),
+        F.col("level").alias("annotation_level"),
+        F.concat("kind", F.lit(" ["), "rule_id", F.lit("]")).alias("title"),
+        F.concat("location", F.lit(": "), F.coalesce("rationale", F.lit("")), hint).alias("message"),
+        F.concat(F.lit("{\n"), F.array_join(F.array(*members), ",\n"), F.lit("\n}")).alias("raw_details"),
+    )
+
+
 def workflow_command(kind: Column, rule_id: Column, location: Column, rationale: Column, verdict: Column) -> Column:
     """A CI log command for one change."""
     message = F.replace(rationale, F.lit("\n"), F.lit(" "))
@@ -113,6 +146,35 @@ def report_json(changes: DataFrame, by: list[str], order: str) -> DataFrame:
     return per.select(*by, F.to_json(F.struct(F.transform("listed", lambda x: x["change"]).alias("changes"), summary)).alias("report"))
 
 
+def comparison_reports(comparisons: DataFrame, changes: DataFrame, findings: DataFrame, by: list[str], order: str, ruleset_id: str = "default") -> DataFrame:
+    """by, report: the JSON report of every comparison, with sorted keys: changes, kind of contract, ruleset, linter findings and counts.
+
+    comparisons(by, contract_kind) holds one row per comparison, so that one without changes or findings
+    has a report too; changes are those of all comparisons, with before and after as JSON texts if they
+    have them; findings(by, position, code, message, severity, path) are those of linters, which only
+    openapi contracts have.  Changes and findings meet their comparison in shuffles by its key.
+    """
+    texts = [c for c in ("after", "before") if c in changes.columns]
+    parts = {c: F.coalesce(F.to_json(F.try_parse_json(c)), quoted(F.col(c))) for c in texts}
+    parts |= {"affected_clients": F.coalesce(F.to_json("affected_clients"), F.lit("[]"))}
+    parts |= {c: quoted(F.col(c)) for c in ("change_id", "kind", "location", "rationale", "rule_id", "verdict")}
+    record = F.concat(F.lit("{"), F.array_join(F.array(*[F.concat(F.lit(f'"{c}":'), parts[c]) for c in sorted(parts)]), ","), F.lit("}"))
+    listed = lambda entries: F.array_join(F.transform(F.array_sort(entries), lambda x: x["text"]), ",")
+    of_changes = changes.groupBy(*by).agg(
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS], F.count("*").alias("total"), listed(F.collect_list(F.struct(F.col(order).alias("o"), record.alias("text")))).alias("changes")
+    )
+    finding = F.to_json(F.struct("code", "message", "path", "severity"))
+    of_findings = findings.groupBy(*by).agg(listed(F.collect_list(F.struct(F.col("position").alias("o"), finding.alias("text")))).alias("findings"))
+    joined = comparisons.join(of_changes, by, "left").join(of_findings, by, "left")
+    summary = F.to_json(F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in sorted((*VERDICTS, "total"))]))
+    found = F.when(F.col("contract_kind") == "openapi", F.coalesce("findings", F.lit(""))).otherwise("")
+    report = F.concat(
+        F.lit('{"changes":['), F.coalesce("changes", F.lit("")), F.lit('],"contract_kind":'), quoted(F.col("contract_kind")),
+        F.lit(',"ruleset_id":'), quoted(F.lit(ruleset_id)), F.lit(',"spectral_findings":['), found, F.lit('],"summary":'), summary, F.lit("}"),
+    )
+    return joined.select(*by, report.alias("report"))
+
+
 def write_reports(reports: DataFrame, path: str, by: list[str]) -> None:
     """Every report as a text file in a folder of its own key below `path`."""
     reports.select(*by, "report").write.partitionBy(*by).text(path)

@@ -51,6 +51,8 @@ DEFAULT_RULES = (
 VERDICTS = ("breaking", "behavioral", "additive")
 #: What a change without a rule gets.
 FALLBACK_RULE, FALLBACK_VERDICT = "UNCLASSIFIED", "behavioral"
+#: A location within an operation: the path, then the verb before one of an operation's parts.
+_OPERATION = r"\A/paths/(.+?)/(get|put|post|delete|options|head|patch|trace)(?=/(?:parameters|requestBody|responses)(?:/|\z)|\z)"
 _EFFECT = {
     "additive": "existing clients keep working",
     "behavioral": "clients may notice a difference",
@@ -117,11 +119,20 @@ def classify(changes: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
     )
 
 
-def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str], erase_names: bool = False, rpc_keys: bool = False) -> DataFrame:
+def located(changes: DataFrame) -> DataFrame:
+    """changes whose path and methods, where null, are read from a location of an operation of a specification."""
+    part = lambda n: F.nullif(F.regexp_extract("location", _OPERATION, n), F.lit(""))
+    known = F.col("path").isNotNull()
+    methods = F.when(part(2).isNotNull(), F.array(F.upper(part(2))))
+    return changes.withColumns({"path": F.when(known, F.col("path")).otherwise(part(1)), "methods": F.when(known, F.col("methods")).otherwise(methods)})
+
+
+def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str], erase_names: bool = False, rpc_keys: bool = False, by_location: bool = False) -> DataFrame:
     """changes with affected_clients: sorted repositories that call one of the change's methods on its path.
 
     Templates are compared as text; erase_names makes all placeholders alike.  rpc_keys also matches
-    mined RPC calls (method RPC, /service/method) to RPC changes.  Only call sites of changed paths
+    mined RPC calls (method RPC, /service/method) to RPC changes; by_location finds clients of changes
+    of properties and enums, whose path and method only their location tells.  Only call sites of changed paths
     leave the join; they are reduced to one per change and repository before they are gathered.
     """
     plain = lambda c: F.regexp_replace(c, r"\{[^}]*\}", "{}") if erase_names else c
@@ -130,7 +141,8 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
         rpc = F.col("k_method") == "RPC"
         dotted = F.regexp_replace(F.regexp_replace("k_path", r"\A/", ""), "/", ".")
         sites = sites.select(F.when(rpc, "POST").otherwise(F.col("k_method")).alias("k_method"), F.when(rpc, dotted).otherwise(F.col("k_path")).alias("k_path"), "repo")
-    wanted = changes.select(*keys, plain(F.col("path")).alias("k_path"), F.explode("methods").alias("k_method")).filter("k_path IS NOT NULL")
+    asked = located(changes) if by_location else changes
+    wanted = asked.select(*keys, plain(F.col("path")).alias("k_path"), F.explode("methods").alias("k_method")).filter("k_path IS NOT NULL")
     met = wanted.join(sites, ["k_method", "k_path"]).select(*keys, "repo").distinct()
     hit = met.groupBy(*keys).agg(F.array_sort(F.collect_list("repo")).alias("affected_clients"))
     joined = changes.join(hit, keys, "left")

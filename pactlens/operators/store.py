@@ -57,3 +57,8 @@ def patch(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 def latest_per_group(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__rank = 1").drop("__rank")
+
+
+def newest_first(rows: DataFrame, created_at: str, key: str) -> DataFrame:
+    """rows in the order of a list view: latest first, those without a time last, then by key."""
+    return rows.orderBy(F.desc_nulls_last(created_at), key)

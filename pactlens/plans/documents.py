@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactlens.functions import identity
-from pactlens.operators import guides, reports
-from pactlens.plans import contracts
+from pactlens.operators import guides, reports, rules
+from pactlens.plans import contracts, flows
+from pactlens.plans.catalogue import call_sites
 from pactlens.plans.contracts import diffed
 from pactlens.plans.registry import query, table
 from pactlens.sources import specs
@@ -59,6 +60,45 @@ def report_json(spark, sf_dir):
     return reports.report_json(diffed(spark, sf_dir), ["pair"], "ord")
 
 
+_CLIENT_HINT = "CASE WHEN len(repos) = 0 THEN '' ELSE ' (affects ' || len(repos) || ' client repo' || CASE WHEN len(repos) = 1 THEN '' ELSE 's' END || ')' END"
+_LEVEL = "CASE verdict WHEN 'breaking' THEN 'failure' WHEN 'behavioral' THEN 'warning' ELSE 'notice' END"
+_INNER = ", ".join(f"'  \"{c}\": \"' || {v} || '\"'" for c, v in (("change_id", _ID), ("kind", "kind"), ("location", "location"), ("verdict", "verdict"), ("rule_id", "rule_id")))
+
+
+@query(f"""SELECT * FROM (SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY CASE verdict WHEN 'breaking' THEN 0 WHEN 'behavioral' THEN 1 ELSE 2 END, o) AS INTEGER) AS position,
+  'contracts/' || pair || '.json' AS path, CAST(1 AS INTEGER) AS start_line, CAST(1 AS INTEGER) AS end_line, {_LEVEL} AS annotation_level, kind || ' [' || rule_id || ']' AS title,
+  location || ': ' || rationale || {_CLIENT_HINT} AS message,
+  '{{' || chr(10) || array_to_string([{_INNER}], ',' || chr(10)) || ',' || chr(10) || '  "affected_clients": ' || CASE WHEN len(repos) = 0 THEN '[]' ELSE
+    '[' || chr(10) || array_to_string(list_transform(repos, lambda r: '    "' || r || '"'), ',' || chr(10)) || chr(10) || '  ]' END || chr(10) || '}}' AS raw_details
+FROM {contracts._LINES}) WHERE position <= 50""")
+def check_annotations(spark, sf_dir):
+    """What a CI check shows beside each pair's specification."""
+    path = F.concat(F.lit("contracts/"), F.col("pair").cast("string"), F.lit(".json"))
+    return reports.check_annotations(diffed(spark, sf_dir), ["pair"], "ord", path)
+
+
+@query(f"""SELECT c.pair, '{{"changes":[' || coalesce(string_agg('{{"affected_clients":' || {_LIST} || ',"change_id":"' || {_ID} || '","kind":"' || kind || '","location":"' || location || '","rationale":"' || rationale
+  || '","rule_id":"' || rule_id || '","verdict":"' || verdict || '"}}', ',' ORDER BY o), '') || '],"contract_kind":"openapi","ruleset_id":"shop","spectral_findings":['
+  || CASE WHEN c.pair % 3 = 0 THEN '' ELSE '{{"code":"parts","message":"' || any_value(n) || ' parts","path":["paths"],"severity":' || c.pair % 4 || '}}' END || '],"summary":{{{_COUNTS},"total":' || count(l.pair) || '}}}}' AS report
+FROM (SELECT p_partkey // {contracts.GROUP} AS pair, count(*) AS n FROM part GROUP BY 1) c LEFT JOIN {contracts._LINES} l ON l.pair = c.pair GROUP BY c.pair""")
+def comparison_reports(spark, sf_dir):
+    """The report of every pair with what a linter says of it; the linter fails on every third."""
+    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / contracts.GROUP).cast("bigint").alias("pair")).agg(F.count("*").cast("string").alias("n"))
+    said = F.concat(F.lit('[{"code":"parts","message":"'), "n", F.lit(' parts","path":["paths"],"severity":'), (F.col("pair") % 4).cast("string"), F.lit("}]"))
+    linted = specs.findings(parts.select("pair", F.when(F.col("pair") % 3 == 0, "linter not found").otherwise(said).alias("report")), ("pair",))
+    comparisons = parts.select("pair", F.lit("openapi").alias("contract_kind"))
+    return reports.comparison_reports(comparisons, diffed(spark, sf_dir).drop("before", "after"), linted, ["pair"], "ord", "shop")
+
+
+@query(f"""SELECT pair, kind, location, array_to_string(coalesce(s.repos, []), ',') AS clients FROM {contracts._OPENAPI} c
+  LEFT JOIN (SELECT l_partkey AS k, list_sort(list(DISTINCT 'repo-' || l_suppkey)) AS repos FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1) s ON s.k = c.k""")
+def clients_by_location(spark, sf_dir):
+    """Clients of every change, those of properties and enums found by their location."""
+    specifications, sites = contracts.openapi_pairs(spark, sf_dir), call_sites(spark, sf_dir)
+    found = flows.diff_contracts("openapi", specifications, rules.rule_table(spark), sites, by_location=True)
+    return found.select("pair", "kind", "location", F.array_join("affected_clients", ",").alias("clients"))
+
+
 @query(f"""WITH d AS (SELECT pair, kind, location, rule_id, rationale, verdict, o, unnest(CASE WHEN len(repos) = 0 THEN [NULL] ELSE repos END) AS repo FROM {contracts._LINES} WHERE verdict <> 'additive'),
  s AS (SELECT 'repo-' || l_suppkey AS client, '- ' || l_orderkey || ':' || l_linenumber || ' calls ' || {contracts._SITE_OF} || ' /part/' || l_partkey AS line,
    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, {contracts._SITE_OF}, '/part/' || l_partkey) AS r FROM lineitem),

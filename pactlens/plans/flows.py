@@ -44,18 +44,19 @@ def register_versions(versions: DataFrame, uploads: DataFrame) -> DataFrame:
     return judged.withColumn("outcome", outcome).select(*uploads.columns, "version_hash", "outcome")
 
 
-def ingest_traffic(calls: DataFrame, spec_routes: DataFrame, observed: DataFrame, usage: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_traffic(calls: DataFrame, spec_routes: DataFrame, observed: DataFrame, usage: DataFrame, batches: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(observed endpoints, field usage, summary) after a batch of calls.
 
     calls(batch_hash, client_id, method, url, request_body, response_body, ts); observed(method,
     path_template, sample_count, last_seen_at, matched, request_schema, response_schema); usage(method,
     path_template, client_id, role, path, count, json_types, last_seen_at).  Batches that are known
-    add nothing.  Counts of endpoints add up and their schemas merge; a field that is known keeps its
+    add nothing; with strict=False their samples are counted once more, as in the original, and only
+    counts of fields stay.  Counts of endpoints add up and their schemas merge; a field that is known keeps its
     count and is seen anew.
     """
     roles = {"request": "request_body", "response": "response_body"}
     endpoint = ("method", "path_template")
-    new = calls.join(batches.select("batch_hash").distinct(), "batch_hash", "left_anti")
+    new = calls.join(batches.select("batch_hash").distinct(), "batch_hash", "left_anti") if strict else calls
     matched = routes.match_routes(new, spec_routes)
     fresh = ingest.observed_endpoints(matched, endpoint)
     schemas = ingest.infer_schemas(matched, endpoint, roles).groupBy(*endpoint).pivot("role", list(roles)).agg(F.first("schema"))

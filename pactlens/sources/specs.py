@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,25 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
     Files are told apart by suffix: DESCRIPTOR_SUFFIXES are proto, others are openapi and must hold a
     JSON object.  Broken files are rows with a problem, not failures; Spark gives no row for an empty file.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _as_specs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def read_spec_at(spark: SparkSession, repository: str, ref: str, path: str, seconds: int = 10) -> DataFrame:
+    """The one file at `path` in a git reference of a repository on the driver's machine, as read_specs gives it.
+
+    An unknown reference or file, or a git that does not answer in time, is a row with a problem.
+    """
+    try:
+        run = subprocess.run(["git", "-C", repository, "show", "--end-of-options", f"{ref}:{path}"], capture_output=True, timeout=seconds, check=False)
+        content, problem = (bytearray(run.stdout), None) if run.returncode == 0 else (None, "not in the repository")
+    except (OSError, subprocess.TimeoutExpired):
+        content, problem = None, "git does not answer"
+    found = spark.createDataFrame([(f"{ref}:{path}", content, problem)], "path string, content binary, failure string")
+    read = _as_specs(found.filter("failure IS NULL"))
+    return read if problem is None else read.unionByName(found.select(F.col("path").alias("file"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("spec"), F.lit(None).cast("binary").alias("descriptors"), F.col("failure").alias("problem")))
+
+
+def _as_specs(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)\z", 1))
     proto = suffix.isin(*DESCRIPTOR_SUFFIXES)
     text = F.col("content").cast("string")
