@@ -68,66 +68,96 @@ def descriptor_problems(specs: DataFrame) -> DataFrame:
     return flatten_descriptors(specs).filter("scope = 'problem'").select("pair", "side", F.col("name").alias("problem"))
 
 
-def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
-    rest = F.struct(*[c for c in rows.columns if c not in (*keys, "side")])
-    one = lambda side: rows.filter(F.col("side") == side).select(*keys, rest.alias(side[0]))
-    return one("before").join(one("after"), keys, "full_outer")
+def _both(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """keys, b, a: what each side holds under a key, as lists of structs of the kept columns."""
+    one = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct(*kept))).alias(side[0])
+    return rows.groupBy(*keys).agg(one("before"), one("after"))
 
 
-def _emit(rows: DataFrame, kind: Column, location: Column, before: Column, after: Column, rpc: bool = False) -> DataFrame:
+def _sides(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, side and the members of the lists b and a."""
+    tagged = lambda c, side: F.transform(c, lambda x: F.struct(F.lit(side).alias("side"), x.alias("x")))
+    each = rows.select(*keep, F.explode(F.concat(tagged("b", "before"), tagged("a", "after"))).alias("e"))
+    return each.select(*keep, "e.side", "e.x.*")
+
+
+def _lined_up(rows: DataFrame) -> DataFrame:
+    """Every member of b beside every one of a; null where a side has none."""
+    return rows.withColumn("b", F.explode_outer("b")).withColumn("a", F.explode_outer("a"))
+
+
+def _case(test: Column, kind: Column | str, before: Column, after: Column) -> Column:
+    """A change if the test holds, else null."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.when(test, F.struct(kind.alias("kind"), before.cast("string").alias("before"), after.cast("string").alias("after")))
+
+
+def _emit(rows: DataFrame, location: Column, cases: list[Column], rpc: bool = False) -> DataFrame:
+    """One row per case that holds."""
     path = F.concat_ws(".", "name", "member") if rpc else F.lit(None).cast("string")
     methods = F.array(F.lit("POST")) if rpc else F.lit(None).cast("array<string>")
-    return rows.select(
-        "pair", kind.alias("kind"), location.alias("location"), before.cast("string").alias("before"), after.cast("string").alias("after"),
-        path.alias("path"), methods.alias("methods"),
-    ).filter("kind IS NOT NULL")
+    found = rows.select("pair", location.alias("location"), path.alias("path"), methods.alias("methods"), F.explode(F.array_compact(F.array(*cases))).alias("c"))
+    return found.select("pair", "c.kind", "location", "c.before", "c.after", "path", "methods")
 
 
 def diff_proto(specs: DataFrame) -> DataFrame:
     """All changes of messages, fields, services and methods between the sides of every pair.
 
     A missing or empty side holds nothing.  Pairs with a side that is no descriptor set have no changes:
-    descriptor_problems() tells which they are.
+    descriptor_problems() tells which they are.  Both sides of a message or service meet in one shuffle
+    by its name; its members are lined up by groupings below that name, which need no joins.
     """
-    every = cut(flatten_descriptors(specs))  # read once per scope and side below
-    flat = every.join(every.filter("scope = 'problem'").select("pair").distinct(), "pair", "left_anti")
+    every = cut(flatten_descriptors(specs))  # read for the problems and for the rest
+    flat = every.filter("scope <> 'problem'").withColumn("root", F.when(F.col("scope").isin("message", "field"), "message").otherwise("service"))
+    owner = F.col("scope") == F.col("root")
+    has = lambda side: F.coalesce(F.bool_or(owner & (F.col("side") == side)), F.lit(False)).alias(f"{side[0]}_has")
+    one = lambda side: F.collect_list(F.when(~owner & (F.col("side") == side), F.struct("member", "number", "type", "label", "input", "output"))).alias(side[0])
+    owners = flat.groupBy("pair", "root", "name").agg(has("before"), has("after"), one("before"), one("after"))
+    # Pairs with a problem may be many; a merge join keeps them away from the driver.
+    broken = every.filter("scope = 'problem'").select("pair").distinct()
+    owners = cut(owners.join(broken.hint("merge"), "pair", "left_anti"))
+
+    as_json = lambda side: F.when(F.col(f"{side}_has"), F.to_json(F.struct("name")))
+    kind = lambda what: F.concat(F.lit("proto."), F.col("root"), F.lit(f".{what}"))
+    cases = [
+        _case(F.col("a_has") & ~F.col("b_has"), kind("added"), as_json("b"), as_json("a")),
+        _case(F.col("b_has") & ~F.col("a_has"), kind("removed"), as_json("b"), as_json("a")),
+    ]
+    out = [_emit(owners, F.concat(F.lit("/"), F.col("root"), F.lit("s/"), F.col("name")), cases)]
+    kept = owners.filter("a_has AND b_has")
     new, gone = F.col("b").isNull(), F.col("a").isNull()
-    kept = ~new & ~gone
-    of = lambda scope: flat.filter(F.col("scope") == scope)
-    out = []
-    shared = {}
-    for scope, root in (("message", "/messages/"), ("service", "/services/")):
-        sides = _sides(of(scope).select("pair", "side", "name", "scope").distinct(), ["pair", "name"])
-        kind = F.when(new, f"proto.{scope}.added").when(gone, f"proto.{scope}.removed")
-        as_json = lambda side: F.when(F.col(side).isNotNull(), F.to_json(F.struct("name")))
-        out.append(_emit(sides, kind, F.concat(F.lit(root), F.col("name")), as_json("b"), as_json("a")))
-        shared[scope] = sides.filter(kept).select("pair", "name")
-
-    fields = of("field").select("pair", "side", "name", "member", "number", "type", "label").join(shared["message"], ["pair", "name"], "left_semi")
-    by_number = _sides(fields, ["pair", "name", "number"])
+    both = ~new & ~gone
+
     # A field whose name has another number on the other side was renumbered, not added or removed.
-    names = fields.select("pair", "side", "name", "member", F.col("number").alias("other"))
-    before, after = (names.filter(F.col("side") == s).drop("side") for s in ("before", "after"))
-    added = by_number.filter(new).withColumn("member", F.col("a.member")).join(before, ["pair", "name", "member"], "left")
-    removed = by_number.filter(gone).withColumn("member", F.col("b.member")).join(after, ["pair", "name", "member"], "left")
-    at = F.concat(F.lit("/"), F.col("name"), F.lit("/"), F.col("member"))
+    own = ["pair", "root", "name"]
+    fields = _sides(kept.filter("root = 'message'"), own)
+    named = _both(fields, [*own, "member"], ["number", "type", "label"])
+    others = lambda c: F.transform(c, lambda x: x["number"])
+    named = _sides(named.withColumns({"b_at": others("b"), "a_at": others("a")}), [*own, "member", "b_at", "a_at"])
+    named = named.withColumn("others", F.when(F.col("side") == "before", F.col("a_at")).otherwise(F.col("b_at")))
+    by_number = _lined_up(_both(named, [*own, "number"], ["member", "type", "label", "others"]))
+    # Of a field that one side lacks, each number that its name has on the other is looked at.
+    by_number = by_number.withColumn("other", F.explode_outer(F.when(new, F.col("a.others")).when(gone, F.col("b.others"))))
+    at = F.concat(F.lit("/"), F.col("name"), F.lit("/"), F.coalesce("b.member", "a.member"))
     shown = lambda s: F.to_json(F.struct("number", F.col(f"{s}.member").alias("name"), F.col(f"{s}.type").alias("type")))
     moved = F.col("other").isNotNull() & (F.col("other") != F.col("number"))
     nothing = F.lit(None).cast("string")
-    out.append(_emit(added.filter(moved), F.lit("proto.field.number_changed"), at, F.col("other"), F.col("number")))
-    out.append(_emit(added.filter(~moved), F.lit("proto.field.added"), at, nothing, shown("a")))
-    out.append(_emit(removed.filter(~moved), F.lit("proto.field.removed"), at, shown("b"), nothing))
-    same = by_number.filter(kept)
-    at = F.concat(F.lit("/"), F.col("name"), F.lit("/"), F.col("b.member"))
-    for column, kind in (("type", "proto.field.type_changed"), ("label", "proto.field.label_changed"), ("member", "proto.field.renamed")):
+    cases = [
+        _case(new & moved, "proto.field.number_changed", F.col("other"), F.col("number")),
+        _case(new & ~moved, "proto.field.added", nothing, shown("a")),
+        _case(gone & ~moved, "proto.field.removed", shown("b"), nothing),
+    ]
+    for column, name in (("type", "type_changed"), ("label", "label_changed"), ("member", "renamed")):
         b, a = F.col(f"b.{column}"), F.col(f"a.{column}")
-        out.append(_emit(same, F.when(a != b, kind), at, b, a))
+        cases.append(_case(both & (a != b), f"proto.field.{name}", b, a))
+    out.append(_emit(by_number, at, cases))
 
-    rpcs = of("rpc").select("pair", "side", "name", "member", "input", "output").join(shared["service"], ["pair", "name"], "left_semi")
-    sides = _sides(rpcs, ["pair", "name", "member"])
+    rpcs = _lined_up(_both(_sides(kept.filter("root = 'service'"), own), [*own, "member"], ["input", "output"]))
     at = F.concat(F.lit("/"), F.col("name"), F.lit("/"), F.col("member"))
     shown = lambda s: F.when(F.col(s).isNotNull(), F.to_json(F.struct(F.col("member").alias("name"), F.col(f"{s}.input").alias("input_type"), F.col(f"{s}.output").alias("output_type"))))
-    out.append(_emit(sides, F.when(new, "proto.rpc.added").when(gone, "proto.rpc.removed"), at, shown("b"), shown("a"), True))
-    out.append(_emit(sides.filter(kept), F.when(F.col("a.input") != F.col("b.input"), "proto.rpc.request_type_changed"), at, F.col("b.input"), F.col("a.input"), True))
-    out.append(_emit(sides.filter(kept), F.when(F.col("a.output") != F.col("b.output"), "proto.rpc.response_type_changed"), at, F.col("b.output"), F.col("a.output"), True))
+    cases = [_case(new, "proto.rpc.added", shown("b"), shown("a")), _case(gone, "proto.rpc.removed", shown("b"), shown("a"))]
+    for column, name in (("input", "request_type_changed"), ("output", "response_type_changed")):
+        b, a = F.col(f"b.{column}"), F.col(f"a.{column}")
+        cases.append(_case(both & (a != b), f"proto.rpc.{name}", b, a))
+    out.append(_emit(rpcs, at, cases, True))
     return reduce(DataFrame.unionByName, out)
