@@ -16,8 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlens.functions.lineage import cut
 from pactlens.operators.routes import VERBS
 
+#: Bytes of specification text per task.
+TASK_BYTES = 32_000_000
 _MAP, _LIST = "map<string,string>", "array<string>"
 
 
@@ -30,9 +33,15 @@ def _at(text: Column | str, *path: str) -> Column:
     return F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
 
 
-def _meet(specs: DataFrame, *path: str) -> DataFrame:
+def _tasks(specs: DataFrame) -> int:
+    """So many tasks that none holds more than about TASK_BYTES of text, which compresses too well to go by its shuffled size."""
+    size = specs.agg(F.sum(F.octet_length("spec"))).first()[0] or 0
+    return max(specs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def _meet(specs: DataFrame, tasks: int, *path: str) -> DataFrame:
     """pair, name, b, a: members of an object in the specifications of both sides; null where a side lacks it."""
-    rows = specs.select("pair", "side", F.explode(_map(_at("spec", *path))).alias("name", "text"))
+    rows = specs.select("pair", "side", F.explode(_map(_at("spec", *path))).alias("name", "text")).repartition(tasks, "pair", "name")
     one = lambda side: F.max(F.when(F.col("side") == side, F.col("text"))).alias(side[0])
     return rows.groupBy("pair", "name").agg(one("before"), one("after"))
 
@@ -108,12 +117,16 @@ def _parameter_changes(ops: DataFrame, place: Column, verb: Column) -> DataFrame
     return _emit(rows, F.concat(place, F.lit("/parameters/"), F.col("key")), cases, F.col("path"), verb)
 
 
-def _resolved(rows: DataFrame, components: DataFrame, side: str) -> DataFrame:
+def _refers(side: str) -> Column:
+    return _at(side, "$ref").isNotNull()
+
+
+def _resolved(rows: DataFrame, components: DataFrame, side: str, tasks: int) -> DataFrame:
     """rows with the schema of a side replaced by the component that it names, one hop; a missing one is empty."""
     name = F.regexp_extract(F.coalesce(_at(side, "$ref"), F.lit("")), r"\A#/components/schemas/(.+)\z", 1)
     parts = components.select("pair", F.col("name").alias("c_name"), F.col(side).alias("c_schema")).filter("c_schema IS NOT NULL")
-    joined = rows.withColumn("c_name", F.nullif(name, F.lit(""))).join(parts, ["pair", "c_name"], "left")
-    schema = F.when(_at(side, "$ref").isNotNull(), F.coalesce("c_schema", F.lit("{}"))).otherwise(F.col(side))
+    joined = rows.withColumn("c_name", F.nullif(name, F.lit(""))).repartition(tasks, "pair", "c_name").join(parts, ["pair", "c_name"], "left")
+    schema = F.when(_refers(side), F.coalesce("c_schema", F.lit("{}"))).otherwise(F.col(side))
     return joined.withColumn(side, schema).drop("c_name", "c_schema")
 
 
@@ -159,7 +172,9 @@ def diff_openapi(specs: DataFrame) -> DataFrame:
     new, gone = F.col("b").isNull(), F.col("a").isNull()
     both = "a IS NOT NULL AND b IS NOT NULL"
 
-    items = _meet(specs, "paths").withColumnRenamed("name", "path")
+    specs = cut(specs.select("pair", "side", "spec"))  # measured, and read for the paths and for the components
+    tasks = _tasks(specs)
+    items = cut(_meet(specs, tasks, "paths")).withColumnRenamed("name", "path")  # read by every kind of change
     cases = [_case(new, "openapi.path.added", F.col("b"), F.col("a")), _case(gone, "openapi.path.removed", F.col("b"), F.col("a"))]
     out = [_emit(items, F.concat(F.lit("/paths/"), F.col("path")), cases, F.col("path"), _methods(F.coalesce("a", "b")))]
 
@@ -186,9 +201,11 @@ def diff_openapi(specs: DataFrame) -> DataFrame:
     keys = ["pair", "path", "method"]
     schemas = ops.select(*keys, *of(F.lit("requestBody"), "request_body", "requestBody"))
     schemas = schemas.unionByName(answers.filter(both).select(*keys, *of(F.concat(F.lit("responses/"), F.col("status")), "response")))
-    components = _meet(specs, "components", "schemas")
+    components = cut(_meet(specs, tasks, "components", "schemas"))
+    refers = _refers("b") | _refers("a")
+    referring = schemas.filter(refers)
     for side in ("b", "a"):
-        schemas = _resolved(schemas, components, side)
-    out.append(_property_changes(schemas, place))
+        referring = _resolved(referring, components, side, tasks)
+    out.append(_property_changes(schemas.filter(~refers).unionByName(referring), place))
     out.append(_enum_changes(components, F.concat(F.lit("/components/schemas/"), F.col("name"), F.lit("/enum"))))
     return reduce(DataFrame.unionByName, out)
