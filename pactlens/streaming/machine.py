@@ -28,48 +28,74 @@ def next_state(state: str, usage: int, peak: int, threshold: float) -> str:
 class CampaignMachine(StatefulProcessor):
     """Evaluates each campaign at its samples' event times, in their order whatever order they come in.
 
-    A sample waits under its time until an event-time timer says that the watermark has passed it, so
+    A sample waits until an event-time timer says that the watermark has passed it, so
     samples of later batches can still come before it; of samples with equal times the largest usage
     counts.  A transition locks the state for DEBOUNCE_SECONDS of event time: samples in between are
-    smoothed, but move nothing.
+    smoothed, but move nothing.  A call of the state store is dear: a batch's samples are stored in
+    one, and one timer, for the earliest of them, stands for all that wait.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.campaign = handle.getValueState("campaign", "state string, peak bigint, threshold double, days int, smoothed double, moved_at bigint")
-        self.waiting = handle.getMapState("waiting", "at bigint", "usage bigint")
+        self.campaign = handle.getValueState("campaign", "state string, peak bigint, threshold double, days int, smoothed double, moved_at bigint, timer bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, usage bigint")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        r = initialState.iloc[0]
-        self.campaign.update((str(r["state"]), int(r["peak_usage"]), float(r["usage_threshold_pct"]), int(r["decay_window_days"]), None, None))
+        first = lambda c: initialState[c].iat[0]
+        self.campaign.update((str(first("state")), int(first("peak_usage")), float(first("usage_threshold_pct")), int(first("decay_window_days")), None, None, None))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.campaign.exists():
-            for batch in rows:
-                for at, usage in zip(batch["sampled_at"].astype("datetime64[us]").astype("int64"), batch["usage_count"]):
-                    at, before = int(at), self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else None
-                    self.waiting.updateValue((at,), (max(int(usage), before[0] if before else int(usage)),))
-                    # A timer fires once the watermark is past it; it counts in whole milliseconds.
-                    self.handle.registerTimer(at // 1000 + 1)
-        yield pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")])
+        known = self.campaign.get()
+        if known is None:
+            return iter(())
+        samples = []
+        for batch in rows:
+            samples += zip(batch["sampled_at"].astype("datetime64[us]").astype("int64").tolist(), batch["usage_count"].astype("int64").tolist())
+        if samples:
+            self.waiting.appendList(samples)
+            self._wake(known, min(at for at, _ in samples))
+        return iter(())
+
+    def _wake(self, known: tuple, at: int) -> None:
+        """A timer for a sample, unless one stands before it.  It fires once the watermark is past it, in whole milliseconds."""
+        wanted, standing = at // 1000 + 1, known[6]
+        if standing is None or wanted < standing:
+            if standing is not None:
+                self.handle.deleteTimer(standing)
+            self.handle.registerTimer(wanted)
+            self.campaign.update((*known[:6], wanted))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = sorted(at for (at,) in list(self.waiting.keys()) if at // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs())
-        if not due:
-            return
-        state, peak, threshold, days, smoothed, moved_at = self.campaign.get()
+        # No sample up to the watermark can come any more, so all of them are due.
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due, later = {}, []
+        for at, usage in self.waiting.get():
+            if at // 1000 + 1 <= until:
+                due[at] = max(usage, due.get(at, usage))
+            else:
+                later.append((at, usage))
+        state, peak, threshold, days, smoothed, moved_at, _ = self.campaign.get()
         weight, out = 2.0 / (max(1, days) + 1), []
-        for at in due:
-            usage = self.waiting.getValue((at,))[0]
-            self.waiting.removeKey((at,))
+        for at, usage in sorted(due.items()):
             smoothed = round(float(usage) if smoothed is None else weight * usage + (1 - weight) * smoothed, 4)
             locked = moved_at is not None and at - moved_at < DEBOUNCE_SECONDS * 1_000_000
             after = state if locked else next_state(state, usage, peak, threshold)
             moved_at = at if after != state else moved_at
-            out.append((key[0], pd.Timestamp(at, unit="us"), usage, smoothed, state, after))
+            out.append((key[0], at, usage, smoothed, state, after))
             state = after
-        self.campaign.update((state, peak, threshold, days, smoothed, moved_at))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        known = (state, peak, threshold, days, smoothed, moved_at, None)
+        if later:
+            self._wake(known, min(at for at, _ in later))
+        else:
+            self.campaign.update(known)
+        if out:
+            found = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            found["sampled_at"] = found["sampled_at"].astype("datetime64[us]")
+            yield found
 
     def close(self) -> None:
         pass
