@@ -24,11 +24,15 @@ def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_batches(spark: SparkSession, parts: list[DataFrame], shape: str) -> DataFrame:
-    """A stream that reads each part in a batch of its own, in order."""
+    """A stream that reads each part in a batch of its own, in order.
+
+    A batch is one file, which one task reads; its rows are dealt out before anything is kept in memory.
+    """
     path = scratch(spark, "parts")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *stream.columns)
 
 
 def to_end(stream: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many campaigns travel to the calls; beyond, both are shuffled by endpoint.
+BROADCAST_CAMPAIGNS = 50_000
+
 
 def sliding_usage(calls: DataFrame, campaigns: DataFrame, late: str = "1 day") -> DataFrame:
     """id, as_of, usage_count, client_count: what each campaign's look-back holds at every midnight, once it is final.
@@ -16,7 +19,8 @@ def sliding_usage(calls: DataFrame, campaigns: DataFrame, late: str = "1 day") -
     clients are counted exactly.  A look-back that holds no call has no row.  Rows later than `late`
     are dropped; see late.py for what can be done with them.
     """
-    longest = campaigns.agg(F.max("decay_window_days")).first()[0] or 0
+    longest, many = campaigns.agg(F.max("decay_window_days"), F.count("*")).first()
+    longest = longest or 0
     daily = (
         calls.withWatermark("ts", late)
         .groupBy("endpoint_id", "client_id", F.window("ts", "1 day").alias("day"))
@@ -24,6 +28,8 @@ def sliding_usage(calls: DataFrame, campaigns: DataFrame, late: str = "1 day") -
         .select("endpoint_id", "client_id", "n", F.window_time("day").alias("seen"), F.col("day.end").alias("until"))
     )
     own = campaigns.select("id", "endpoint_id", "decay_window_days")
+    # A shuffle by endpoint would gather all calls of one in a task.
+    own = F.broadcast(own) if many <= BROADCAST_CAMPAIGNS else own
     slid = daily.join(own, "endpoint_id").withColumn("w", F.window("seen", f"{longest + 1} days", "1 day"))
     reached = slid.filter(F.col("w.end") <= F.col("until") + F.make_dt_interval(F.col("decay_window_days")))
     per_client = reached.groupBy("id", "client_id", "w").agg(F.sum("n").alias("n")).select("id", "n", F.window_time("w").alias("seen"))

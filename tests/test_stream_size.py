@@ -1,9 +1,11 @@
 """What streams ask of the state store and of the task that reads a batch."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from pactlens.plans import streams
 from pactlens.streaming.machine import CampaignMachine
+from pactlens.streaming.sliding import sliding_usage
 
 
 class Store:
@@ -87,3 +89,11 @@ def test_machine_asks_the_store_once_a_batch(spark):
 def test_batches_are_dealt_out_before_they_are_gathered(spark):
     stream = streams.in_batches(spark, [spark.range(10).selectExpr("id")], "id bigint")
     assert "RepartitionByExpression" in stream._jdf.queryExecution().analyzed().toString()
+
+
+def test_look_backs_do_not_gather_an_endpoint(spark):
+    calls = spark.createDataFrame([("e", "c", "2024-01-01 10:00:00"), ("e", "d", "2024-01-02 10:00:00")], "endpoint_id string, client_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    campaigns = spark.createDataFrame([("x", "e", 1)], "id string, endpoint_id string, decay_window_days int")
+    slid = sliding_usage(calls, campaigns)
+    assert "strategy=broadcast" in slid._jdf.queryExecution().analyzed().toString()
+    assert {(str(r.as_of)[:10], r.usage_count) for r in slid.collect()} == {("2024-01-02", 1), ("2024-01-03", 2), ("2024-01-04", 1)}
