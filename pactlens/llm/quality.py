@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.llm.hashing import BLANK_SPLIT, Words, byte_table, slabs
-from pactlens.llm.sparkside import crc_mod, read
+from pactlens.llm.sparkside import crc_mod, cut, read
 
-#: At most so many labelled rows are fitted, chosen by a hash of the id, and so many pairs of them.
-MOST_ROWS, PAIRS = 6000, 30000
+#: Scores are counted in bins of this width, wider if more than BINS would be needed; rounds of the fit at most.
+BIN, BINS, ROUNDS = 1 / 128, 4000, 60
 #: The score that stands at the quantile: from here on a text counts as good.
 CUT = 0.7
 
@@ -88,61 +88,172 @@ class QualityModel:
     cut: float
     spread: float
 
+    def normal(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -5, 5)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -5, 5) @ self.weights
+        return self.normal(x) @ self.weights
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = (self.raw(x) - self.cut) / self.spread + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, seed: int = 11) -> QualityModel:
-    """Bradley-Terry: each pair of a good and a bad row says that the good one's score is higher.
+def _features_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, x: the features of every text."""
 
-    The cut is the score quantile at the share of bad rows.  Without rows of both kinds all scores
-    are CUT, or lie below it if only bad rows are known.
-    """
-    width = x.shape[1] if len(x) else FEATURES
-    if not len(x) or good.all() or not good.any():
-        only_bad = len(x) > 0 and not good.any()
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 1.0 if only_bad else 0.0, 1.0)
-    rng = np.random.default_rng(seed)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.clip((x - mean) / scale, -5, 5)
-    better, worse = rng.choice(np.flatnonzero(good), PAIRS), rng.choice(np.flatnonzero(~good), PAIRS)
-    diff = z[better] - z[worse]
-    weights, momentum = np.zeros(width), np.zeros(width)
-    for _ in range(400):
-        p = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
-        grad = -(diff * p[:, None]).mean(axis=0) + 1e-4 * weights
-        momentum = 0.9 * momentum + grad
-        weights = weights - 0.2 * momentum
-    raw = np.sort(z @ weights)
-    at = int(np.count_nonzero(~good))
-    cut = float(raw[max(at - 1, 0)] + raw[min(at, len(raw) - 1)]) / 2
-    return QualityModel(mean, scale, weights, cut, float(np.std(raw)) / 4 + 1e-6)
-
-
-def _features_of(docs: DataFrame, extra: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j, data, base in slabs(batch.column(1)):
                 x = text_features(data, base)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), lists], names=[extra, "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=[id_col, "x"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("x").flatten()).reshape(-1, FEATURES)
+
+
+def _sums(rows: DataFrame, of) -> dict[int, np.ndarray]:
+    """FEATURES + 1 totals over all rows(good, x) for every key; of(x, good) gives keys and their values in one batch."""
+    names = [f"v{k}" for k in range(FEATURES + 1)]
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, value in zip(*of(_matrix(batch), batch.column("good").to_numpy(zero_copy_only=False))):
+                held[int(key)] = held[int(key)] + value if int(key) in held else value
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), *map(pa.array, np.array(list(held.values())).T)], names=["key", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["key bigint", *(f"{n} double" for n in names)]))
+    return {r[0]: np.array(r[1:]) for r in parts.groupBy("key").agg(*map(F.sum, names)).collect()}
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x])
+
+
+def _shape(x: np.ndarray, good: np.ndarray):
+    """Per class (key 0 and 1) the count and the sums, and (2 and 3) the sums of squares."""
+    both = [_with_one(x[side]) for side in (~good, good)]
+    return range(4), [*(b.sum(axis=0) for b in both), *((b * b).sum(axis=0) for b in both)]
+
 
-    return docs.select(id_col, text_col, F.col(extra).cast("bigint").alias(extra)).mapInArrow(run, f"{extra} bigint, x array<double>")
+def _products(model: QualityModel):
+    """Per class the sums of products of normal features: row k of class c has the key c * (FEATURES + 1) + k."""
+
+    def of(x, good):
+        both = [_with_one(model.normal(x)[side]) for side in (~good, good)]
+        return range(2 * FEATURES + 2), np.concatenate([b.T @ b for b in both])
+
+    return of
+
+
+def _binned(model: QualityModel, width: float):
+    """Per bin of the score and class the count and the sums of normal features."""
+
+    def of(x, good):
+        z = model.normal(x)
+        keys, place = np.unique(np.floor(z @ model.weights / width).astype(np.int64) * 2 + good, return_inverse=True)
+        return keys, np.column_stack([np.bincount(place, weights=c, minlength=len(keys)) for c in _with_one(z).T])
+
+    return of
+
+
+def _all_pairs(sums: dict[int, np.ndarray], weights: np.ndarray, within: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, curvature) of every pair of a good and a bad row, from the sums per bin and class.
+
+    A score is linear in the features, so a bin's mean features have its mean score; what is lost is of second
+    order in the bin's width.  The curvature only sets steps: in it a bin's features vary as its class's do where the score stays.
+    """
+    side = lambda c: np.array([v for k, v in sorted(sums.items()) if k % 2 == c])
+    bad, good = side(0), side(1)
+    (nb, xb), (ng, xg) = ((v[:, 0], v[:, 1:] / v[:, :1]) for v in (bad, good))
+    gap = (xg @ weights)[:, None] - (xb @ weights)[None, :]
+    share = ng[:, None] * nb[None, :] / (ng.sum() * nb.sum())
+    wrong = 1 / (1 + np.exp(np.clip(gap, -500, 500)))
+    loss = (share * np.logaddexp(0, -gap)).sum() + 5e-5 * weights @ weights
+    pull = share * wrong
+    grad = pull.sum(axis=0) @ xb - pull.sum(axis=1) @ xg + 1e-4 * weights
+    bend = pull * (1 - wrong)
+    curve = (xg.T * bend.sum(axis=1)) @ xg + (xb.T * bend.sum(axis=0)) @ xb - (cross := xg.T @ bend @ xb) - cross.T
+    for c in within:
+        along = c @ weights
+        level = weights @ along
+        curve += bend.sum() * (c - np.outer(along, along) / level if level > 1e-12 else c)
+    return loss, grad, curve + 1e-4 * np.eye(len(weights))
+
+
+def _at_rank(rows: DataFrame, column: str, rank: int) -> float:
+    """The value at a place, from 0, of the sorted column, by counting in ever finer ranges."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        place = F.least(F.floor((F.col(column) - low) / (high - low) * 1000), F.lit(999))
+        ranges = rows.filter(F.col(column).between(low, high)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for r in sorted(ranges.collect()):
+            if rank < r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return low
+
+
+def _fitted(rows: DataFrame) -> QualityModel:
+    """Bradley-Terry over rows(good, x): each pair of a good and a bad row says that the good one's score is higher.
+
+    Every row counts, and every pair.  The cut is the score quantile at the share of bad rows.  Without rows of both
+    kinds all scores are CUT, or lie below it if only bad rows are known.
+    """
+    sums = _sums(rows, _shape)
+    bad, good = (int(sums[k][0]) if k in sums else 0 for k in (0, 1))
+    if not bad or not good:
+        return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 1.0 if bad else 0.0, 1.0)
+    n = bad + good
+    mean = (sums[0] + sums[1])[1:] / n
+    scale = np.sqrt(np.maximum((sums[2] + sums[3])[1:] / n - mean**2, 0)) + 1e-3
+    model = QualityModel(mean, scale, np.zeros(FEATURES), 0.0, 1.0)
+    sums = _sums(rows, _products(model))
+    moments = [np.array([sums[c * (FEATURES + 1) + k] for k in range(FEATURES + 1)]) for c in (0, 1)]
+    within = [m[1:, 1:] / m[0, 0] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] ** 2 for m in moments]
+
+    best, least, step = model.weights, np.inf, np.zeros(FEATURES)
+    for _ in range(ROUNDS):
+        weights = best + step
+        tried = QualityModel(mean, scale, weights, 0.0, 1.0)
+        loss, grad, curve = _all_pairs(_sums(rows, _binned(tried, max(BIN, 10 * np.abs(weights).sum() / BINS))), weights, within)
+        if loss > least + 1e-9:
+            step = step / 2
+            continue
+        best, least, step = weights, loss, -np.linalg.solve(curve, grad)
+        if np.abs(grad).max() < 1e-5:
+            break
+    model = QualityModel(mean, scale, best, 0.0, 1.0)
+
+    def raw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch)))], names=["raw"])
+
+    scores = cut(rows.mapInArrow(raw, "raw double"))
+    spread = float(scores.agg(F.stddev_pop("raw")).first()[0]) / 4 + 1e-6
+    at = (_at_rank(scores, "raw", bad - 1) + _at_rank(scores, "raw", bad)) / 2
+    # Rows that tie at the cut count as good, whatever the last digit of their score.
+    return QualityModel(mean, scale, best, at - 1e-9 * spread, spread)
 
 
 def train_quality_model(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> QualityModel:
-    """Fit on at most MOST_ROWS labelled rows that are `usable`; null labels and texts are left out."""
+    """Fit on all labelled rows that are `usable`; null labels and texts are left out.
+
+    Features are computed where the texts are; they alone meet the labels.
+    """
     known = labels.select(F.col(id_col), F.col(label_col)).filter(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(MOST_ROWS)  # bounded, so it can be broadcast
-    rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
-    found = sorted((r[label_col], list(r["x"])) for r in _features_of(rows, label_col, id_col, text_col).collect())
-    return fit(np.array([x for _, x in found]), np.array([y > 0 for y, _ in found], dtype=bool))
+    texts = docs.select(id_col, text_col).filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = _features_of(texts, id_col, text_col).join(known, id_col).select((F.col(label_col) > 0).alias("good"), "x")
+    return _fitted(cut(rows))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
