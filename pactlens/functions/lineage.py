@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of text per task.
+TASK_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` materialised in the shared folder, its lineage cut; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def tasks_of(df: DataFrame, *texts: str | Column, limit: int | None = None) -> int:
+    """So many tasks that none holds more than about `limit` bytes of these columns; text compresses too well to go by its shuffled size."""
+    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0)))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // (limit or TASK_BYTES)))

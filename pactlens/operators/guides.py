@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pactlens.functions import script
 from pactlens.functions.identity import guide_key
-from pactlens.functions.lineage import cut
+from pactlens.functions.lineage import cut, tasks_of
 
 #: Fence tags and the language they stand for.
 ALIASES = {"py": "python", "python3": "python", "js": "javascript", "node": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx"}
@@ -57,13 +57,15 @@ def guide_context(changes: DataFrame, sites: DataFrame, requests: DataFrame, lim
     """
     each = changes.filter(F.col("verdict").isin(*ASKED_ABOUT))
     slim = F.struct("ord", "kind", "location", "verdict", "rule_id", "rationale")
-    general = each.filter(F.coalesce(F.size("affected_clients"), F.lit(0)) < 1).groupBy("diff_id").agg(F.collect_list(slim).alias("general_changes"))
+    tasks = tasks_of(each, "kind", "location", "rationale")  # lists of changes are long, and are shuffled once
+    general = each.filter(F.coalesce(F.size("affected_clients"), F.lit(0)) < 1).repartition(tasks, "diff_id").groupBy("diff_id").agg(F.collect_list(slim).alias("general_changes"))
     own = each.select("diff_id", F.explode("affected_clients").alias("client_id"), slim.alias("c")).groupBy("diff_id", "client_id").agg(F.collect_list("c").alias("own_changes"))
     known = {"language": F.lit("python"), "fields": F.array().cast("array<string>")}
     full = sites.withColumns({c: x for c, x in known.items() if c not in sites.columns})
     site = F.struct("position", "file", "line", "language", "method", "path_template", "fields")
     listed = first_call_sites(full, limit=limit).filter(F.col("language").isin(*LANGUAGES)).groupBy(F.col("repo").alias("client_id")).agg(F.array_sort(F.collect_list(site)).alias("call_sites"))
-    joined = requests.join(general, "diff_id", "left").join(own, ["diff_id", "client_id"], "left").join(listed, "client_id", "left")
+    joined = requests.join(own, ["diff_id", "client_id"], "left").join(listed, "client_id", "left")
+    joined = joined.repartition(tasks, "diff_id").join(general, "diff_id", "left")
     none = F.array().cast(each.select(F.array(slim).alias("x")).schema["x"].dataType)
     both = F.array_sort(F.concat(F.coalesce("general_changes", none), F.coalesce("own_changes", none)))
     language = F.coalesce(F.get("call_sites", F.lit(0))["language"], F.lit("python"))

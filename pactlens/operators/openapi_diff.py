@@ -16,11 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlens.functions.lineage import cut
+from pactlens.functions.lineage import TASK_BYTES, cut, tasks_of
 from pactlens.operators.routes import VERBS
 
-#: Bytes of specification text per task.
-TASK_BYTES = 32_000_000
 _MAP, _LIST = "map<string,string>", "array<string>"
 
 
@@ -33,12 +31,6 @@ def _at(text: Column | str, *path: str) -> Column:
     return F.get_json_object(text, "$" + "".join(f"['{p}']" for p in path))
 
 
-def _tasks(specs: DataFrame) -> int:
-    """So many tasks that none holds more than about TASK_BYTES of text, which compresses too well to go by its shuffled size."""
-    size = specs.agg(F.sum(F.octet_length("spec"))).first()[0] or 0
-    return max(specs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-
-
 def _meet(specs: DataFrame, tasks: int, *path: str) -> DataFrame:
     """pair, name, b, a: members of an object in the specifications of both sides; null where a side lacks it."""
     rows = specs.select("pair", "side", F.explode(_map(_at("spec", *path))).alias("name", "text")).repartition(tasks, "pair", "name")
@@ -173,7 +165,7 @@ def diff_openapi(specs: DataFrame) -> DataFrame:
     both = "a IS NOT NULL AND b IS NOT NULL"
 
     specs = cut(specs.select("pair", "side", "spec"))  # measured, and read for the paths and for the components
-    tasks = _tasks(specs)
+    tasks = tasks_of(specs, "spec", limit=TASK_BYTES)
     items = cut(_meet(specs, tasks, "paths")).withColumnRenamed("name", "path")  # read by every kind of change
     cases = [_case(new, "openapi.path.added", F.col("b"), F.col("a")), _case(gone, "openapi.path.removed", F.col("b"), F.col("a"))]
     out = [_emit(items, F.concat(F.lit("/paths/"), F.col("path")), cases, F.col("path"), _methods(F.coalesce("a", "b")))]

@@ -58,6 +58,8 @@ _EFFECT = {
     "behavioral": "clients may notice a difference",
     "breaking": "existing clients can fail",
 }
+#: Call sites per task.
+SITES = 500_000
 RULES_SHAPE = "ord int, id string, kind string, verdict string, rationale string, location_glob string, location_regex string"
 
 
@@ -127,13 +129,14 @@ def located(changes: DataFrame) -> DataFrame:
     return changes.withColumns({"path": F.when(known, F.col("path")).otherwise(part(1)), "methods": F.when(known, F.col("methods")).otherwise(methods)})
 
 
-def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str], erase_names: bool = False, rpc_keys: bool = False, by_location: bool = False) -> DataFrame:
+def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str], erase_names: bool = False, rpc_keys: bool = False, by_location: bool = False, tasks: int | None = None) -> DataFrame:
     """changes with affected_clients: sorted repositories that call one of the change's methods on its path.
 
     Templates are compared as text; erase_names makes all placeholders alike.  rpc_keys also matches
     mined RPC calls (method RPC, /service/method) to RPC changes; by_location finds clients of changes
     of properties and enums, whose path and method only their location tells.  Only call sites of changed paths
-    leave the join; they are reduced to one per change and repository before they are gathered.
+    leave the join; they are reduced to one per change and repository before they are gathered.  With `tasks`
+    the changes meet their clients in so many, and call sites are counted and dealt out to tasks of SITES.
     """
     plain = lambda c: F.regexp_replace(c, r"\{[^}]*\}", "{}") if erase_names else c
     sites = call_sites.select(F.upper("method").alias("k_method"), plain(F.col("path_template")).alias("k_path"), "repo")
@@ -143,9 +146,14 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
         sites = sites.select(F.when(rpc, "POST").otherwise(F.col("k_method")).alias("k_method"), F.when(rpc, dotted).otherwise(F.col("k_path")).alias("k_path"), "repo")
     asked = located(changes) if by_location else changes
     wanted = asked.select(*keys, plain(F.col("path")).alias("k_path"), F.explode("methods").alias("k_method")).filter("k_path IS NOT NULL")
-    met = wanted.join(sites, ["k_method", "k_path"]).select(*keys, "repo").distinct()
-    hit = met.groupBy(*keys).agg(F.array_sort(F.collect_list("repo")).alias("affected_clients"))
-    joined = changes.join(hit, keys, "left")
+    where = ["k_method", "k_path"]
+    if tasks:  # sorted lists of sites compress too well to go by their shuffled size
+        n = max(changes.sparkSession.sparkContext.defaultParallelism, -(-call_sites.count() // SITES))
+        wanted, sites = wanted.repartition(n, *where), sites.repartition(n, *where)
+    met = wanted.join(sites, where).select(*keys, "repo").distinct()
+    dealt = lambda rows: rows.repartition(tasks, *keys) if tasks else rows
+    hit = dealt(met).groupBy(*keys).agg(F.array_sort(F.collect_list("repo")).alias("affected_clients"))
+    joined = dealt(changes).join(hit, keys, "left")
     return joined.withColumn("affected_clients", F.coalesce("affected_clients", F.array().cast("array<string>")))
 
 

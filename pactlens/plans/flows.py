@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactlens.functions.identity import canonical_json, version_hash
-from pactlens.functions.lineage import cut
+from pactlens.functions.lineage import cut, tasks_of
 from pactlens.functions.names import unused
 from pactlens.operators import campaigns as campaign_ops
 from pactlens.operators import ingest, mining, openapi_diff, proto_diff, routes, rules, store
@@ -92,10 +92,11 @@ def diff_contracts(kind: str, specs: DataFrame, table_of_rules: DataFrame, call_
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
-    changes = ordered(openapi_diff.diff_openapi(specs) if kind == "openapi" else proto_diff.diff_proto(specs))
+    changes = cut(openapi_diff.diff_openapi(specs) if kind == "openapi" else proto_diff.diff_proto(specs))  # measured, then dealt out
+    tasks = tasks_of(changes, "kind", "location", "before", "after")
     # Reports read a comparison many times; it is a small table that took long to make.
-    classified = cut(rules.classify(changes, table_of_rules, ["pair", "ord"]))
-    return cut(rules.affected_clients(classified, call_sites, ["pair", "ord"], **options))
+    classified = cut(rules.classify(ordered(changes.repartition(tasks, "pair")), table_of_rules, ["pair", "ord"]))
+    return cut(rules.affected_clients(classified, call_sites, ["pair", "ord"], tasks=tasks, **options))
 
 
 def mine_repo(spark: SparkSession, root: str, repo: str, commit_sha: str, known: DataFrame) -> DataFrame:
