@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text per task.
-TASK_BYTES = 32_000_000
+#: Bytes of text, and rows, per task.
+TASK_BYTES, TASK_ROWS = 32_000_000, 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tasks_of(df: DataFrame, *texts: str | Column, limit: int | None = None) -> int:
-    """So many tasks that none holds more than about `limit` bytes of these columns; text compresses too well to go by its shuffled size."""
-    size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0)))).first()[0] or 0
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // (limit or TASK_BYTES)))
+    """So many tasks that none holds more than about `limit` bytes of these columns, or TASK_ROWS rows; text compresses too well to go by its shuffled size."""
+    size, rows = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0))), F.count("*")).first()
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // (limit or TASK_BYTES)), -(-rows // TASK_ROWS))

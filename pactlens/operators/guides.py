@@ -16,10 +16,13 @@ from pyspark.sql import types as T
 from pactlens.functions import script
 from pactlens.functions.identity import guide_key
 from pactlens.functions.lineage import cut, tasks_of
+from pactlens.functions.names import unused
 
 #: Fence tags and the language they stand for.
 ALIASES = {"py": "python", "python3": "python", "js": "javascript", "node": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "tsx"}
 CALL_SITES, SOURCE_LINES = 10, 5
+#: Shares of a repository's call sites, each of which picks its first ones before they meet.
+SHARES = 8
 #: Verdicts that a guide is about, languages that one is written in, attempts at one.
 ASKED_ABOUT, LANGUAGES, ATTEMPTS = ("behavioral", "breaking"), ("python", "javascript", "typescript"), 3
 SCRIPTS = ("javascript", "typescript", "tsx")
@@ -32,9 +35,19 @@ def guide_changes(changes: DataFrame, client: Column) -> DataFrame:
 
 
 def first_call_sites(sites: DataFrame, by: str = "repo", limit: int = CALL_SITES) -> DataFrame:
-    """The first call sites of each repository by file and line (1 to 50)."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy("file", "line", "method", "path_template"))
-    return sites.withColumn("position", rank).filter(F.col("position") <= max(1, min(50, limit)))
+    """The first call sites of each repository by file and line (1 to 50).
+
+    They are measured and dealt out by shares of a repository; else each task that reads them would sort all that it reads.
+    """
+    order = ("file", "line", "method", "path_template")
+    tasks, share = tasks_of(sites, *[F.col(c).cast("string") for c in order]), unused(sites, "share")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.repartition(tasks, *keys).withColumn("position", rank).filter(F.col("position") <= max(1, min(50, limit)))
+
+    shares = sites.withColumn(share, F.pmod(F.xxhash64("file", "line"), F.lit(SHARES)))
+    return first(first(shares, by, share).drop(share, "position"), by)
 
 
 def source_frame(text: Column, line: Column, around: int = SOURCE_LINES) -> Column:
