@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactlens.functions.identity import change_id
+from pactlens.functions.lineage import cut, tasks_of
 from pactlens.functions.paths import glob_to_regex
 
 #: Rule id, change kind, verdict.
@@ -136,7 +137,8 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
     mined RPC calls (method RPC, /service/method) to RPC changes; by_location finds clients of changes
     of properties and enums, whose path and method only their location tells.  Only call sites of changed paths
     leave the join; they are reduced to one per change and repository before they are gathered.  With `tasks`
-    the changes meet their clients in so many, and call sites are counted and dealt out to tasks of SITES.
+    the changes meet their clients in so many, or more where the clients found need more, and call sites are
+    counted and dealt out to tasks of SITES.
     """
     plain = lambda c: F.regexp_replace(c, r"\{[^}]*\}", "{}") if erase_names else c
     sites = call_sites.select(F.upper("method").alias("k_method"), plain(F.col("path_template")).alias("k_path"), "repo")
@@ -151,6 +153,9 @@ def affected_clients(changes: DataFrame, call_sites: DataFrame, keys: list[str],
         n = max(changes.sparkSession.sparkContext.defaultParallelism, -(-call_sites.count() // SITES))
         wanted, sites = wanted.repartition(n, *where), sites.repartition(n, *where)
     met = wanted.join(sites, where).select(*keys, "repo").distinct()
+    if tasks:  # a change can have any number of clients, however short its text
+        met = cut(met)
+        tasks = max(tasks, tasks_of(met, "repo"))
     dealt = lambda rows: rows.repartition(tasks, *keys) if tasks else rows
     hit = dealt(met).groupBy(*keys).agg(F.array_sort(F.collect_list("repo")).alias("affected_clients"))
     joined = dealt(changes).join(hit, keys, "left")
