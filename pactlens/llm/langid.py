@@ -7,6 +7,7 @@ one for the share of subwords that no fitted text has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,10 @@ LEAST_ROWS = 2
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 15, 16, 6
 #: Bytes of text that are predicted at a time; the scratch arrays take some eighty times as much.
 PREDICT_BYTES = 1 << 19
+#: The same for fitting, which the driver does.
+FIT_BYTES = 1 << 16
+#: Room for subwords at first; memory of this size is mapped, so untouched room takes none and all is given back.
+LONG = 1 << 24
 #: Lengths of the subwords, in bytes of lower-cased text.
 SUBWORDS = (3, 4)
 #: Share of rightly classified calibration rows of each language that lies beyond what counts as usual for it.
@@ -122,7 +127,26 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
+def _shares(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slab by slab: distinct buckets of every text, their shares of its subwords, and how many each text has."""
+    for _, _, data, base in slabs(texts, FIT_BYTES):
+        buckets, first = subword_buckets(data, base)
+        owner = np.repeat(np.arange(len(base) - 1), np.diff(first))
+        keys, counts = np.unique(owner * BUCKETS + buckets, return_counts=True)
+        owner = keys // BUCKETS
+        yield keys % BUCKETS, counts / np.diff(first)[owner], np.bincount(owner, minlength=len(base) - 1)
+
+
+def _put(long: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """`long` with `more` behind what is used of it; a full one moves to one of twice the room or more."""
+    if used + len(more) > len(long):
+        full, long = long, np.empty(2 * (used + len(more)), long.dtype)
+        long[:used] = full[:used]
+    long[used : used + len(more)] = more
+    return long
+
+
+def fit(texts: pa.Array, languages: list[str], seed: int = 7) -> LanguageModel:
     """Fit on texts and their languages; with one language the answer, with none the model is a constant.
 
     Each text is seen whole and as a short piece of it, so that short texts are as familiar as long
@@ -130,6 +154,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     way from the quantile UNUSUAL of each language's rows to what chance gives, which is 1 / languages
     for the confidence and the share of empty buckets for the unseen subwords: a quantile alone would
     reject one clean text of n, where n rows are held back.
+
+    The texts stay in Arrow and their subwords in two long arrays, so that the driver gives their memory
+    back: of small objects by the thousand it would keep most.
     """
     names = sorted(set(languages))
     if not names:
@@ -142,28 +169,32 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
     held[np.unique(label, return_index=True)[1]] = False
     if held.all() or not held.any():
         held[:] = False
-    pieces, target = [], []
-    for i in np.flatnonzero(~held):
-        words = texts[i].split()
-        pieces.append(texts[i])
-        target.append(label[i])
-        if len(words) > 8:
-            size, at = int(rng.integers(2, 9)), int(rng.integers(0, len(words) - 8))
-            pieces.append(" ".join(words[at : at + size]))
-            target.append(label[i])
-    rows = []
-    for _, _, data, base in slabs(pa.array(pieces, type=pa.large_string()), PREDICT_BYTES):
-        buckets, first = subword_buckets(data, base)
-        each = (np.unique(buckets[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:]))
-        rows += [(at.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)) for at, counts in each]
+    fitted, target, sizes, used = texts.filter(pa.array(~held)), [], [], 0
+    buckets, shares = np.empty(LONG, np.uint16), np.empty(LONG, np.float32)
+    for i, j, _, _ in slabs(fitted, FIT_BYTES):
+        pieces = []
+        for text, of in zip(fitted.slice(i, j - i).to_pylist(), label[~held][i:j]):
+            words = text.split()
+            pieces.append(text)
+            target.append(of)
+            if len(words) > 8:
+                size, at = int(rng.integers(2, 9)), int(rng.integers(0, len(words) - 8))
+                pieces.append(" ".join(words[at : at + size]))
+                target.append(of)
+        for at, share, each in _shares(pa.array(pieces, type=pa.large_string())):
+            buckets, shares = _put(buckets, used, at), _put(shares, used, share)
+            used += len(at)
+            sizes.append(each)
+    sizes = np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
     embedding = (rng.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
-    steps, step = EPOCHS * len(rows), 0
+    steps, step = EPOCHS * len(sizes), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(sizes)):
             rate = 0.5 * (1 - step / steps)
             step += 1
-            at, share = rows[i]
+            at, share = buckets[first[i] : first[i + 1]], shares[first[i] : first[i + 1]]
             if not len(at):
                 continue
             mean = share @ embedding[at]
@@ -176,13 +207,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 7) -> LanguageModel:
             bias -= 0.1 * rate * p
             embedding[at] -= (rate * min(len(at), 50)) * share[:, None] * back
     seen = np.zeros(BUCKETS, dtype=bool)
-    for at, _ in rows:
-        seen[at] = True
+    seen[buckets[:used]] = True
     few = len(names) <= DIMENSIONS
     table = np.ascontiguousarray((embedding @ weights if few else embedding).T.astype(np.float32))
     model = LanguageModel(names, table, bias, 1.0, np.zeros(len(names)), seen, np.ones(len(names)), None if few else weights)
     check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-    looks = [model.look(d, b) for _, _, d, b in slabs(pa.array([texts[i] for i in check], type=pa.large_string()), PREDICT_BYTES)]
+    looks = [model.look(d, b) for _, _, d, b in slabs(texts.take(pa.array(check)), FIT_BYTES)]
     logits, strange = (np.concatenate(x) for x in zip(*looks))
     model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: _loss(logits / t, label[check]))
     p = model.probabilities(logits)
@@ -213,15 +243,18 @@ def train_language_model(docs: DataFrame, usable: Column, id_col: str = "doc_id"
     counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS)
     chosen = counts.collect()
     if not chosen:
-        return fit([], [])
+        return fit(pa.array([], pa.large_string()), [])
     each = max(LEAST_SHARE, min(ROWS_PER_LANGUAGE, ROWS_IN_ALL // len(chosen)))
     shares = [(r[lang_col], min(1.0, each / r["n"])) for r in chosen]
     of, part = unused(docs, "shared_lang"), unused(docs, "share")
     share = F.broadcast(docs.sparkSession.createDataFrame(shares, f"{of} string, {part} double"))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.join(share, F.col(lang_col) == F.col(of)).filter(draw < F.col(part))
-    picked = sorted((r[0], r[1]) for r in sample.select(lang_col, text_col).collect())
-    return fit([t for _, t in picked], [x for x, _ in picked])
+    picked = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    model = fit(picked["text"].combine_chunks().cast(pa.large_string()), picked["lang"].to_pylist())
+    del picked
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
